@@ -114,7 +114,8 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     low, high = F.greatest(F.col("start"), F.col("block") * b), F.least(F.col("end"), (F.col("block") + 1) * b)
     pieces = pieces.select("row", "source_no", "block", (low - F.col("block") * b).alias("low"), (high - F.col("block") * b).alias("high"), (low - F.col("start")).alias("first_word"))
     uses = slots.select("source_no", "block", F.col("pass_no") == F.col("passes"), F.col("words").alias("slot_words")).toDF("source_no", "block", "last", "slot_words")
-    pieces = pieces.join(uses, ["source_no", "block"])
+    # the planner takes exploded slots for as small as the buckets they come from, and would broadcast them
+    pieces = pieces.join(uses.hint("merge"), ["source_no", "block"])
     pieces = pieces.select("row", "first_word", "last", F.greatest(F.lit(0), F.least("high", "slot_words") - F.col("low")).alias("words")).filter("words > 0")
     taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
     rows = rows.join(taken, "row", "left").select("row", "id", "source", "source_no", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "passes")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from attesta.llm import mixing
+from attesta.llm import bpe, line_dedup, mixing, quality_rules
 
 QUERIES = {
     "op4_mix_sources": mixing.query,
+    "op6_bpe": bpe.query,
+    "op8_line_dedup": line_dedup.query,
+    "op9_quality_rules": quality_rules.query,
+}
+ORACLES = {
+    "op6_bpe": bpe.query,
+    "op8_line_dedup": line_dedup.ORACLE,
 }
-ORACLES: dict = {}

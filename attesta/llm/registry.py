@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from attesta.llm import bpe, line_dedup, mixing, quality_rules
+from attesta.llm import bpe, line_dedup, media, mixing, quality_rules, warc
 
 QUERIES = {
+    "op3_avi_shots": media.query,
     "op4_mix_sources": mixing.query,
+    "op5_warc": warc.query,
     "op6_bpe": bpe.query,
     "op8_line_dedup": line_dedup.query,
     "op9_quality_rules": quality_rules.query,
 }
 ORACLES = {
-    "op6_bpe": bpe.query,
+    "op5_warc": warc.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }

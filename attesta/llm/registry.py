@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from attesta.llm import bpe, line_dedup, media, mixing, quality_rules, similarity, warc
+from attesta.llm import bpe, lattice, line_dedup, media, mixing, quality_rules, similarity, warc
 
 QUERIES = {
+    "op1_lattice_score": lattice.query,
     "op2_jaccard_join": similarity.query,
     "op3_avi_shots": media.query,
     "op4_mix_sources": mixing.query,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attesta.llm import bpe, lattice, line_dedup, media, mixing, quality_rules, similarity, warc
+from attesta.llm import bpe, lattice, line_dedup, media, mixing, quality_rules, resampling, similarity, warc
 
 QUERIES = {
     "op1_lattice_score": lattice.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mix_sources": mixing.query,
     "op5_warc": warc.query,
     "op6_bpe": bpe.query,
+    "op7_resampling": resampling.query,
     "op8_line_dedup": line_dedup.query,
     "op9_quality_rules": quality_rules.query,
 }

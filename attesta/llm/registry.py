@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attesta.llm import bpe, lattice, line_dedup, media, mixing, quality_rules, resampling, similarity, warc
+from attesta.llm import bpe, lattice, line_dedup, media, mixing, quality_rules, resampling, similarity, surrogates, warc
 
 QUERIES = {
     "op1_lattice_score": lattice.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_resampling": resampling.query,
     "op8_line_dedup": line_dedup.query,
     "op9_quality_rules": quality_rules.query,
+    "op10_surrogates": surrogates.query,
 }
 ORACLES = {
     "op5_warc": warc.ORACLE,

@@ -1,4 +1,58 @@
-STAGES = []
+"""A training corpus from `documents` in five stages, each of them one operator.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+read again as the next stage's docs. All but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attesta.llm import bpe, line_dedup, mixing, resampling, similarity
+from attesta.llm.tables import read, written
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Importance resampling against the labels; rejected documents go."""
+    return resampling.keep(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that are boilerplate of their source go; n_chars follows the text."""
+    out = line_dedup.drop_boilerplate(docs)
+    return out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 or more on five-word shingles, one stays."""
+    return similarity.drop_near_duplicates(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: a document stands in it as often as the mix passes over its words."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the mixed texts and their round trip, as digests."""
+    return bpe.digests(docs)
+
+
+STAGES = [
+    ("quality classifier", classify),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", drop_copies),
+    ("mixing sources", mix),
+    ("byte-level BPE", encode),
+]
+
+#: The classifier and the tokenizer are not SQL; tests compare run() with a plain version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"stage_{i}")
+    return docs

@@ -84,6 +84,6 @@ def confidence_by_correctness(fields: DataFrame) -> DataFrame:
 
 def capture_margin(sweeps: DataFrame) -> DataFrame:
     """sweeps (sweep, value, good): the last good value before the first failure, and the last good one at all."""
-    seen = Window.partitionBy("sweep").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = Window.partitionBy("sweep").orderBy("value").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     df = sweeps.withColumn("failed", F.max((~F.col("good")).cast("int")).over(seen) == 1)
     return df.groupBy("sweep").agg(F.max(F.when(~F.col("failed"), F.col("value"))).alias("before_failure"), F.max(F.when(F.col("good"), F.col("value"))).alias("last_good"))

@@ -42,7 +42,7 @@ def impostor_stats(photos: DataFrame, blocks: int, documents_only: bool = False)
     if not documents_only:
         sides = sides.filter("block <= other")
 
-    def multiply(key, table: pa.Table) -> pa.Table:
+    def multiply(key, table):
         side = table.column("side").to_numpy()
         vectors = np.array(table.column("embedding").to_pylist(), np.float64).reshape(len(side), -1)
         who, doc = table.column("identity").to_numpy(), table.column("is_document").to_numpy(zero_copy_only=False).astype(bool)

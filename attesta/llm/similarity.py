@@ -16,6 +16,9 @@ large group of near copies costs as many comparisons as it has members, and no l
 Equal sets are one node from the start. Components come from alternating large-star and small-star
 rounds over written tables. Elements, sets and signatures are 64-bit hashes.
 
+Texts are cut into words three times (sets, signatures, elements of the sets that are compared):
+that is cheaper than to keep a hundred signatures or some hundred elements for every document.
+
 Cases: null, empty and blank texts have no shingles and link with nothing. With fewer words than
 the width the whole sequence is one shingle. Null ids are numbered above all others; a component
 of null ids alone has a null component_id. Repeated rows are equal sets. Columns other than id and
@@ -50,32 +53,48 @@ class Bands:
             self.ends.append(low * 100 // self.percent)
         return int(np.searchsorted(self.ends, size))
 
-    def parts(self, instance: int) -> tuple[int, int]:
-        """n1 and k2 of an instance, whose linked sets differ in at most k elements."""
-        self.band(self.ends[-1] + 1 if len(self.ends) <= instance else 1)
+    def parts(self, instance: int) -> tuple[int, int, int]:
+        """n1, k2 and k of an instance, whose linked sets differ in at most k elements.
+
+        There are an eighth more parts than k + 1, so that the small ones need not be used.
+        """
         while len(self.ends) <= instance:
             self.band(self.ends[-1] + 1)
         k = int(2 * self.ends[instance] * Fraction(100 - self.percent, 100 + self.percent))
         k2 = min(k, self.n2 - 1)
-        n1 = -(-(k + 1) // (k2 + 1))
-        return n1, k2
+        spare = 2 + (k + 1) // 8 if k else 0
+        n1 = -(-(k + 1 + spare) // (k2 + 1))
+        return n1, k2, k
 
 
 def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
-    """Signatures of a set in both of its instances."""
+    """Signatures of a set in both of its instances: the k + 1 fullest subsets of parts in each.
+
+    Linked sets differ in at most k parts, so of P subsets of one part each they agree on P - k at
+    least. Each leaves out its P - k - 1 least subsets, in an order that their content alone gives;
+    the greatest of those on which two sets agree is then left out by neither.
+    """
     out = []
     of_part, content = mix(elements ^ np.uint64(0x5851F42D4C957F2D)), mix(elements ^ np.uint64(0x14057B7EF767814F))
     own = bands.band(len(elements))
     for instance in (own, own + 1):
-        n1, k2 = bands.parts(instance)
-        sums = np.zeros(n1 * bands.n2, np.uint64)
-        np.add.at(sums, (of_part % np.uint64(len(sums))).astype(np.intp), content)
-        sums = mix(sums).reshape(n1, bands.n2)
+        n1, k2, k = bands.parts(instance)
+        total = n1 * bands.n2
+        part = (of_part % np.uint64(total)).astype(np.intp)
+        sums = np.zeros(total, np.uint64)
+        np.add.at(sums, part, content)
+        sums, sizes = mix(sums).reshape(n1, bands.n2), np.bincount(part, minlength=total).reshape(n1, bands.n2)
+        sigs, full = [], []
         for which, subset in enumerate(combinations(range(bands.n2), bands.n2 - k2)):
             got = np.full(n1, instance, np.uint64) << np.uint64(40) | np.uint64(which) << np.uint64(32) | np.arange(n1, dtype=np.uint64)
-            for part in subset:
-                got = mix(got + sums[:, part])
-            out.append(got)
+            for p in subset:
+                got = mix(got + sums[:, p])
+            sigs.append(got)
+            full.append(sizes[:, list(subset)].sum(axis=1))
+        sigs, full = np.concatenate(sigs), np.concatenate(full)
+        if bands.n2 - k2 == 1 and len(sigs) > k + 1:
+            sigs = sigs[np.lexsort((sigs, full))[len(sigs) - k - 1 :]]
+        out.append(sigs)
     return np.concatenate(out)
 
 
@@ -84,23 +103,40 @@ def _texts(batch, text_at):
 
 
 def shingle_sets(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """row, vid, n, key (hash of the set), signatures of docs (row, vid, text)."""
+    """row, vid, n, key (hash of the set) of docs (row, vid, text)."""
 
     def run(batches):
-        known, bands = Hashes(), Bands(percent)
+        known = Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                n, keys, sigs = [], [], []
-                for text in _texts(part, 2):
+                sets = [shingles(word_hashes(lower_words(t), known), width) for t in _texts(part, 2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64())], ["row", "vid", "n", "key"])
+
+    return docs.mapInArrow(run, "row bigint, vid bigint, n bigint, key bigint")
+
+
+def _key(elements: np.ndarray) -> int | None:
+    return int(mix(np.array([mix(elements).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0]) if len(elements) else None
+
+
+def set_signatures(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """sig, key: a row for each signature of the sets of docs (text)."""
+
+    def run(batches):
+        known, bands = Hashes(), Bands(percent)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                keys, sigs = [], []
+                for text in _texts(batch.slice(at, 500), 0):
                     s = shingles(word_hashes(lower_words(text), known), width)
-                    n.append(len(s))
-                    keys.append(int(mix(np.array([mix(s).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0]) if len(s) else None)
-                    sigs.append(signatures(s, bands).view(np.int64) if len(s) else np.empty(0, np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sigs])]), pa.int32()), pa.array(np.concatenate(sigs)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), lists], ["row", "vid", "n", "key", "signatures"])
+                    if len(s):
+                        sigs.append(signatures(s, bands).view(np.int64))
+                        keys.append(np.full(len(sigs[-1]), _key(s), np.int64))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(keys))], ["sig", "key"])
 
-    return docs.mapInArrow(run, "row bigint, vid bigint, n bigint, key bigint, signatures array<bigint>")
+    return docs.select("text").mapInArrow(run, "sig bigint, key bigint")
 
 
 def set_elements(docs: DataFrame, width: int) -> DataFrame:
@@ -124,9 +160,10 @@ def _linked(percent: int, both, union):
 
 def links(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
     """a, b: links between keys of different sets, enough of them to join all sets that any links join."""
-    exploded = sets.select(F.explode("signatures").alias("sig"), "key")
-    shared = exploded.groupBy("sig").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("sharers")).filter("low < high").select("sig", "sharers")
-    shared = written(exploded.join(shared, "sig").distinct(), "shared")
+    # one exchange by signature: the signatures are the bulk of what moves
+    of_sig = Window.partitionBy("sig")
+    shared = set_signatures(docs, percent, width).select("sig", "key", F.min("key").over(of_sig).alias("low"), F.max("key").over(of_sig).alias("high"), F.count("*").over(of_sig).alias("sharers"))
+    shared = written(shared.filter("low < high").select("sig", "key", "sharers").distinct(), "shared")
     mass = shared.groupBy("key").agg(F.sum("sharers").alias("mass"))
     pivots = shared.join(mass, "key").groupBy("sig").agg(F.max(F.struct("mass", "key")).alias("top")).select("sig", F.col("top.key").alias("pivot"))
     pairs = written(shared.select("sig", "key").join(pivots, "sig").filter("key <> pivot").select("key", "pivot").distinct(), "pairs")
@@ -134,7 +171,8 @@ def links(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFra
     # one document of each set that is compared, with its elements
     needed = pairs.select("key").union(pairs.select("pivot")).distinct()
     ids = written(sets.select("key", "row").join(needed, "key").groupBy("key").agg(F.min("row").alias("row")), "needed")
-    elements = written(set_elements(docs.select("row", "text").join(ids, "row").select("key", "text"), width), "elements")
+    # a shuffle at every size: the ids grow with the documents, so they are not for broadcasting
+    elements = written(set_elements(docs.select("row", "text").join(ids.hint("merge"), "row").select("key", "text"), width), "elements")
 
     of_pivot = elements.select(F.col("key").alias("pivot"), F.col("elements").alias("pivot_elements"))
     got = pairs.join(elements, "key").join(of_pivot, "pivot")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space separates words, as in the contracts of the operators.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,3 +32,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/attesta-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """docs with a number for each row, by its place in its files.
+
+    Operators that meet a row's results again by this number read docs more than once, so docs must
+    be a table as read (written, if it was worked out): a scan numbers its rows alike each time.
+    """
+    return docs.withColumn(name, F.monotonically_increasing_id())

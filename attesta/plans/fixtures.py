@@ -116,7 +116,7 @@ answered AS (
     CASE WHEN h IN (3, 4) THEN 'escalate_to_human' WHEN h > 4 THEN expected END AS answer
   FROM (SELECT *, ((ok * 31 + m * 17) % 20)::INT AS h FROM base, (SELECT unnest([1, 2]) AS m)) b
 ), cites AS (
-  SELECT verification_id, ok, model, g.s AS signal_id, g.v AS cited_value, i - 1 AS orden
+  SELECT verification_id, ok, model, g.s AS signal_id, g.v AS cited_value, (i - 1)::INT AS orden
   FROM (SELECT *, unnest(gs) AS g, generate_subscripts(gs, 1) AS i FROM (
     SELECT verification_id, ok, model, list_filter(
       [{'s': 'mrz.checks_ok', 'v': coalesce(checks_ok::VARCHAR, 'NO DISPONIBLE')}, {'s': 'quality.front_glare', 'v': (floor(round(front_glare, 3) * 100 + 1e-9) / 100 + CASE WHEN h = 5 THEN 0.05 ELSE 0.0 END::DOUBLE)::VARCHAR}]

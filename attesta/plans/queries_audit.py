@@ -119,7 +119,7 @@ def _(spark, sf_dir):
     return flows.runs(spark, sf_dir).select(KEY, "model", "outcome", "decision", A.effective_decision(F.col("decision")).alias("effective"), F.when(F.col("outcome") != "unavailable", F.col("violation")).alias("violation"))
 
 
-@entry("sc26_quota_errors", "SELECT event_id, user_id % 3 = 0 AS per_minute, CASE user_id % 3 WHEN 0 THEN value + 0.5 WHEN 1 THEN 0.0 ELSE 0.0 END AS delay, least(CASE WHEN user_id % 3 = 0 THEN value + 0.5 ELSE 60.0 END, 75.0) AS wait FROM (SELECT event_id, user_id, floor(value)::BIGINT AS value FROM events)")
+@entry("sc26_quota_errors", "SELECT event_id, user_id % 3 = 0 AS per_minute, (CASE user_id % 3 WHEN 0 THEN value + 0.5 ELSE 0 END)::DOUBLE AS delay, least(CASE WHEN user_id % 3 = 0 THEN value + 0.5 ELSE 60 END, 75)::DOUBLE AS wait FROM (SELECT event_id, user_id, floor(value)::BIGINT AS value FROM events)")
 def _(spark, sf_dir):
     e = fixtures.table(spark, sf_dir, "events").withColumn("v", F.floor("value").cast("string"))
     body = (
@@ -165,7 +165,7 @@ def _(spark, sf_dir):
     return d.select(KEY, "decision", "rule", F.array_join("disagreements", ",").alias("disagreements"), F.size("groundings").cast("long").alias("n_groundings"))
 
 
-@entry("jn12_threshold_grid", over("SELECT s AS min_sharpness, g AS max_glare, count(*) FILTER (WHERE (CASE WHEN NOT readable OR round(front_sharpness) < s OR round(front_glare, 3) > g OR k = 8 THEN 'request_resubmission' WHEN NOT checks_ok OR len(bad) > 0 OR coalesce(mrz_expiry, expiry_date) < DATE '2006-01-01' THEN 'reject' ELSE 'approve' END) = expected) AS hits FROM base, (SELECT unnest([100.0, 300.0, 1500.0]) AS s), (SELECT unnest([0.2, 0.8, 0.9]) AS g) GROUP BY 1, 2"))
+@entry("jn12_threshold_grid", over("SELECT s::DOUBLE AS min_sharpness, g::DOUBLE AS max_glare, count(*) FILTER (WHERE (CASE WHEN NOT readable OR round(front_sharpness) < s OR round(front_glare, 3) > g OR k = 8 THEN 'request_resubmission' WHEN NOT checks_ok OR len(bad) > 0 OR coalesce(mrz_expiry, expiry_date) < DATE '2006-01-01' THEN 'reject' ELSE 'approve' END) = expected) AS hits FROM base, (SELECT unnest([100.0, 300.0, 1500.0]) AS s), (SELECT unnest([0.2, 0.8, 0.9]) AS g) GROUP BY 1, 2"))
 def _(spark, sf_dir):
     w = rules.widened(flows.signal_rows(spark, sf_dir)).join(flows.wide(spark, sf_dir).select(KEY, "expected_decision"), KEY)
     points = spark.createDataFrame([(s, g, 0) for s in (100.0, 300.0, 1500.0) for g in (0.2, 0.8, 0.9)], "min_sharpness double, max_glare double, max_missing int")

@@ -186,13 +186,18 @@ def replace_entities(docs: DataFrame, key: str, text_col="text") -> DataFrame:
     parts = parts.select("row", "pos", "sub", _dressed(F.col("original"), F.col("replacement"), F.col("kind")).alias("new"))
     whole = parts.groupBy("row", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub", "new"))), lambda p: p["new"]), "").alias("new"))
     per_doc = whole.groupBy(F.col("row").alias("_row")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda p: p["new"]).alias("_new"))
-    out = docs.join(written(per_doc, "per_document"), "_row", "left")
+    # texts without a hint of an entity pass by the join; the others meet their replacements by a shuffle at every size
+    hinted = F.coalesce(F.col(text_col).rlike(HINT), F.lit(False))
+    per_doc = written(per_doc, "per_document")
+    out = docs.filter(hinted).join(per_doc.hint("merge"), "_row", "left")
     between = F.split(F.col(text_col), PATTERN, -1)
     out = out.withColumn("_between", F.when(F.col("_new").isNotNull(), between))
     # text between mentions is null-safe: the last piece has no mention after it
     joined = F.array_join(F.transform(F.arrays_zip(F.col("_between").alias("a"), F.col("_new").alias("b")), lambda p: F.concat(p["a"], F.coalesce(p["b"], F.lit("")))), "")
     out = out.withColumn(text_col, F.when(F.col("_new").isNotNull(), joined).otherwise(F.col(text_col)))
-    return out.select(*[c for c in docs.columns if c != "_row"], F.coalesce(F.size("_new"), F.lit(0)).cast("long").alias("_n_entities"))
+    kept = [c for c in docs.columns if c != "_row"]
+    out = out.select(*kept, F.coalesce(F.size("_new"), F.lit(0)).cast("long").alias("_n_entities"))
+    return out.unionByName(docs.filter(~hinted).select(*kept, F.lit(0).cast("long").alias("_n_entities")))
 
 
 def query(spark, sf_dir, key="a key of the owner's"):

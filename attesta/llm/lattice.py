@@ -128,6 +128,19 @@ def word_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
     return written(counts.mapInArrow(weigh, "word string, c bigint, lattice double"), "words")
 
 
+def _common_count(words: DataFrame, common: int) -> int:
+    """The least count of which words of that count or more are `common` at most, to a twelfth of an octave."""
+    octave = F.floor(F.log2("c") * 12).cast("int")
+    sizes = {r["o"]: r["count"] for r in words.filter("c > 0").groupBy(octave.alias("o")).count().collect()}
+    held, least = 0, 1 << 62
+    for o in sorted(sizes, reverse=True):
+        held += sizes[o]
+        if held > common:
+            break
+        least = math.ceil(2 ** (o / 12) - 1e-9)
+    return least
+
+
 def score(docs: DataFrame, pieces: Pieces, id_col="doc_id", text_col="text", common: int = 20_000) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
@@ -137,11 +150,11 @@ def score(docs: DataFrame, pieces: Pieces, id_col="doc_id", text_col="text", com
     d = t["n1"] / (t["n1"] + 2 * t["n2"]) if t["n1"] else 0.5 if n else 0.0
     share = F.greatest(F.col("c") - d, F.lit(0.0)) / max(n, 1)
     prob = share + F.lit(d * v / n if n else 1.0) * F.exp("lattice")
-    # where exp would underflow, the lattice alone is the word's probability
-    one = F.when((share == 0) | (F.col("lattice") < -600), (F.col("lattice") + math.log(d * v / n if n else 1.0)) / math.log(10)).otherwise(F.log10(prob))
+    # a word that training lacks is spelled; in logs, as a long one would underflow
+    one = F.when(share == 0, (F.col("lattice") + math.log(d * v / n if n else 1.0)) / math.log(10)).otherwise(F.log10(prob))
     base = F.log10((F.col("c") + 0.5) / (n + 0.5 * (v + 1))) if n else F.lit(None).cast("double")
     words = words.select("word", "c", base.alias("base"), one.alias("score"))
-    top = words.orderBy(F.desc("c"), "word").limit(common).collect()  # at most `common` rows
+    top = words.filter(F.col("c") >= _common_count(words, common)).collect()  # at most `common` rows
     of_common = docs.sparkSession.sparkContext.broadcast({r["word"].encode(): (r["c"] > 0, r["base"] or 0.0, r["score"]) for r in top})
 
     def split(batches):
@@ -149,8 +162,8 @@ def score(docs: DataFrame, pieces: Pieces, id_col="doc_id", text_col="text", com
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                out_row, out_word, out_n, sums = [], [], [], []
-                for row, text in zip(part.column(0).to_pylist(), part.column(1)):
+                out_row, out_word, out_n, sums, places = [], [], [], [], []
+                for place, (row, text) in enumerate(zip(part.column(0).to_pylist(), part.column(3))):
                     got = Counter(lower_words(text.as_py()))
                     got[b"\n"] += 1
                     total, n_known, base_sum, score_sum = 0, 0, 0.0, 0.0
@@ -161,6 +174,7 @@ def score(docs: DataFrame, pieces: Pieces, id_col="doc_id", text_col="text", com
                             out_row.append(row)
                             out_word.append(w.decode())
                             out_n.append(k)
+                            places.append(None)
                             sums.append((0, 0, 0.0, 0.0))
                         else:
                             n_known += k * hit[0]
@@ -170,23 +184,26 @@ def score(docs: DataFrame, pieces: Pieces, id_col="doc_id", text_col="text", com
                     out_row.append(row)
                     out_word.append(f" {row}")
                     out_n.append(0)
+                    places.append(place)
                     sums.append((total, n_known, base_sum, score_sum))
-                cols = list(zip(*sums))
+                cols, of_doc = list(zip(*sums)), pa.array(places, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_row, pa.int64()), pa.array(out_word, pa.string()), pa.array(out_n, pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())],
-                    ["row", "word", "n", "total", "n_known", "base_sum", "score_sum"],
+                    [pa.array(out_row, pa.int64()), part.column(1).take(of_doc), part.column(2).take(of_doc), pa.array(out_word, pa.string()), pa.array(out_n, pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())],
+                    ["row", "id", "held_out", "word", "n", "total", "n_known", "base_sum", "score_sum"],
                 )
 
-    parts = rows.select("row", "text").mapInArrow(split, "row bigint, word string, n bigint, total bigint, n_known bigint, base_sum double, score_sum double")
+    kind = rows.schema["id"].dataType.simpleString()
+    parts = rows.mapInArrow(split, f"row bigint, id {kind}, held_out boolean, word string, n bigint, total bigint, n_known bigint, base_sum double, score_sum double")
     parts = parts.join(words, "word", "left")
     times = lambda c: F.coalesce(F.col("n") * F.col(c), F.lit(0.0))
-    sums = parts.groupBy("row").agg(
+    out = parts.groupBy("row").agg(
+        F.max("id").alias("id"),
+        F.max("held_out").alias("held_out"),
         F.sum("total").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"),
         F.sum(F.col("base_sum") + times("base")).alias("base_score"),
         F.sum(F.col("score_sum") + times("score")).alias("score"),
     )
-    out = rows.select("row", "id", "held_out").join(sums, "row")
     base_score = F.col("base_score") if n else F.lit(None).cast("double")
     return out.select("id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base_score.alias("base_score"), "score")
 

@@ -106,9 +106,14 @@ def date_of(raw: Column, as_of, past: bool) -> Column:
     return F.coalesce(fit, F.greatest(a, b))
 
 
+def with_values(df: DataFrame, upper="upper", middle="middle") -> DataFrame:
+    """df with _uv and _mv, the lines as checks() sums them: columns, so that no term works them out anew."""
+    return df.withColumn("_uv", _values(F.col(upper))).withColumn("_mv", _values(F.col(middle)))
+
+
 def checks(upper: Column, middle: Column) -> Column:
-    """Array of (name, printed, computed, ok) in the order of CHECKS."""
-    u, m = _values(upper), _values(middle)
+    """Array of (name, printed, computed, ok) in the order of CHECKS, of a row of with_values()."""
+    u, m = F.col("_uv"), F.col("_mv")
     found = ((_span(upper, 14, 15), digit_over((u, 5, 14))), (_span(middle, 6, 7), digit_over((m, 0, 6))), (_span(middle, 14, 15), digit_over((m, 8, 14))), (_span(middle, 29, 30), digit_over((u, 5, 30), (m, 0, 7), (m, 8, 15), (m, 18, 29))))
     return F.array(*[F.struct(F.lit(name).alias("name"), printed.alias("printed"), digit.alias("computed"), F.coalesce(printed == digit.cast("string"), F.lit(False)).alias("ok")) for name, (printed, digit) in zip(CHECKS, found, strict=True)])
 
@@ -121,7 +126,7 @@ def parsed(df: DataFrame, as_of, upper="upper", middle="middle", lower="lower")
     given = F.when(at > 0, F.substring(low, at + 2, F.lit(30))).when(low.isNotNull(), "")
     plain = lambda x: F.trim(F.replace(x, F.lit("<"), F.lit(" ")))
     bare = lambda x: F.replace(x, F.lit("<"), F.lit(""))
-    df = df.withColumn("mrz_checks", F.when(u.isNotNull(), checks(u, m)))
+    df = with_values(df, upper, middle).withColumn("mrz_checks", F.when(u.isNotNull(), checks(u, m))).drop("_uv", "_mv")
     return df.withColumns({
         "mrz_document_type": bare(_span(u, 0, 2)), "mrz_country": _span(u, 2, 5), "mrz_document_number": bare(_span(u, 5, 14)),
         "mrz_birth_date": date_of(_span(m, 0, 6), as_of, True), "mrz_sex": _span(m, 7, 8), "mrz_expiry_date": date_of(_span(m, 8, 14), as_of, False),
@@ -144,25 +149,27 @@ def with_built_lines(df: DataFrame, document_number: Column, birth: Column, sex:
     return df.select(*kept, upper.alias("upper"), middle.alias("middle"), F.col("_low").alias("lower"))
 
 
-_VALUE = {c: i for i, c in enumerate("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")} | {"<": 0}
-
-
-def _digits_close(u: str, m: str) -> bool:
-    def digit(text):
-        return str(sum(_VALUE[c] * WEIGHTS[i % 3] for i, c in enumerate(text)) % 10)
-
-    return u[14] == digit(u[5:14]) and m[6] == digit(m[:6]) and m[14] == digit(m[8:14]) and m[29] == digit(u[5:30] + m[:7] + m[8:15] + m[18:29])
+_VALUE = {c: i for i, c in enumerate(DIGITS)} | {"<": 0}
+#: For each check: where its digit is printed, and the weights of the places (line, place) that it sums.
+_PRINTED = ((0, 14), (1, 6), (1, 14), (1, 29))
+_SPANS = (((0, 5, 14),), ((1, 0, 6),), ((1, 8, 14),), ((0, 5, 30), (1, 0, 7), (1, 8, 15), (1, 18, 29)))
+_WEIGHT = [{place: WEIGHTS[i % 3] for i, place in enumerate((k, p) for k, a, b in spans for p in range(a, b))} for spans in _SPANS]
 
 
 def _single_repair(lines: list[str]) -> list[str] | None:
-    """The first single confusable character, by line, place and CONFUSIONS, with which all four digits close."""
+    """The first single confusable character, by line, place and CONFUSIONS, with which all four digits close.
+
+    A change moves each sum by a known amount, so the sums are made once for a row.
+    """
+    sums = [sum(_VALUE[lines[k][p]] * w for (k, p), w in weight.items()) for weight in _WEIGHT]
     for k in range(2):  # the third line has no digit: a change there can't make them close
         for i, c in enumerate(lines[k]):
             for wrong, right in CONFUSIONS:
                 if c == wrong:
-                    tried = list(lines)
-                    tried[k] = lines[k][:i] + right + lines[k][i + 1 :]
-                    if _digits_close(tried[0], tried[1]):
+                    moved = _VALUE[right] - _VALUE[c]
+                    if all(str((total + moved * weight.get((k, i), 0)) % 10) == (right if at == (k, i) else lines[at[0]][at[1]]) for total, weight, at in zip(sums, _WEIGHT, _PRINTED, strict=True)):
+                        tried = list(lines)
+                        tried[k] = lines[k][:i] + right + lines[k][i + 1 :]
                         return tried
     return None
 
@@ -187,10 +194,10 @@ def read_zone(df: DataFrame, text="mrz_text", repair: bool = True) -> DataFrame:
     df = df.withColumn("mrz_error", F.when(F.col("_lines").isNull(), "unreadable"))
     if not repair:
         return df.withColumn("repaired", F.lit(False)).drop("_lines")
-    df = df.withColumn("_failing", F.col("upper").isNotNull() & ~F.forall(checks(F.col("upper"), F.col("middle")), lambda c: c["ok"]))
+    df = with_values(df).withColumn("_failing", F.col("upper").isNotNull() & ~F.forall(checks(F.col("upper"), F.col("middle")), lambda c: c["ok"]))
     only = lambda c: F.when(F.col("_failing"), F.col(c))
     df = df.withColumn("_new", _repaired(only("upper"), only("middle"), only("lower")))
     df = df.withColumn("repaired", F.col("_new.upper").isNotNull())
     for c in ("upper", "middle", "lower"):
         df = df.withColumn(c, F.coalesce(F.col(f"_new.{c}"), F.col(c)))
-    return df.drop("_lines", "_failing", "_new")
+    return df.drop("_lines", "_failing", "_new", "_uv", "_mv")

@@ -128,7 +128,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     got = mix(docs, row_col="_row", **options)
     parts = got.pieces.filter("last").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("_parts"))
     plan = got.rows.filter("taken > 0").select("row", F.col("size").alias("_size"), F.col("passes").alias("_passes")).join(parts, "row", "left").withColumnRenamed("row", "_row")
-    out = docs.join(plan, "_row")
+    out = docs.join(plan.hint("merge"), "_row")
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
     out = out.withColumn("_words", F.when(F.col("_parts").isNotNull(), words))
     part = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(F.col("_words"), (p["first_word"] + 1).cast("int"), p["words"].cast("int")))), " ")

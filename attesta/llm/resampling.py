@@ -186,7 +186,7 @@ def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs without the rows that the classifier rejects."""
     docs = docs.withColumn("_row", F.monotonically_increasing_id())
     kept = classify(docs, labels, row_col="_row", **options).filter("kept").select(F.col("row").alias("_row"))
-    return docs.join(kept, "_row").drop("_row")
+    return docs.join(kept.hint("merge"), "_row").drop("_row")
 
 
 def query(spark, sf_dir):

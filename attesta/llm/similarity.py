@@ -191,7 +191,10 @@ def links(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFra
     often = items.groupBy("pivot", "e").agg(F.count("*").alias("often")).filter("often > 1")
     items = items.join(often, ["pivot", "e"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
     items = items.withColumn("pos", F.row_number().over(Window.partitionBy("pivot", "key").orderBy("often", "e")))
-    overlap = F.ceil((F.col("h") + (F.col("pivot_n") - F.col("n")) * tight) / 2 - F.lit(1e-9))
+    # a linked partner is at most 100 / percent times as large, and differs from the pivot by as much less the links' most
+    far = F.col("h") - F.col("n") * (1 + 100 / percent) * tight
+    overlap = F.ceil(F.greatest((F.col("h") + (F.col("pivot_n") - F.col("n")) * tight) / 2, far) - F.lit(1e-9))
+    items = items.filter(F.col("pos") <= F.col("h") - F.greatest(F.lit(1), F.ceil(far - F.lit(1e-9))) + 1)
     items = written(items.withColumn("short", F.col("pos") <= F.col("h") - F.greatest(F.lit(1), overlap) + 1).filter("often > 1"), "ordered")
     x = items.filter("not linked").select("pivot", "e", *[F.col(c).alias(f"x_{c}") for c in ("key", "n", "h", "pos")])
     y = items.filter("short").select("pivot", "e", *[F.col(c).alias(f"y_{c}") for c in ("key", "n", "h", "pos")])
@@ -245,7 +248,7 @@ def drop_near_duplicates(docs: DataFrame, percent=80, width=5) -> DataFrame:
     """docs with one row of each component; the smallest id stays."""
     docs = docs.withColumn("_row", F.monotonically_increasing_id())
     stays = near_duplicates(docs, percent, width, row_col="_row").filter("first").select(F.col("row").alias("_row"))
-    return docs.join(stays, "_row").drop("_row")
+    return docs.join(stays.hint("merge"), "_row").drop("_row")
 
 
 def query(spark, sf_dir):

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.sources.tables import scratch
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -104,5 +106,13 @@ def numbered_people(files: DataFrame, pair: bool = False) -> DataFrame:
     role, number = F.lower(F.regexp_extract("name", r"^([A-Za-z]+)", 1)), F.regexp_extract("name", r"(\d+)", 1)
     df = files.withColumn("role", role).withColumn("key", number if pair else F.concat_ws("-", role, number)).filter("key <> ''")
     last = df.groupBy("key", "role").agg(F.max("name").alias("name"))
-    n = last.select("key").distinct().withColumn("person", F.concat(F.lit("persona-"), F.lpad(F.row_number().over(Window.orderBy("key")).cast("string"), 2, "0")))
+    # keys in ranges, written once: a key's place is its place in its range after the ranges before
+    spark, path = files.sparkSession, scratch(files.sparkSession, "people")
+    last.select("key").distinct().repartitionByRange("key").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    keys = spark.read.schema("key string, part int").parquet(path)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keys.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = (F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy("key"))).cast("string")
+    # a number of three digits or more stays whole
+    n = keys.join(F.broadcast(starts), "part").select("key", F.concat(F.lit("persona-"), F.when(F.length(place) < 2, "0").otherwise(""), place).alias("person"))
     return last.join(n, "key").select("person", "role", "name")

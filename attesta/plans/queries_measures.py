@@ -208,6 +208,14 @@ def _(spark, sf_dir):
     return faces.numbered_people(files, pair=True)
 
 
+# on file names of every order, which grow
+@entry("wn11_numbered_files", "WITH f AS (SELECT ['front', 'back', 'selfie'][(o_orderkey % 3 + 1)::INT] AS role, o_custkey AS num, o_orderkey FROM orders), k AS (SELECT num::VARCHAR AS key, role, max(role || '_' || num || '-' || o_orderkey || '.jpg') AS name FROM f GROUP BY 1, 2), n AS (SELECT (dense_rank() OVER (ORDER BY key))::VARCHAR AS n, role, name FROM k) SELECT 'persona-' || CASE WHEN length(n) < 2 THEN '0' ELSE '' END || n AS person, role, name FROM n")
+def _(spark, sf_dir):
+    role = F.element_at(F.array(F.lit("front"), F.lit("back"), F.lit("selfie")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    o = fixtures.table(spark, sf_dir, "orders")
+    return faces.numbered_people(o.select(F.concat(role, F.lit("_"), "o_custkey", F.lit("-"), "o_orderkey", F.lit(".jpg")).alias("name")), pair=True)
+
+
 # Budgets
 def attempts(spark, sf_dir):
     e = fixtures.table(spark, sf_dir, "events")

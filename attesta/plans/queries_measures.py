@@ -121,6 +121,19 @@ def _(spark, sf_dir):
     return a.select(KEY, d.alias("d")).select(KEY, "d.line", "d.marks")
 
 
+# the pair above compares every seventh reading; this compares all of them
+@entry("jn11_all_readings", over("SELECT verification_id, CASE WHEN ok % 7 = 0 THEN CASE WHEN k % 2 = 1 THEN 1 ELSE 2 END END AS line, CASE WHEN ok % 7 = 0 THEN CASE WHEN k % 2 = 1 THEN repeat(' ', 4) || '^' || repeat(' ', 25) ELSE repeat(' ', 7) || '^' || repeat(' ', 22) END END AS marks FROM apps"))
+def _(spark, sf_dir):
+    from attesta.functions import mrz
+
+    a = fixtures.applications(spark, sf_dir)
+    a = mrz.with_built_lines(a, F.col("document_number"), F.col("birth_date"), F.col("sex"), F.col("expiry_date"), F.col("base").cast("string"), F.col("surnames"), F.col("given_names"))
+    altered, odd = F.col("ok") % 7 == 0, F.col("k") % 2 == 1
+    read = F.array(F.when(altered & odd, F.overlay("upper", F.lit("M"), F.lit(5))).otherwise(F.col("upper")), F.when(altered & ~odd, F.overlay("middle", F.lit("X"), F.lit(8))).otherwise(F.col("middle")), F.col("lower"))
+    d = evaluation.first_difference(read, F.array("upper", "middle", "lower"))
+    return a.select(KEY, d.alias("d")).select(KEY, "d.line", "d.marks")
+
+
 # Faces
 def photos_of(spark, sf_dir):
     e = fixtures.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("photo"), F.col("label").alias("identity"), "embedding")
@@ -351,9 +364,8 @@ def _(spark, sf_dir):
     return captures.admission(e).select("event_id", "present", "reject_reason")
 
 
-@entry("io3_stored_responses", over("SELECT sha256('{\"model\":\"m1\",\"request\":\"' || verification_id || '\"}') AS key FROM apps WHERE k % 4 <> 0 AND ok % 50 = 1"))
-def _(spark, sf_dir):
-    a = fixtures.applications(spark, sf_dir).filter("ok % 50 = 1")
+def through_store(spark, a):
+    """Keys of the responses of applications, written as one JSON a line and read again; a torn line is not there."""
     body = F.when(F.col("k") % 4 != 0, F.to_json(F.struct(F.lit("2024-01-01").alias("cached_at"), F.lit("m1").alias("model"), F.col(KEY).alias("request"), F.lit("{}").alias("response")))).otherwise('{"model": "m1"')
     path = scratch(spark, "responses")
     a.select(body.alias("value")).write.text(path)
@@ -361,6 +373,17 @@ def _(spark, sf_dir):
     return got.select(flows.A.request_key(F.col("model"), F.col("request")).alias("key"))
 
 
+@entry("io3_stored_responses", over("SELECT sha256('{\"model\":\"m1\",\"request\":\"' || verification_id || '\"}') AS key FROM apps WHERE k % 4 <> 0 AND ok % 50 = 1"))
+def _(spark, sf_dir):
+    return through_store(spark, fixtures.applications(spark, sf_dir).filter("ok % 50 = 1"))
+
+
+# the pair above stores one application in fifty; this stores all of them
+@entry("io3_all_responses", over("SELECT sha256('{\"model\":\"m1\",\"request\":\"' || verification_id || '\"}') AS key FROM apps WHERE k % 4 <> 0"))
+def _(spark, sf_dir):
+    return through_store(spark, fixtures.applications(spark, sf_dir))
+
+
 @entry("io4_budget_journal", f"WITH {_ATTEMPTS} SELECT day, account || '/' || model AS slot, count(*)::INT AS spent FROM a WHERE NOT refund GROUP BY ALL")
 def _(spark, sf_dir):
     n = budget.spent(attempts(spark, sf_dir).filter("kind = 'record'"))

@@ -37,3 +37,10 @@ def test_people_beyond_ninety_nine(spark):
     keys = sorted(str(n) for n in range(250))
     want = {(f"persona-{i + 1:02d}", f"front_{k}-1.jpg") for i, k in enumerate(keys)}
     assert len(got) == 250 and {(r.person, r.name) for r in got} == want
+
+
+def test_every_reading_and_response(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    got = catalog.QUERIES["jn11_all_readings"](spark, sf)
+    assert got.count() == orders.count() and got.filter("line is null and marks is null").count() == orders.filter("o_orderkey % 7 <> 0").count()
+    assert catalog.QUERIES["io3_all_responses"](spark, sf).distinct().count() == orders.filter("o_orderkey % 16 % 4 <> 0").count()

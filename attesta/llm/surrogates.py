@@ -10,7 +10,11 @@ mention then takes its replacement in its own separators and case. So two spelli
 address in upper case, or "Mr Smith" and "Mr John Smith", stay in agreement everywhere.
 
 Replacements must be distinct, and no entity's own value: those that collide, save one, are made
-anew from the next hash, until none collides. Mentions meet replacements in an equi-join on the
+anew from the next hash, until none collides. A mail's local part has to be distinct within its
+domain, and a domain within its last label, as the whole address is then. After some rounds at the
+entity's own length every further round makes the rest a letter or a syllable longer (numbers a
+digit), so no space is too small. Network addresses alone have a fixed space, of 3.6 billion.
+A part without any letter or digit stays. Mentions meet replacements in an equi-join on the
 entity, of which Spark can split a hot side; a document's mentions are put together by document.
 
 Cases: null text stays null with 0 entities; texts without entities are unchanged. Texts are
@@ -47,7 +51,7 @@ KINDS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Texts without any of these have no entity; a search of this pattern is much cheaper.
-HINT = r"[@\d]|=|token|(?:" + "|".join(MALE_TITLES + FEMALE_TITLES) + r")\.? "
+HINT = r"[@\d]|=|token|AKIA|(?:" + "|".join(MALE_TITLES + FEMALE_TITLES) + r")\.? "
 
 
 def _kind(value: Column) -> Column:
@@ -84,7 +88,9 @@ def mentions(docs: DataFrame) -> DataFrame:
     """row, pos, sub, kind, canon, original of the entities of docs (row, text)."""
     found = docs.filter(F.col("text").rlike(HINT)).select("row", F.posexplode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("pos", "value"))
     found = found.withColumn("kind", _kind(F.col("value")))
-    return found.select("row", "pos", F.posexplode(_parts(F.col("kind"), F.col("value"))).alias("sub", "part")).select("row", "pos", "sub", "part.*")
+    found = found.select("row", "pos", F.posexplode(_parts(F.col("kind"), F.col("value"))).alias("sub", "part")).select("row", "pos", "sub", "part.*")
+    head = F.when(F.col("kind") == "domain", F.regexp_replace("original", r"\.[^.]*$", "")).otherwise(F.col("original"))
+    return found.withColumn("kind", F.when(head.rlike(r"[\p{L}\p{N}]"), F.col("kind")).otherwise("keep"))
 
 
 def _number(seed: Column, i: Column) -> Column:
@@ -104,8 +110,8 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), worth), F.lit(0), lambda a, x: a + x)
 
 
-def _replacement(key: str) -> Column:
-    """The replacement of an entity (kind, canon, body, attempt): as many letters and digits as its body has."""
+def _replacement(key: str, rounds: int) -> tuple[Column, Column]:
+    """The replacement of an entity (kind, canon, body, attempt): as many letters and digits as its body has, and more from attempt `rounds` on."""
     seed = F.concat_ws("|", F.lit(key), F.col("kind"), F.col("canon"), F.col("attempt").cast("string"))
     body, kind = F.col("body"), F.col("kind")
     hexed = kind.isin("secret") & body.rlike("^[0-9a-fA-F]+$")
@@ -117,46 +123,57 @@ def _replacement(key: str) -> Column:
         letter = F.when(hexed, _pick(ALPHABETS["hex"], x)).when(c.rlike(r"\p{IsCyrillic}"), _pick(ALPHABETS["cyrillic"], x)).when(c.rlike(r"\p{IsGreek}"), _pick(ALPHABETS["greek"], x)).when(c.rlike(r"\p{IsHan}"), _pick(ALPHABETS["han"], x)).otherwise(_pick(ALPHABETS["latin"], x))
         return F.when(i < keep, c).when(c.rlike(r"\p{N}"), F.when((kind == "phone") & (i == keep), _pick("23456789", x)).otherwise(_pick(ALPHABETS["digit"], x))).otherwise(letter)
 
-    same = F.array_join(F.transform(F.split(body, ""), one), "")
+    # what attempts after the first rounds add, each one more
+    cyrillic = F.col("canon").rlike(r"\p{IsCyrillic}")
+    latin_or = lambda latin, other: F.when(cyrillic, other).otherwise(latin)
+    added = F.when(F.col("attempt") >= rounds, F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("attempt") - rounds + 1))).otherwise(F.array().cast("array<int>"))
+    pick_more = lambda made: F.array_join(F.transform(added, lambda i: made(_number(seed, F.concat(F.lit("+"), i.cast("string"))))), "")
+    more_syllables = pick_more(lambda x: latin_or(_pick(SYLLABLES["latin"], x), _pick(SYLLABLES["cyrillic"], x)))
+    more_letters = pick_more(lambda x: F.when(body.rlike(r"^\p{N}+$"), _pick(ALPHABETS["digit"], x)).when(hexed, _pick(ALPHABETS["hex"], x)).otherwise(latin_or(_pick(ALPHABETS["latin"], x), _pick(ALPHABETS["cyrillic"], x))))
+    same = F.concat(F.array_join(F.transform(F.split(body, ""), one), ""), more_letters)
     # the last digit of a card whose number is valid makes the new number valid
     zero = F.concat(F.substring(same, 1, 1), F.expr("substring(_same, 2, length(_same) - 2)"), F.lit("0"))
     numbers = lambda i: _number(seed, F.lit(i))
     ip = F.concat_ws(".", (numbers(0) % 223 + 1).cast("string"), *[(numbers(i) % 254 + 1).cast("string") for i in (1, 2, 3)])
-    cyrillic = F.col("canon").rlike(r"\p{IsCyrillic}")
 
     def syllables(first, count, script):
         return F.concat(*[_pick(SYLLABLES[script], numbers(first + i)) for i in range(count)])
 
     surname = F.initcap(F.when(cyrillic, syllables(0, 4, "cyrillic")).otherwise(syllables(0, 4, "latin")))
     given = lambda g: F.when(cyrillic, _pick(NAMES[g, "cyrillic"], numbers(0))).otherwise(_pick(NAMES[g, "latin"], numbers(0)))
-    more = F.when(F.col("attempt") == 0, "").when(cyrillic, syllables(1, 3, "cyrillic")).otherwise(syllables(1, 3, "latin"))
+    surname = F.concat(surname, more_syllables)
+    more = F.concat(F.when(F.col("attempt") == 0, "").when(cyrillic, syllables(1, 3, "cyrillic")).otherwise(syllables(1, 3, "latin")), more_syllables)
     return same, F.when(kind == "ip", ip).when(kind == "surname", surname).when(kind == "given_m", F.concat(given("m"), more)).when(kind == "given_f", F.concat(given("f"), more)).when(
         (kind == "card") & (_luhn(F.col("canon")) % 10 == 0), F.concat(F.expr("substring(_same, 1, length(_same) - 1)"), ((10 - _luhn(zero) % 10) % 10).cast("string"))
     ).otherwise(F.col("_same"))
 
 
-def replacements(found: DataFrame, key: str, rounds: int = 30) -> DataFrame:
-    """kind, canon, replacement of every entity of found; no two of a kind are equal, none is an entity's own value."""
+def replacements(found: DataFrame, key: str, rounds: int = 4) -> DataFrame:
+    """kind, canon, replacement of every entity of found; no two surrogates of a kind are equal, none is an entity's own value.
+
+    rounds: attempts at the entity's own length, before replacements grow.
+    """
     body = F.regexp_replace("original", r"[^\p{L}\p{N}]", "")
     # of a domain, the last label stays
     body = F.when(F.col("kind") == "domain", F.regexp_replace(F.regexp_replace("original", r"\.[^.]*$", ""), r"[^\p{L}\p{N}]", "")).otherwise(body)
     todo = found.filter("kind <> 'keep'").groupBy("kind", "canon").agg(F.min(F.when(F.col("kind").isin("secret", "key"), body).otherwise(F.lower(body))).alias("body"))
-    todo = written(todo.withColumn("attempt", F.lit(0)), "entities")
-    own = todo.select("kind", F.when(F.col("kind").isin("ip", "surname", "given_m", "given_f"), F.col("canon")).otherwise(F.lower("body")).alias("replacement"))
+    # where replacements have to be distinct: what stands beside them in the whole surrogate
+    within = F.when(F.col("kind") == "mail", F.substring_index("canon", "@", -1)).when(F.col("kind") == "domain", F.substring_index("canon", ".", -1)).otherwise("")
+    todo = written(todo.withColumn("within", within).withColumn("attempt", F.lit(0)), "entities")
+    own = todo.select("kind", "within", F.when(F.col("kind").isin("ip", "surname", "given_m", "given_f"), F.col("canon")).otherwise(F.lower("body")).alias("replacement"))
     done = None
-    same, made = _replacement(key)
-    for _ in range(rounds):
+    same, made = _replacement(key, rounds)
+    while True:
         fresh = written(todo.withColumn("_same", same).withColumn("replacement", made).drop("_same").withColumn("old", F.lit(1)), "made")
         every = fresh if done is None else fresh.unionByName(done.withColumn("old", F.lit(0)))
-        winners = every.groupBy("kind", "replacement").agg(F.min(F.struct("old", "canon")).alias("winner"))
-        winners = winners.join(own.distinct(), ["kind", "replacement"], "left_anti").select("kind", F.col("winner.canon").alias("canon"), F.lit(True).alias("won"))
+        winners = every.groupBy("kind", "within", "replacement").agg(F.min(F.struct("old", "canon")).alias("winner"))
+        winners = winners.join(own.distinct(), ["kind", "within", "replacement"], "left_anti").select("kind", F.col("winner.canon").alias("canon"), F.lit(True).alias("won"))
         judged = written(fresh.join(winners, ["kind", "canon"], "left"), "judged")
         won = judged.filter("won").drop("won", "old")
         done = won if done is None else done.unionByName(won)
         todo = judged.filter("won is null").drop("won", "old", "replacement").withColumn("attempt", F.col("attempt") + 1)
         if todo.isEmpty():
             return done.select("kind", "canon", "replacement")
-    raise RuntimeError(f"replacements still collide after {rounds} rounds")
 
 
 def _dressed(original: Column, replacement: Column, kind: Column) -> Column:
@@ -171,7 +188,9 @@ def _dressed(original: Column, replacement: Column, kind: Column) -> Column:
         on = c.rlike(r"[\p{L}\p{N}]")
         return F.struct(F.concat(acc["text"], F.when(on, new).otherwise(c)).alias("text"), (acc["at"] + on.cast("int")).alias("at"))
 
-    filled = F.aggregate(F.split(head, ""), start, step, lambda acc: acc["text"])
+    # what a grown replacement has beyond the mention's own letters and digits comes after them
+    loud = (F.upper(head) == head) & (F.lower(head) != head)
+    filled = F.aggregate(F.split(head, ""), start, step, lambda acc: F.concat(acc["text"], F.when(loud, F.upper(F.substring(replacement, acc["at"], F.length(replacement)))).otherwise(F.substring(replacement, acc["at"], F.length(replacement)))))
     whole = F.when(F.upper(original) == original, F.upper(replacement)).otherwise(replacement)
     return F.when(kind == "keep", original).when(kind == "ip", replacement).when(kind.isin("surname", "given_m", "given_f"), whole).otherwise(F.concat(filled, tail))
 

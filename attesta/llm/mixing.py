@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.tables import WORD, written
+from attesta.llm.tables import WORD, numbered, written
 
 #: Multipliers of the index permutations; their product exceeds any count of blocks, so one is coprime.
 PRIMES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099)
@@ -69,14 +69,15 @@ def _with_permutation(sources: DataFrame, block_words: int, seed: int) -> DataFr
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", row_col=None, weights=(5, 2, 1), share=1.5, cap=2.0, block_words=64, shard_words=1 << 20, seed=17) -> Mixture:
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    sizes = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sizes = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text_col)).alias("content"))
     sizes = written(sizes, "sizes")
     total = sizes.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
     n_buckets = max(1, total["rows"] // 4096 + total["words"] // (1 << 20))
     n_shards = max(1, int(total["words"] * share) // shard_words)
 
     sources = written(_with_permutation(source_targets(sizes, weights, share, cap), block_words, seed), "sources")
-    order = F.xxhash64(F.lit(seed), F.col("id"), F.col("row"))
+    # the number of a row decides among equal rows alone, so that the mix does not follow how the input is split
+    order = F.xxhash64(F.lit(seed), F.col("id"), F.col("content"))
     rows = sizes.withColumn("source_key", F.coalesce("source", F.lit(""))).withColumn("null_source", F.col("source").isNull())
     keyed = sources.withColumn("source_key", F.coalesce("source", F.lit(""))).withColumn("null_source", F.col("source").isNull()).drop("source")
     rows = rows.join(keyed, ["source_key", "null_source"]).drop("source_key", "null_source")
@@ -84,7 +85,7 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
 
     # Offsets of words within a source in two levels, so that a large source isn't one task.
     in_bucket = Window.partitionBy("source_no", "bucket")
-    before = in_bucket.orderBy("order", "row").rowsBetween(Window.unboundedPreceding, -1)
+    before = in_bucket.orderBy("order", "id", "content", "row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("in_bucket", F.sum("size").over(in_bucket))
     rows = written(rows, "placed")
     of_source = ["source_size", "passes", "rest", "n_blocks", "step", "shift", "last_place"]
@@ -124,7 +125,7 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows of docs: a whole copy for each full pass, and one row of the words that the last pass takes."""
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    docs = numbered(docs)
     got = mix(docs, row_col="_row", **options)
     parts = got.pieces.filter("last").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("_parts"))
     plan = got.rows.filter("taken > 0").select("row", F.col("size").alias("_size"), F.col("passes").alias("_passes")).join(parts, "row", "left").withColumnRenamed("row", "_row")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.tables import read, written
+from attesta.llm.tables import numbered, read, written
 from attesta.llm.words import Hashes, mix
 
 BUCKETS = 1 << 18
@@ -184,7 +184,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, see
 
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs without the rows that the classifier rejects."""
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    docs = numbered(docs)
     kept = classify(docs, labels, row_col="_row", **options).filter("kept").select(F.col("row").alias("_row"))
     return docs.join(kept.hint("merge"), "_row").drop("_row")
 

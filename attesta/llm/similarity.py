@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.tables import read, written
+from attesta.llm.tables import numbered, read, written
 from attesta.llm.words import Hashes, lower_words, mix, shingles, word_hashes
 
 NULL_IDS = 1 << 62
@@ -229,8 +229,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent=90, width=3, id_col="doc_id", text_col="text", row_col=None) -> DataFrame:
     """row, id, n (set size), component_id, first (is this row the one of its component to stay?)."""
-    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    docs = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if not row_col:
+        docs, row_col = numbered(docs.select(id_col, text_col)), "_row"
+    docs = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("vid", F.coalesce("id", F.col("row") + NULL_IDS))
     sets = written(shingle_sets(docs.select("row", "vid", "text"), percent, width), "sets")
     roots = components(links(docs, sets.filter("n > 0"), percent, width))
@@ -246,7 +247,7 @@ def near_duplicates(docs: DataFrame, percent=90, width=3, id_col="doc_id", text_
 
 def drop_near_duplicates(docs: DataFrame, percent=80, width=5) -> DataFrame:
     """docs with one row of each component; the smallest id stays."""
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    docs = numbered(docs)
     stays = near_duplicates(docs, percent, width, row_col="_row").filter("first").select(F.col("row").alias("_row"))
     return docs.join(stays.hint("merge"), "_row").drop("_row")
 

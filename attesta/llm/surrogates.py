@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.tables import read, written
+from attesta.llm.tables import numbered, read, written
 
 # Titles by gender, given names by gender and script, syllables and alphabets by script.
 MALE_TITLES = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин")
@@ -197,7 +197,7 @@ def _dressed(original: Column, replacement: Column, kind: Column) -> Column:
 
 def replace_entities(docs: DataFrame, key: str, text_col="text") -> DataFrame:
     """docs with replaced entities, and _n_entities."""
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    docs = numbered(docs)
     found = written(mentions(docs.select(F.col("_row").alias("row"), F.col(text_col).alias("text"))), "mentions")
     by = written(replacements(found, key), "replacements")
     kept = found.filter("kind = 'keep'").withColumn("replacement", F.lit(None).cast("string"))

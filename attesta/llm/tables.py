@@ -35,9 +35,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
-    """docs with a number for each row, by its place in its files.
+    """docs with a number for each row, as a table in the shared folder.
 
-    Operators that meet a row's results again by this number read docs more than once, so docs must
-    be a table as read (written, if it was worked out): a scan numbers its rows alike each time.
+    Operators that meet a row's results again by this number read docs more than once. How a scan is
+    split, and so how it numbers rows, follows the cores that are there when it is planned; hence the
+    numbers are written once, beside what is read again with them.
     """
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")

@@ -378,3 +378,43 @@ def test_parts_without_letters_stay(spark):
     d = spark.createDataFrame([(0, "password=*** _@x.org")], "doc_id long, text string")
     r = surrogates.replace_entities(d, "k").first()
     assert r.text.startswith("password=*** _@") and r.text.endswith(".org") and r._n_entities == 2
+
+
+@pytest.fixture
+def splits(spark, tmp_path):
+    """A table of many files, and a way to read it as a cluster of few or many cores would split it."""
+    rows = [(i % 200, f"{prose(random.Random(i), 60)} mail{i}@x.org", "en", "ab"[i % 2], 0) for i in range(400)]
+    spark.createDataFrame(rows, SCHEMA).repartition(16).write.parquet(f"{tmp_path}/d")
+    yield lambda n: (spark.conf.set("spark.sql.files.minPartitionNum", n), spark.conf.set("spark.sql.files.openCostInBytes", "1"))
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_rows_keep_their_numbers_when_splits_move(spark, splits, tmp_path, monkeypatch):
+    """Each table that an operator writes changes how the next scan of the input is split."""
+    rng, real = random.Random(3), written
+
+    def moving(df, name):
+        out = real(df, name)
+        splits(rng.choice([1, 2, 5, 13]))
+        return out
+
+    for module in (surrogates, similarity):
+        monkeypatch.setattr(module, "written", moving)
+    splits(16)
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    before = {(r.doc_id, r.text.split(" mail")[0]) for r in docs.collect()}
+    got = surrogates.replace_entities(docs.select("doc_id", "text"), "k").collect()
+    assert len(got) == 400 and all(r._n_entities == 1 and r.text.count("@") == 1 for r in got)
+    mails = {r.text.rsplit(" ", 1)[1] for r in docs.collect()}
+    assert len({r.text.rsplit(" ", 1)[1] for r in got}) == 400 and not mails & {r.text.rsplit(" ", 1)[1] for r in got}
+    assert {(r.doc_id, r.text.rsplit(" ", 1)[0]) for r in got} == before
+
+
+def test_mix_does_not_follow_the_splits(spark, splits, tmp_path):
+    seen = []
+    for n in (16, 2):
+        splits(n)
+        got = mixing.mix(spark.read.parquet(f"{tmp_path}/d"), block_words=16).rows
+        seen.append(sorted((r.id, r.source, r.size, r.taken) for r in got.collect()))
+    assert seen[0] == seen[1]

@@ -53,6 +53,11 @@ def lost_cases(runs: DataFrame) -> DataFrame:
     return runs.filter("outcome = 'unavailable'").groupBy("model").agg(F.array_sort(F.collect_list("verification_id")).alias("ids"))
 
 
+def lost_runs(runs: DataFrame) -> DataFrame:
+    """model, verification_id: a row for each case that a model did not answer."""
+    return runs.filter("outcome = 'unavailable'").select("model", "verification_id")
+
+
 def models_side_by_side(runs: DataFrame, models: list[str]) -> DataFrame:
     """One row for each case with each model's decision (or how it broke the contract), and whether answering models differ."""
     shown = F.when(F.col("outcome") == "decided", F.col("decision")).otherwise(F.col("outcome"))

@@ -32,12 +32,18 @@ def genuine_pairs(photos: DataFrame) -> DataFrame:
     return a.join(b, "identity").filter("a < b").select("identity", "a", "b", dot(F.col("ea"), F.col("eb")).alias("similarity"))
 
 
-def impostor_stats(photos: DataFrame, blocks: int, documents_only: bool = False) -> DataFrame:
+#: Vectors of a block, and rows of a block that are multiplied at once: a task's memory doesn't grow with the table.
+BLOCK, SLICE = 2000, 250
+
+
+def impostor_stats(photos: DataFrame, blocks: int | None = None, documents_only: bool = False) -> DataFrame:
     """kind, n, least, total, most of the similarities of photos of different people; no pair is written.
 
-    Vectors are dealt into blocks; each pair of blocks is one task's matrix product, with pairs of
+    Vectors are dealt into blocks of BLOCK on average, unless a number of blocks is given; each pair of blocks is one task's matrix product, with pairs of
     one identity masked. documents_only: ordered pairs of a document face and another's photo.
     """
+    if blocks is None:
+        blocks = max(1, -(-photos.count() // BLOCK))
     at = photos.withColumn("block", F.pmod(F.xxhash64("photo"), F.lit(blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     sides = at.select("block", other.alias("other"), F.lit(0).alias("side"), "identity", "is_document", "embedding").unionByName(at.select(other.alias("block"), F.col("block").alias("other"), F.lit(1).alias("side"), "identity", "is_document", "embedding"))
@@ -49,16 +55,20 @@ def impostor_stats(photos: DataFrame, blocks: int, documents_only: bool = False)
         vectors = np.array(table.column("embedding").to_pylist(), np.float64).reshape(len(side), -1)
         who, doc = table.column("identity").to_numpy(), table.column("is_document").to_numpy(zero_copy_only=False).astype(bool)
         left, right = side == 0, side == 1
-        on = who[left][:, None] != who[right][None, :]
-        if documents_only:
-            on &= doc[left][:, None]
-        got = vectors[left] @ vectors[right].T
-        if not documents_only and key[0].as_py() == key[1].as_py():
-            on &= np.triu(np.ones(on.shape, bool), 1)
-        s = got[on]
-        if not len(s):
-            return pa.table({"n": pa.array([], pa.int64()), "least": pa.array([], pa.float64()), "total": pa.array([], pa.float64()), "most": pa.array([], pa.float64())})
-        return pa.table({"n": pa.array([len(s)], pa.int64()), "least": [float(s.min())], "total": [float(s.sum())], "most": [float(s.max())]})
+        a, b, a_who, b_who, a_doc = vectors[left], vectors[right], who[left], who[right], doc[left]
+        same = not documents_only and key[0].as_py() == key[1].as_py()
+        found = []
+        for at in range(0, len(a), SLICE):
+            on = a_who[at : at + SLICE, None] != b_who[None, :]
+            if documents_only:
+                on &= a_doc[at : at + SLICE, None]
+            if same:
+                on &= np.arange(len(b))[None, :] > np.arange(at, at + len(on))[:, None]
+            s = (a[at : at + SLICE] @ b.T)[on]
+            if len(s):
+                found.append((len(s), float(s.min()), float(s.sum()), float(s.max())))
+        n, least, total, most = zip(*found) if found else ((), (), (), ())
+        return pa.table({"n": pa.array(n, pa.int64()), "least": pa.array(least, pa.float64()), "total": pa.array(total, pa.float64()), "most": pa.array(most, pa.float64())})
 
     parts = sides.groupBy("block", "other").applyInArrow(multiply, "n bigint, least double, total double, most double")
     return parts.agg(F.sum("n").alias("n"), F.round(F.min("least"), 6).alias("least"), F.round(F.sum("total") / F.sum("n"), 6).alias("mean"), F.round(F.max("most"), 6).alias("most"))

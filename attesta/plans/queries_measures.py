@@ -45,6 +45,12 @@ def _(spark, sf_dir):
     return evaluation.lost_cases(flows.runs(spark, sf_dir)).select("model", F.array_join("ids", ",").alias("ids"))
 
 
+# the pair above puts a model's cases into one string; this has a row for each
+@entry("ag5_lost_runs", over("SELECT model, verification_id FROM runs WHERE outcome = 'unavailable'", ANSWERS))
+def _(spark, sf_dir):
+    return evaluation.lost_runs(flows.runs(spark, sf_dir))
+
+
 @entry("ag6_models_side_by_side", over("SELECT verification_id, max(CASE WHEN model = 'm1' THEN CASE WHEN outcome = 'decided' THEN decision ELSE outcome END END) AS m1_shown, max(CASE WHEN model = 'm2' THEN CASE WHEN outcome = 'decided' THEN decision ELSE outcome END END) AS m2_shown, count(DISTINCT CASE WHEN outcome = 'decided' THEN decision END) > 1 AS differ FROM runs GROUP BY 1", ANSWERS))
 def _(spark, sf_dir):
     return evaluation.models_side_by_side(flows.runs(spark, sf_dir), ["m1", "m2"])
@@ -152,7 +158,7 @@ def _(spark, sf_dir):
 @entry("jn7_impostor_stats", f"SELECT 'raw' AS kind, count(*) AS n, round(min(s), 6) AS least, round(avg(s), 6) AS mean, round(max(s), 6) AS most FROM (SELECT {_DOT} AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label <> b.label) UNION ALL SELECT 'document', count(*), round(min(s), 6), round(avg(s), 6), round(max(s), 6) FROM (SELECT {_DOT} AS s FROM (SELECT label, min_by(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1) a JOIN embeddings b ON a.label <> b.label)")
 def _(spark, sf_dir):
     p = photos_of(spark, sf_dir)
-    kinds = lambda docs, name: faces.impostor_stats(p, 4, docs).select(F.lit(name).alias("kind"), "n", "least", "mean", "most")
+    kinds = lambda docs, name: faces.impostor_stats(p, documents_only=docs).select(F.lit(name).alias("kind"), "n", "least", "mean", "most")
     return kinds(False, "raw").unionByName(kinds(True, "document"))
 
 
@@ -170,7 +176,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     p = photos_of(spark, sf_dir)
     g = faces.genuine_pairs(p).agg(F.round(F.min("similarity"), 6).alias("least_genuine"))
-    i = faces.impostor_stats(p, 4).select(F.col("most").alias("most_impostor"))
+    i = faces.impostor_stats(p).select(F.col("most").alias("most_impostor"))
     return g.crossJoin(i).withColumn("gap", F.round(F.col("least_genuine") - F.col("most_impostor"), 6))
 
 

@@ -6,9 +6,10 @@ import hashlib
 import re
 import unicodedata
 
-from pyspark.sql import functions as F
+import numpy as np
+import pytest
 
-from attesta.operators import faces
+from attesta.operators import evaluation, faces
 from attesta.plans import catalog
 
 
@@ -44,3 +45,19 @@ def test_every_reading_and_response(spark, sf):
     got = catalog.QUERIES["jn11_all_readings"](spark, sf)
     assert got.count() == orders.count() and got.filter("line is null and marks is null").count() == orders.filter("o_orderkey % 7 <> 0").count()
     assert catalog.QUERIES["io3_all_responses"](spark, sf).distinct().count() == orders.filter("o_orderkey % 16 % 4 <> 0").count()
+
+
+@pytest.mark.parametrize("documents_only", [False, True])
+def test_impostors_in_blocks_and_slices(spark, monkeypatch, documents_only):
+    monkeypatch.setattr(faces, "BLOCK", 20)
+    v, who = np.random.default_rng(1).normal(size=(300, 4)), [i % 7 for i in range(300)]
+    photos = spark.createDataFrame([(i, w, [float(x) for x in v[i]], i < 7) for i, w in enumerate(who)], "photo long, identity int, embedding array<double>, is_document boolean")
+    plan = faces.impostor_stats(photos, documents_only=documents_only)
+    s = [v[i] @ v[j] for i in range(300) for j in range(300) if who[i] != who[j] and (i < 7 if documents_only else i < j)]
+    for got in (plan.first(), faces.impostor_stats(photos, 1, documents_only).first()):
+        assert got.n == len(s) and got[1:] == pytest.approx((min(s), sum(s) / len(s), max(s)), abs=2e-6)
+
+
+def test_a_row_for_each_lost_run(spark):
+    runs = spark.createDataFrame([("m1", "a", "unavailable"), ("m1", "b", "unavailable"), ("m2", "a", "decided")], "model string, verification_id string, outcome string")
+    assert sorted(map(tuple, evaluation.lost_runs(runs).collect())) == [("m1", "a"), ("m1", "b")]

@@ -4,9 +4,10 @@ A text is a bag of hashed features: its words (A-Z in lower case), and runs of t
 (letters, case, digits, marks, and whether a word repeats the one before). Three multinomial models
 are estimated over the buckets: the target (labelled good and not toxic), and the labelled parts
 of the raw text that are not wanted (low quality; toxic). All are smoothed towards the counts of
-the whole raw corpus, so that a feature that a class has hardly seen says nothing. The raw text is
-the mixture of the three by their shares, and a document's importance weight is
-log p_target(x) - log p_raw(x). Weights perturbed by Gumbel noise, of which the k greatest are
+the whole raw corpus over the buckets that labelled rows have. The other buckets have the same
+probability in all three, so a feature of no labelled row says nothing. The raw text is not
+a model of its own: it is the mixture of the three by their labelled shares, and a document's
+importance weight is log p_target(x) - log p_raw(x). Weights perturbed by Gumbel noise, of which the k greatest are
 taken, are a sample without replacement by importance; k is the number of documents that are more
 likely target than not. The k-th greatest value is found by counting in ever finer bins, so that
 the sort is of no more than one bin.
@@ -105,9 +106,11 @@ class Model:
     """Log ratios of the unwanted classes to the target by bucket, and the classes' shares."""
 
     def __init__(self, raw: np.ndarray, by_class: np.ndarray, rows: list[int], prior: float = 20_000.0):
-        back = (raw + 0.01) / (raw.sum() + 0.01 * BUCKETS)
+        seen = by_class.sum(axis=0) > 0
+        back = np.where(seen, raw + 0.01, 0.01)
+        back = back / max(back[seen].sum(), 0.01)
         logs = [np.log((c + prior * back) / (c.sum() + prior)) for c in by_class]
-        self.ratios = np.stack([(x - logs[0]) for x in logs[1:]]).astype(np.float32)
+        self.ratios = np.stack([np.where(seen, x - logs[0], 0.0) for x in logs[1:]]).astype(np.float32)
         total = sum(rows) or 1
         self.shares = [max(n, 0.5) / total for n in rows]
 

@@ -418,3 +418,17 @@ def test_mix_does_not_follow_the_splits(spark, splits, tmp_path):
         got = mixing.mix(spark.read.parquet(f"{tmp_path}/d"), block_words=16).rows
         seen.append(sorted((r.id, r.source, r.size, r.taken) for r in got.collect()))
     assert seen[0] == seen[1]
+
+
+def test_unlabelled_vocabulary_says_nothing():
+    rng = np.random.default_rng(2)
+    half = resampling.BUCKETS // 2
+    by_class = np.zeros((3, resampling.BUCKETS))
+    for c, n in enumerate((400_000, 60_000, 50_000)):
+        np.add.at(by_class[c], rng.integers(0, half, n), 1)
+    raw = by_class.sum(axis=0) * 5
+    raw[half:] = 40
+    m = resampling.Model(raw, by_class, [800, 120, 80])
+    assert (m.ratios[:, half:] == 0).all() and (m.ratios[:, :half] != 0).any()
+    assert m.weight(rng.integers(half, resampling.BUCKETS, 5000)) == pytest.approx(0)
+    assert np.isfinite(resampling.Model(raw * 0, by_class * 0, [0, 0, 0]).ratios).all()

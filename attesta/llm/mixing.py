@@ -4,7 +4,7 @@ The words of a source, document after document in a hashed order, are packed int
 fixed length. Each source gets as many slots as its target needs; slot j of a source maps to a
 block through the source's own pseudorandom permutation of block indexes, once round for each
 full pass over the source and a last round that stops when the target is met. Every slot draws
-its output shard, so that the counts of a source over the shards are one multinomial draw.
+an output shard, which stands in the slots alone: no result uses the draw, and totals are fixed.
 Slots and blocks meet in an equi-join on (source, block index).
 
 Cases: a null source is a source of its own, ordered last. Null, empty and blank texts have

@@ -1,17 +1,26 @@
 """Jaccard join of documents' n-grams by PartEnum signatures, and the components of its links.
 
 Sets of distinct shingles fall into bands of nearly equal size, [l, l / threshold]; linked sets lie
-in one band or in neighbours, so a set takes part in the instance of its band and of the next. In
-an instance linked sets differ in at most k elements. The domain is cut into n1 first-level parts
-of n2 second-level parts; in one first-level part two linked sets differ by at most k2 elements,
-so they agree on some n2 - k2 of its parts. A signature is the content of such a subset of parts.
+in one band or in neighbours, so a set takes part in the instance of its band (with the band below)
+and in the next one. In an instance linked sets differ in at most k elements. The domain is cut
+into n1 first-level parts of n2 second-level parts each; in one first-level part two linked sets
+differ by at most k2 elements, so they agree on some n2 - k2 of its parts. All subsets of so many
+parts are enumerated; a signature is the content of one of them. From k = 4 on subsets are two of
+three parts; in smaller bands two of k + 2.
 
 Sets that share a signature are not paired with each other. Each is compared with the pivot of the
 signature, the set that shares the most signatures. Of two linked sets x and y under a pivot p,
 either both are linked with p, and nothing is lost, or one is not; then their differences from p
-overlap by more than half of either, as |x ^ y| = |x ^ p| + |y ^ p| - 2 |(x ^ p) & (y ^ p)|. The
-rarest elements of each difference (its prefix) must therefore meet the other's difference. So a
-large group of near copies costs as many comparisons as it has members, and no link is lost.
+overlap, as |x ^ y| = |x ^ p| + |y ^ p| - 2 |(x ^ p) & (y ^ p)|, so that in any order of elements
+the first ones of both differences (their prefixes) have a common one. Sets that share a prefix
+element under a pivot are a group again and have a second pivot among them. What is left are sets
+that are linked with neither: they meet the others of their group where the places of the common
+element let them overlap enough. So a group of near copies costs as many comparisons as it has
+members, whether it is linked with its first pivot or not, and no link is lost.
+
+Before two sets are compared by their elements, they meet by counts of elements in 256 buckets,
+whose sum of differences is never above the sets' own difference: what this bound leaves out has
+no link. A set that is far from its pivot needs its elements only if a third set shares the signature.
 
 Equal sets are one node from the start. Components come from alternating large-star and small-star
 rounds over written tables. Elements, sets and signatures are 64-bit hashes.
@@ -20,32 +29,48 @@ Texts are cut into words three times (sets, signatures, elements of the sets tha
 that is cheaper than to keep a hundred signatures or some hundred elements for every document.
 
 Cases: null, empty and blank texts have no shingles and link with nothing. With fewer words than
-the width the whole sequence is one shingle. Null ids are numbered above all others; a component
-of null ids alone has a null component_id. Repeated rows are equal sets. Columns other than id and
-text are left alone.
+the width the whole sequence is one shingle. Null ids come after all others; a component of null
+ids alone has a null component_id. Any 64-bit id is a valid id. Repeated rows are equal sets. An
+empty table gives an empty result. Columns other than id and text are left alone, whatever their
+names are.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from fractions import Fraction
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.tables import numbered, read, written
+from attesta.llm.tables import fresh, numbered, read, written
 from attesta.llm.words import Hashes, lower_words, mix, shingles, word_hashes
 
-NULL_IDS = 1 << 62
+#: Buckets of a set's counts, and distinct sets that a task remembers to cut signatures once.
+SKETCH, SEEN = 256, 100_000
+
+
+@dataclass(frozen=True)
+class Parts:
+    """The parts of an instance: n1 first-level parts of n2 each, subsets of n2 - k2 of them, and how many signatures a set keeps."""
+
+    k: int
+    n1: int
+    n2: int
+    k2: int
+    subsets: np.ndarray
+    kept: int
 
 
 class Bands:
     """Bands of sizes, and the parts of each instance, for links of percent * union <= 100 * intersection."""
 
-    def __init__(self, percent: int, n2: int = 2):
-        self.percent, self.n2, self.ends = percent, n2, [0]
+    def __init__(self, percent: int):
+        self.percent, self.ends, self.known = percent, [0], {}
 
     def band(self, size: int) -> int:
         while self.ends[-1] < size:
@@ -53,47 +78,52 @@ class Bands:
             self.ends.append(low * 100 // self.percent)
         return int(np.searchsorted(self.ends, size))
 
-    def parts(self, instance: int) -> tuple[int, int, int]:
-        """n1, k2 and k of an instance, whose linked sets differ in at most k elements.
+    def parts(self, instance: int) -> Parts:
+        """Of the instance that joins a band with the one below it, and that one with itself.
 
-        There are an eighth more parts than k + 1, so that the small ones need not be used.
+        Of k differences, spread evenly, the fewest signatures stay equal (their number is convex in
+        the differences of a part). One less than these need not be kept.
         """
-        while len(self.ends) <= instance:
-            self.band(self.ends[-1] + 1)
-        k = int(2 * self.ends[instance] * Fraction(100 - self.percent, 100 + self.percent))
-        k2 = min(k, self.n2 - 1)
-        spare = 2 + (k + 1) // 8 if k else 0
-        n1 = -(-(k + 1 + spare) // (k2 + 1))
-        return n1, k2, k
+        if instance not in self.known:
+            while len(self.ends) <= instance:
+                self.band(self.ends[-1] + 1)
+            k = int((self.ends[instance - 1] + self.ends[instance]) * Fraction(100 - self.percent, 100 + self.percent))
+            k2 = 1 if k >= 4 else k
+            n2 = k2 + 2 if k else 1
+            n1 = k // (k2 + 1) + 1 + (k + 1) // 24
+            each, more = divmod(k, n1)
+            equal = (n1 - more) * comb(n2 - each, n2 - k2) + more * (comb(n2 - each - 1, n2 - k2) if each < k2 else 0)
+            subsets = np.array(list(combinations(range(n2), n2 - k2)))
+            self.known[instance] = Parts(k, n1, n2, k2, subsets, n1 * len(subsets) - equal + 1)
+        return self.known[instance]
 
 
 def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
-    """Signatures of a set in both of its instances: the k + 1 fullest subsets of parts in each.
+    """Signatures of a set in both of its instances: the fullest subsets of parts in each.
 
-    Linked sets differ in at most k parts, so of P subsets of one part each they agree on P - k at
-    least. Each leaves out its P - k - 1 least subsets, in an order that their content alone gives;
-    the greatest of those on which two sets agree is then left out by neither.
+    Two linked sets agree on so many signatures at least that each can leave out its least ones, in
+    an order that their content alone gives: the greatest of those on which they agree is then left
+    out by neither.
     """
     out = []
     of_part, content = mix(elements ^ np.uint64(0x5851F42D4C957F2D)), mix(elements ^ np.uint64(0x14057B7EF767814F))
     own = bands.band(len(elements))
     for instance in (own, own + 1):
-        n1, k2, k = bands.parts(instance)
-        total = n1 * bands.n2
+        p = bands.parts(instance)
+        total = p.n1 * p.n2
         part = (of_part % np.uint64(total)).astype(np.intp)
         sums = np.zeros(total, np.uint64)
         np.add.at(sums, part, content)
-        sums, sizes = mix(sums).reshape(n1, bands.n2), np.bincount(part, minlength=total).reshape(n1, bands.n2)
-        sigs, full = [], []
-        for which, subset in enumerate(combinations(range(bands.n2), bands.n2 - k2)):
-            got = np.full(n1, instance, np.uint64) << np.uint64(40) | np.uint64(which) << np.uint64(32) | np.arange(n1, dtype=np.uint64)
-            for p in subset:
-                got = mix(got + sums[:, p])
-            sigs.append(got)
-            full.append(sizes[:, list(subset)].sum(axis=1))
-        sigs, full = np.concatenate(sigs), np.concatenate(full)
-        if bands.n2 - k2 == 1 and len(sigs) > k + 1:
-            sigs = sigs[np.lexsort((sigs, full))[len(sigs) - k - 1 :]]
+        sums, sizes = mix(sums).reshape(p.n1, p.n2), np.bincount(part, minlength=total).reshape(p.n1, p.n2)
+        which, first = np.arange(len(p.subsets), dtype=np.uint64)[None, :], np.arange(p.n1, dtype=np.uint64)[:, None]
+        sigs = (np.uint64(instance) << np.uint64(40)) | (which << np.uint64(32)) | first
+        full = np.zeros(sigs.shape, np.int64)
+        for column in p.subsets.T:
+            sigs = mix(sigs + sums[:, column])
+            full += sizes[:, column]
+        sigs, full = sigs.ravel(), full.ravel()
+        if p.kept < len(sigs):
+            sigs = sigs[np.lexsort((sigs, full))[len(sigs) - p.kept :]]
         out.append(sigs)
     return np.concatenate(out)
 
@@ -102,18 +132,22 @@ def _texts(batch, text_at):
     return (x.as_py() for x in batch.column(text_at))
 
 
-def shingle_sets(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """row, vid, n, key (hash of the set) of docs (row, vid, text)."""
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """row, n, key (hash of the set), counts (of elements by bucket, 127 at most) of docs (row, text)."""
 
     def run(batches):
         known = Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingles(word_hashes(lower_words(t), known), width) for t in _texts(part, 2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64())], ["row", "vid", "n", "key"])
+                sets = [shingles(word_hashes(lower_words(t), known), width) for t in _texts(part, 1)]
+                counts = np.zeros((len(sets), SKETCH), np.int8)
+                for i, s in enumerate(sets):
+                    counts[i] = np.minimum(np.bincount((mix(s) % np.uint64(SKETCH)).astype(np.intp), minlength=SKETCH), 127)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * SKETCH, pa.int32()), pa.array(counts.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64()), lists], ["row", "n", "key", "counts"])
 
-    return docs.mapInArrow(run, "row bigint, vid bigint, n bigint, key bigint")
+    return docs.select("row", "text").mapInArrow(run, "row bigint, n bigint, key bigint, counts array<tinyint>")
 
 
 def _key(elements: np.ndarray) -> int | None:
@@ -121,18 +155,26 @@ def _key(elements: np.ndarray) -> int | None:
 
 
 def set_signatures(docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """sig, key: a row for each signature of the sets of docs (text)."""
+    """sig, key: a row for each signature of the sets of docs (text).
+
+    A task cuts the signatures of equal sets once, so that copies come together before the exchange.
+    """
 
     def run(batches):
-        known, bands = Hashes(), Bands(percent)
+        known, bands, seen = Hashes(), Bands(percent), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 keys, sigs = [], []
                 for text in _texts(batch.slice(at, 500), 0):
                     s = shingles(word_hashes(lower_words(text), known), width)
-                    if len(s):
-                        sigs.append(signatures(s, bands).view(np.int64))
-                        keys.append(np.full(len(sigs[-1]), _key(s), np.int64))
+                    key = _key(s)
+                    if key is None or key in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(key)
+                    sigs.append(signatures(s, bands).view(np.int64))
+                    keys.append(np.full(len(sigs[-1]), key, np.int64))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(keys))], ["sig", "key"])
 
@@ -154,8 +196,43 @@ def set_elements(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "key bigint, elements array<bigint>")
 
 
-def _linked(percent: int, both, union):
-    return both * 100 >= union * percent
+def _most_apart(n, m, percent: int) -> Column:
+    """100 + percent times the most elements in which linked sets of n and m elements differ."""
+    return (F.col(n) + F.col(m)) * (100 - percent)
+
+
+def _within_reach(pairs: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b, wide) without those that their counts show to have no link, but for wide ones."""
+    x, y = kinds.select("key", "n", "counts").toDF("a", "a_n", "a_counts"), kinds.select("key", "n", "counts").toDF("b", "b_n", "b_counts")
+    apart = F.aggregate(F.zip_with("a_counts", "b_counts", lambda v, w: F.abs(v.cast("int") - w)), F.lit(0), lambda total, d: total + d)
+    return pairs.join(x, "a").join(y, "b").filter(F.col("wide") | (apart * (100 + percent) <= _most_apart("a_n", "b_n", percent))).select("a", "b", "wide")
+
+
+def compared(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
+    """a, b, linked, n (of a), h (elements in which they differ), prefix (of the difference; null unless wide) of pairs (a, b, wide).
+
+    The order of a difference from b: what b lacks, then what a lacks, each in the elements' order.
+    """
+    of = lambda side: elements.select(F.col("key").alias(side), F.col("elements").alias(f"{side}_elements"))
+    got = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("n", F.size("a_elements")).withColumn("b_n", F.size("b_elements"))
+    got = got.withColumn("diff", F.concat(F.array_except("a_elements", "b_elements"), F.array_except("b_elements", "a_elements"))).withColumn("h", F.size("diff"))
+    got = got.withColumn("linked", F.col("h") * (100 + percent) <= _most_apart("n", "b_n", percent))
+    # the partner differs from the pivot by as much, less what links allow; it is at most 100 / percent times as large
+    tight = F.lit((100 - percent) / (100 + percent))
+    shared = F.col("h") - F.col("n") * (1 + 100 / percent) * tight
+    # of a set that is linked with the pivot only partners matter that are not
+    shared = F.when(F.col("linked"), F.greatest(shared, (F.col("h") + (F.col("b_n") - F.col("n")) * tight) / 2)).otherwise(shared)
+    prefix = F.slice("diff", F.lit(1), (F.col("h") - F.greatest(F.lit(1), F.ceil(shared - F.lit(1e-9)))).cast("int") + 1)
+    return got.select("a", "b", "linked", "n", "h", F.when(F.col("wide"), prefix).alias("prefix"))
+
+
+def _with_pivots(members: DataFrame) -> DataFrame:
+    """members (group, key, mass, ...) with pivot, the one of the greatest mass in the group, and size of the group.
+
+    Pivots are a table, so that both sides of the join are plain exchanges, of which Spark splits hot ones.
+    """
+    top = members.groupBy("group").agg(F.max(F.struct("mass", "key")).alias("top"), F.count("*").alias("size"))
+    return members.join(written(top.select("group", F.col("top.key").alias("pivot"), "size"), "pivots"), "group")
 
 
 def links(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
@@ -163,49 +240,42 @@ def links(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFra
     # one exchange by signature: the signatures are the bulk of what moves
     of_sig = Window.partitionBy("sig")
     shared = set_signatures(docs, percent, width).select("sig", "key", F.min("key").over(of_sig).alias("low"), F.max("key").over(of_sig).alias("high"), F.count("*").over(of_sig).alias("sharers"))
-    shared = written(shared.filter("low < high").select("sig", "key", "sharers").distinct(), "shared")
-    mass = shared.groupBy("key").agg(F.sum("sharers").alias("mass"))
-    pivots = shared.join(mass, "key").groupBy("sig").agg(F.max(F.struct("mass", "key")).alias("top")).select("sig", F.col("top.key").alias("pivot"))
-    pairs = written(shared.select("sig", "key").join(pivots, "sig").filter("key <> pivot").select("key", "pivot").distinct(), "pairs")
-
-    # one document of each set that is compared, with its elements
-    needed = pairs.select("key").union(pairs.select("pivot")).distinct()
-    ids = written(sets.select("key", "row").join(needed, "key").groupBy("key").agg(F.min("row").alias("row")), "needed")
-    # a shuffle at every size: the ids grow with the documents, so they are not for broadcasting
-    elements = written(set_elements(docs.select("row", "text").join(ids.hint("merge"), "row").select("key", "text"), width), "elements")
-
-    of_pivot = elements.select(F.col("key").alias("pivot"), F.col("elements").alias("pivot_elements"))
-    got = pairs.join(elements, "key").join(of_pivot, "pivot")
-    got = got.withColumn("n", F.size("elements")).withColumn("pivot_n", F.size("pivot_elements"))
-    got = got.withColumn("diff", F.concat(F.array_except("elements", "pivot_elements"), F.array_except("pivot_elements", "elements")))
-    got = got.select("key", "pivot", "n", "pivot_n", F.size("diff").alias("h"), "diff")
-    got = got.withColumn("linked", _linked(percent, (F.col("n") + F.col("pivot_n") - F.col("h")) / 2, (F.col("n") + F.col("pivot_n") + F.col("h")) / 2))
-    got = written(got, "compared")
-    star = got.filter("linked").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
-
-    # under a pivot: sets that are not linked with it, against all others
-    tight = F.lit((100 - percent) / (100 + percent))
-    groups = got.groupBy("pivot").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("loose")).filter("members > 1 and loose > 0").select("pivot")
-    rest = got.join(groups, "pivot")
-    items = written(rest.select("pivot", "key", "n", "pivot_n", "h", "linked", F.explode("diff").alias("e")), "differences")
-    often = items.groupBy("pivot", "e").agg(F.count("*").alias("often")).filter("often > 1")
-    items = items.join(often, ["pivot", "e"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
-    items = items.withColumn("pos", F.row_number().over(Window.partitionBy("pivot", "key").orderBy("often", "e")))
-    # a linked partner is at most 100 / percent times as large, and differs from the pivot by as much less the links' most
-    far = F.col("h") - F.col("n") * (1 + 100 / percent) * tight
-    overlap = F.ceil(F.greatest((F.col("h") + (F.col("pivot_n") - F.col("n")) * tight) / 2, far) - F.lit(1e-9))
-    items = items.filter(F.col("pos") <= F.col("h") - F.greatest(F.lit(1), F.ceil(far - F.lit(1e-9))) + 1)
-    items = written(items.withColumn("short", F.col("pos") <= F.col("h") - F.greatest(F.lit(1), overlap) + 1).filter("often > 1"), "ordered")
-    x = items.filter("not linked").select("pivot", "e", *[F.col(c).alias(f"x_{c}") for c in ("key", "n", "h", "pos")])
-    y = items.filter("short").select("pivot", "e", *[F.col(c).alias(f"y_{c}") for c in ("key", "n", "h", "pos")])
-    least = (F.col("x_h") + F.col("y_h") - (F.col("x_n") + F.col("y_n")) * tight) / 2 - F.lit(1e-9)
-    reach = 1 + F.least(F.col("x_h") - F.col("x_pos"), F.col("y_h") - F.col("y_pos"))
-    met = x.alias("x").join(y.alias("y"), (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.e") == F.col("y.e")) & (F.col("x_key") != F.col("y_key")) & (reach >= least))
-    met = met.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
-    ea, eb = elements.toDF("a", "a_elements"), elements.toDF("b", "b_elements")
-    both = F.size(F.array_intersect("a_elements", "b_elements"))
-    met = met.join(ea, "a").join(eb, "b").filter(_linked(percent, both, F.size("a_elements") + F.size("b_elements") - both)).select("a", "b")
-    return written(star.union(met), "links")
+    shared = written(shared.filter("low < high").select(F.col("sig").alias("group"), "key", "sharers").distinct(), "shared")
+    mass = written(shared.groupBy("key").agg(F.sum("sharers").alias("mass")), "mass")
+    kinds = sets.groupBy("key").agg(F.min(F.struct("row", "n", "counts")).alias("one")).join(mass, "key").select("key", "one.*")
+    kinds = written(kinds, "kinds")  # one document of each set that shares a signature
+
+    rows = written(_with_pivots(shared.select("group", "key").join(mass, "key")).filter("key <> pivot"), "by_signature")
+    pairs = rows.groupBy(F.col("key").alias("a"), F.col("pivot").alias("b")).agg((F.max("size") > 2).alias("wide"))
+    pairs = written(_within_reach(pairs, kinds, percent), "pairs")
+    needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(kinds.select("key", "row"), "key")
+    # a shuffle at every size: the rows grow with the documents, so they are not for broadcasting
+    elements = written(set_elements(docs.select("row", "text").join(needed.hint("merge"), "row").select("key", "text"), width), "elements")
+    first = written(compared(pairs, elements, percent), "compared")
+    found = first.filter("linked").select("a", "b")
+
+    # signatures of a third set, and of one that is not linked with the pivot: groups by the prefixes' elements
+    loose = first.filter("not linked and prefix is not null").select(F.col("a").alias("key"), F.col("b").alias("pivot"))
+    loose = written(rows.filter("size > 2").join(loose, ["key", "pivot"], "left_semi").select("group").distinct(), "loose")
+    open_ = rows.join(loose, "group").select(F.col("key").alias("a"), F.col("pivot").alias("b"), "mass").distinct()
+    items = open_.join(first, ["a", "b"]).select(F.col("a").alias("key"), "b", "mass", "linked", "n", "h", F.posexplode("prefix").alias("at", "e"))
+    items = written(items.withColumn("group", F.xxhash64("b", "e")).drop("b", "e"), "items")
+    some = written(items.groupBy("group").agg(F.count("*").alias("size"), F.bool_and("linked").alias("all")).filter("size > 1 and not all").select("group"), "some")
+    items = written(_with_pivots(items.join(some, "group")).filter("key <> pivot").drop("mass"), "in_groups")
+    pairs = items.select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct().withColumn("wide", F.lit(False))
+    second = written(compared(_within_reach(pairs, kinds, percent), elements, percent).filter("linked").select("a", "b"), "second")
+    found = found.union(second)
+
+    # in a group: sets that are linked with neither pivot, and the others, where they can overlap enough
+    rest = items.filter("size > 2").join(second.select(F.col("a").alias("key"), F.col("b").alias("pivot"), F.lit(True).alias("near")), ["key", "pivot"], "left")
+    rest = rest.select("group", "key", "linked", "n", "h", "at", F.coalesce("near", F.lit(False)).alias("near"))
+    rest = written(rest, "rest")
+    least = (F.col("x.h") + F.col("y.h") - (F.col("x.n") + F.col("y.n")) * (100 - percent) / (100 + percent)) / 2 - F.lit(1e-9)
+    reach = F.least(F.col("x.h") - F.col("x.at"), F.col("y.h") - F.col("y.at"))
+    met = rest.filter("not (linked and near)").alias("x").join(rest.alias("y"), (F.col("x.group") == F.col("y.group")) & (F.col("x.key") != F.col("y.key")) & ~(F.col("x.linked") & F.col("y.linked")) & ~(F.col("x.near") & F.col("y.near")) & (reach >= least))
+    met = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct().withColumn("wide", F.lit(False))
+    third = compared(written(_within_reach(met, kinds, percent), "met"), elements, percent).filter("linked").select("a", "b")
+    return written(found.union(third), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -214,10 +284,10 @@ def components(edges: DataFrame) -> DataFrame:
     said = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = written(small, "small")
@@ -230,26 +300,28 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent=90, width=3, id_col="doc_id", text_col="text", row_col=None) -> DataFrame:
     """row, id, n (set size), component_id, first (is this row the one of its component to stay?)."""
     if not row_col:
-        docs, row_col = numbered(docs.select(id_col, text_col)), "_row"
+        row_col = fresh(docs, "row")
+        docs = numbered(docs.select(id_col, text_col), row_col)
     docs = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    docs = docs.withColumn("vid", F.coalesce("id", F.col("row") + NULL_IDS))
-    sets = written(shingle_sets(docs.select("row", "vid", "text"), percent, width), "sets")
-    roots = components(links(docs, sets.filter("n > 0"), percent, width))
-    some = sets.filter("n > 0").select("row", "vid", "n", "key").join(roots, F.col("key") == F.col("node"), "left")
-    some = written(some.select("row", "vid", "n", F.coalesce("root", "key").alias("root")), "rooted")
-    top = some.groupBy("root").agg(F.min(F.struct("vid", "row")).alias("top"))
-    some = some.join(top, "root").select("row", "vid", "n", F.col("top.vid").alias("component_id"), (F.col("row") == F.col("top.row")).alias("first"))
-    none = sets.filter("n = 0").select("row", "vid", "n", F.col("vid").alias("component_id"), F.lit(True).alias("first"))
-    out = some.union(none)
-    known = lambda c: F.when(F.col(c) < NULL_IDS, F.col(c))
-    return out.select("row", known("vid").alias("id"), "n", known("component_id").alias("component_id"), "first")
-
-
-def drop_near_duplicates(docs: DataFrame, percent=80, width=5) -> DataFrame:
+    cut = written(shingle_sets(docs, width), "sets")
+    roots = components(links(docs, cut.filter("n > 0"), percent, width))
+    ids = docs.select("row", "id")
+    some = cut.filter("n > 0").select("row", "n", "key").join(roots, F.col("key") == F.col("node"), "left")
+    some = written(some.select("row", "n", F.coalesce("root", "key").alias("root")).join(ids, "row"), "rooted")
+    # nulls are the last: the first row has the least id, and of equal ids the least number
+    top = some.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("top"))
+    top = written(top.select("root", F.col("top.id").alias("component_id"), F.col("top.row").alias("stays")), "tops")
+    some = some.join(top, "root").select("row", "id", "n", "component_id", (F.col("row") == F.col("stays")).alias("first"))
+    none = cut.filter("n = 0").select("row", "n").join(ids, "row").select("row", "id", "n", F.col("id").alias("component_id"), F.lit(True).alias("first"))
+    return some.union(none)
+
+
+def drop_near_duplicates(docs: DataFrame, percent=80, width=5, id_col="doc_id", text_col="text") -> DataFrame:
     """docs with one row of each component; the smallest id stays."""
-    docs = numbered(docs)
-    stays = near_duplicates(docs, percent, width, row_col="_row").filter("first").select(F.col("row").alias("_row"))
-    return docs.join(stays.hint("merge"), "_row").drop("_row")
+    row = fresh(docs, "row")
+    docs = numbered(docs, row)
+    stays = near_duplicates(docs, percent, width, id_col, text_col, row_col=row).filter("first").select(F.col("row").alias(row))
+    return docs.join(stays.hint("merge"), row).drop(row)
 
 
 def query(spark, sf_dir):

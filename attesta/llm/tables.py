@@ -18,9 +18,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the setting is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir. Where the setting is unset, a local master gets a temporary one; a cluster has none that all executors see."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-attesta-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -34,7 +36,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
     """docs with a number for each row, as a table in the shared folder.
 
     Operators that meet a row's results again by this number read docs more than once. How a scan is

@@ -2,30 +2,37 @@
 
 A text is cut by a pattern; every piece is merged by itself. Distinct pieces of a batch go into
 matrices of padded rows, bucketed by length; in each round every row merges its leftmost pair of
-minimum rank, found by a hashed pair lookup, and the row is compacted. Pieces longer than
-`LONGEST` bytes take the same merges from a heap, in n log n steps.
+minimum rank, found by a hashed pair lookup, and the row is compacted. Pieces longer than `WIDE`
+bytes are matrices of one row, in which a round merges all pairs of the minimum rank from left to
+right, as the next rounds would do one by one; if one of them makes a pair of a lower rank, the
+round merges the leftmost pair alone. So a long run without blanks takes as many rounds as it has
+different merges.
+
+A task builds its tables from the ranks, keeps the ids of a bounded number of pieces, and lets go
+of both when it ends.
 
 Cases: a null or empty text has no tokens, and decodes to no bytes. Texts are taken whole.
-Repeated rows give equal results; other columns are left alone.
+Repeated rows give equal results; null ids are kept; an empty table gives an empty result. Other
+columns are left alone, whatever their names are.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from attesta.llm.tables import read
 
-LONGEST = 512
-#: Bytes of text to a slice of a batch, and distinct pieces that a task keeps.
-SLICE, KEPT = 4 << 20, 200_000
+WIDE = 512
+#: Characters of text to a slice of a batch, and distinct pieces that a task keeps in either generation.
+SLICE, KEPT = 1 << 20, 60_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -108,9 +115,9 @@ class Codec:
         at = 0
         while at < len(order):
             width = int(lengths[order[at]])
-            if width > LONGEST:
+            if width > WIDE:
                 for i in order[at:]:
-                    out[i] = self.merge_long(pieces[i])
+                    out[i] = self._wide_row(pieces[i])
                 break
             width = width if width <= 16 else 1 << (width - 1).bit_length()
             to = int(np.searchsorted(lengths[order], width, side="right"))
@@ -163,31 +170,34 @@ class Codec:
             ids, ranks = ids[:, :most], ranks[:, :most]
         return done_ids
 
-    def merge_long(self, piece: bytes) -> np.ndarray:
-        ids = self.bytes_to_id[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        token = [bytes([b]) for b in piece]
-        heap = [(r, i, 0, 0) for i in range(n - 1) if (r := self.ranks.get(token[i] + token[i + 1])) is not None]
-        version = [0] * (n + 1)
-        heapq.heapify(heap)
-        while heap:
-            rank, i, vi, vj = heapq.heappop(heap)
-            j = after[i]
-            if token[i] is None or j >= n or version[i] != vi or version[j] != vj:
-                continue
-            token[i], token[j] = token[i] + token[j], None
-            version[i] += 1
-            version[j] += 1
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := self.ranks.get(token[i] + token[after[i]])) is not None:
-                    heapq.heappush(heap, (r, i, version[i], version[after[i]]))
-            h = before[i]
-            if h >= 0 and (r := self.ranks.get(token[h] + token[i])) is not None:
-                heapq.heappush(heap, (r, h, version[h], version[i]))
-        return np.array([self.ranks[t] for t in token if t is not None], np.int32)
+    def _wide_row(self, piece: bytes) -> np.ndarray:
+        """As _matrix, for one long row: all pairs of the minimum rank in a round."""
+        ids = self.bytes_to_id[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs.ranks(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == best)
+            # of pairs that overlap (a run of one token), every other one from the left
+            run = np.cumsum(np.concatenate([[True], np.diff(at) > 1]))
+            first = np.searchsorted(run, run)
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            new = self._merged(ids, ranks, at, best)
+            if new[2].min(initial=NONE) < best and len(at) > 1:
+                new = self._merged(ids, ranks, at[:1], best)
+            ids, ranks = new[:2]
+        return ids
+
+    def _merged(self, ids, ranks, at, best):
+        """ids and ranks after merging the pairs at `at`, and the ranks of the pairs that this makes."""
+        stay = np.ones(len(ids), bool)
+        stay[at + 1] = False
+        ids = ids.copy()
+        ids[at] = best
+        ids, place = ids[stay], np.cumsum(stay)[at] - 1
+        # a pair lies where its left token does; the pairs around a merged token are new
+        ranks = np.append(ranks, NONE)[stay][:-1]
+        touched = np.union1d(place[place > 0] - 1, place[place < len(ids) - 1])
+        ranks[touched] = self.pairs.ranks(ids[touched], ids[touched + 1])
+        return ids, ranks, ranks[touched]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
@@ -223,23 +233,13 @@ def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, list[str]]
         yield at, held
 
 
-_codecs: dict = {}
-
-
-def codec(path: str, pattern: str) -> Codec:
-    """One codec a task process: the tables are built once, and what was merged is kept."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(load_ranks(path), pattern)
-    return _codecs[path, pattern]
-
-
 def encode(docs: DataFrame, path: str, pattern: str, id_col="doc_id", text_col="text") -> DataFrame:
     """id, ids (binary: little-endian unsigned 32-bit numbers) of every row."""
     docs = docs.select(id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        c = codec(path, pattern)
+        c = Codec(load_ranks(path), pattern)
         for batch in batches:
             for at, texts in slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(c.encode(texts), pa.binary())], [id_col, "ids"])
@@ -253,7 +253,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col="doc_id") -> Data
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        c = codec(path, pattern)
+        c = Codec(load_ranks(path), pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -262,15 +262,28 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col="doc_id") -> Data
     return encoded.mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col="doc_id", text_col="text") -> DataFrame:
+    """id, ids, decoded (both binary) of every row: encode() and decode() in one pass of a task, with one set of tables."""
+    docs = docs.select(id_col, text_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        c = Codec(load_ranks(path), pattern)
+        for batch in batches:
+            for at, texts in slices(batch.column(1)):
+                ids = c.encode(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.binary())], [id_col, "ids", "decoded"])
+
+    return docs.mapInArrow(run, f"`{id_col}` {kind}, ids binary, decoded binary")
+
+
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of a round trip."""
-    from pyspark.sql import functions as F
-
     if path is None:
         import public_tokenizers
 
         path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    out = decode(encode(docs, path, pattern), path, pattern)
+    out = round_trip(docs, path, pattern)
     return out.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

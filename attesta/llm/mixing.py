@@ -1,35 +1,36 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 The words of a source, document after document in a hashed order, are packed into blocks of a
-fixed length. Each source gets as many slots as its target needs; slot j of a source maps to a
-block through the source's own pseudorandom permutation of block indexes, once round for each
-full pass over the source and a last round that stops when the target is met. Every slot draws
-an output shard, which stands in the slots alone: no result uses the draw, and totals are fixed.
-Slots and blocks meet in an equi-join on (source, block index).
+fixed length. The mix is output shards of about `shard_slots` slots. Every shard draws how many of
+its slots each source gets: the whole part of the source's expected number, and for the parts that
+are left multinomial draws by those parts, so that a shard's counts keep near what the targets
+want. The slots of a source are numbered over the shards. Slot j of a source takes the block to
+which a keyed permutation of the source's block indexes maps j, with another key for each pass
+over the source (a Feistel network over two digits, walking on from what lies beyond the last
+block). Slots and blocks meet in an equi-join on (source, block index). A source gives no more
+than `cap` passes: slots that a draw gives it beyond them stay empty.
 
 Cases: a null source is a source of its own, ordered last. Null, empty and blank texts have
-size 0 and are never taken. Repeated rows are mixed each by itself. Without rows, or without
-words, nothing is taken. Other columns of the input are left alone.
+size 0 and are never taken. Repeated rows are mixed each by itself; of rows equal in id and text
+the row number decides the order. Ties of ids are no matter. Texts are taken whole, of any length.
+Without rows, or without words, nothing is taken. Other columns of the input are left alone,
+whatever their names are.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.tables import WORD, numbered, written
-
-#: Multipliers of the index permutations; their product exceeds any count of blocks, so one is coprime.
-PRIMES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099)
-
+from attesta.llm.tables import SPACE, WORD, fresh, numbered, written
 
 @dataclass
 class Mixture:
-    rows: DataFrame  # one per input row: row, id, source, size, source_size, target, taken, passes
-    slots: DataFrame  # one per use of a block: source_no, block, pass_no, shard, words
-    pieces: DataFrame  # words of a document in a block: row, first_word, words, more (of the last pass)
+    rows: DataFrame  # one per input row: row, id, source, source_no, size, source_size, target, taken
+    slots: DataFrame  # one per slot of a shard: shard, source_no, slot_no, pass_no, block
+    pieces: DataFrame  # words of a document in a block that is taken: row, first_word, words, times
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), share=1.5, cap=2.0) -> DataFrame:
@@ -54,94 +55,126 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share=1.5, cap=2.0) -> D
     return found.select("source", "source_size", "source_no", "target")
 
 
-def _with_permutation(sources: DataFrame, block_words: int, seed: int) -> DataFrame:
-    """Adds passes, rest, n_blocks and the affine permutation (step, shift) of the last pass, with the place of the last block."""
-    goal, n = F.round("target").cast("long"), F.col("n_blocks")
-    sources = sources.withColumn("n_blocks", F.floor((F.col("source_size") + (block_words - 1)) / F.lit(block_words)))
-    sources = sources.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(goal / F.col("source_size"))).otherwise(0))
-    sources = sources.withColumn("rest", goal - F.col("passes") * F.col("source_size"))
-    coprime = F.filter(F.array(*[F.lit(p).cast("long") for p in PRIMES]), lambda p: n % p != 0)
-    key = F.xxhash64(F.lit(seed), F.col("source_no"))
-    step = F.when(n > 0, F.pmod(F.element_at(coprime, (F.pmod(key, F.size(coprime).cast("long")) + 1).cast("int")), n))
-    sources = sources.withColumn("step", step).withColumn("shift", F.when(n > 0, F.pmod(F.shiftright(key, 8), n)))
-    return sources.withColumn("last_place", F.when(n > 0, (F.col("step") * (n - 1) + F.col("shift")) % n))
+def _uniform(*keys) -> Column:
+    """A number in 0..1 from a hash of keys."""
+    return (F.shiftrightunsigned(F.xxhash64(*keys), 11) + 0.5) / float(1 << 53)
+
 
+def permuted(index: Column, n: Column, *keys) -> Column:
+    """Where a keyed permutation of 0..n-1 puts index.
 
-def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", row_col=None, weights=(5, 2, 1), share=1.5, cap=2.0, block_words=64, shard_words=1 << 20, seed=17) -> Mixture:
+    Four rounds over the digits of index = high * low_base + low, each digit moved by a hash of the
+    other, are a permutation of 0..high_base*low_base-1. Fewer than the root of n of these numbers
+    are n or more; from them the permutation is followed until it comes back below n, which 16
+    steps do surely for n up to 256, and beyond but for one index in 10 ** 19.
+    """
+    low_base = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    high_base = F.floor((n + low_base - 1) / low_base)
+
+    def once(x):
+        high, low = F.floor(x / low_base), x % low_base
+        for turn in (0, 2):
+            high = (high + F.pmod(F.xxhash64(*keys, F.lit(turn), low), high_base)) % high_base
+            low = (low + F.pmod(F.xxhash64(*keys, F.lit(turn + 1), high), low_base)) % low_base
+        return high * low_base + low
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(16)), once(index), lambda at, _: F.when(at < n, at).otherwise(once(at)))
+
+
+def _counts(sources: DataFrame, n_shards: int, seed: int) -> DataFrame:
+    """shard, source_no, slots: the draws of every shard. sources: source_no, wanted (slots of all shards)."""
+    share = F.col("wanted") / F.lit(float(n_shards))
+    whole = sources.select("source_no", F.floor(share).alias("slots"), (share - F.floor(share)).alias("part"))
+    shards = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("shard")
+    counts = whole.filter("slots > 0").select(shards, "source_no", "slots")
+    # the parts side by side on 0..1, cut at cells of equal width, so that a draw meets its source by an equal cell
+    before = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy()
+    parts = whole.select("source_no", "part", F.coalesce(F.sum("part").over(before), F.lit(0.0)).alias("low"), F.sum("part").over(every).alias("all"), F.count("*").over(every).alias("cells"))
+    parts = parts.filter("part > 0").withColumn("draws", F.round("all").cast("long")).select("source_no", "cells", "draws", (F.col("low") / F.col("all")).alias("low"), ((F.col("low") + F.col("part")) / F.col("all")).alias("high"))
+    parts = written(parts, "parts")
+    cell = lambda x: F.least(F.col("cells") - 1, F.floor(x * F.col("cells")))
+    in_cells = parts.select("source_no", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+    draws = parts.agg(F.max("draws").alias("draws"), F.max("cells").alias("cells")).filter("draws > 0").select("cells", "draws", shards)
+    draws = draws.select("cells", "shard", F.explode(F.sequence(F.lit(1).cast("long"), F.col("draws"))).alias("draw"))
+    draws = draws.withColumn("u", _uniform(F.lit(seed), F.col("shard"), F.col("draw"))).withColumn("cell", cell(F.col("u")))
+    drawn = draws.join(in_cells.hint("merge"), "cell").filter("low <= u and u < high").groupBy("shard", "source_no").agg(F.count("*").alias("slots"))
+    return counts.unionByName(drawn).groupBy("shard", "source_no").agg(F.sum("slots").alias("slots"))
+
+
+def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", row_col=None, weights=(5, 2, 1), share=1.5, cap=2.0, block_words=64, shard_slots=1 << 14, seed=17) -> Mixture:
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     sizes = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text_col)).alias("content"))
     sizes = written(sizes, "sizes")
     total = sizes.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
     n_buckets = max(1, total["rows"] // 4096 + total["words"] // (1 << 20))
-    n_shards = max(1, int(total["words"] * share) // shard_words)
+    n_shards = max(1, round(total["words"] * share / block_words / shard_slots))
 
-    sources = written(_with_permutation(source_targets(sizes, weights, share, cap), block_words, seed), "sources")
+    b = F.lit(block_words).cast("long")
+    sources = source_targets(sizes, weights, share, cap).withColumn("n_blocks", F.floor((F.col("source_size") + b - 1) / b))
+    # a slot takes a block, of which the last one of a source may be short
+    sources = written(sources.withColumn("wanted", F.when(F.col("source_size") > 0, F.col("target") * F.col("n_blocks") / F.col("source_size")).otherwise(0.0)), "sources")
     # the number of a row decides among equal rows alone, so that the mix does not follow how the input is split
     order = F.xxhash64(F.lit(seed), F.col("id"), F.col("content"))
     rows = sizes.withColumn("source_key", F.coalesce("source", F.lit(""))).withColumn("null_source", F.col("source").isNull())
-    keyed = sources.withColumn("source_key", F.coalesce("source", F.lit(""))).withColumn("null_source", F.col("source").isNull()).drop("source")
+    keyed = sources.select(F.coalesce("source", F.lit("")).alias("source_key"), F.col("source").isNull().alias("null_source"), "source_no", "source_size", "target")
     rows = rows.join(keyed, ["source_key", "null_source"]).drop("source_key", "null_source")
     rows = rows.withColumn("order", order).withColumn("bucket", F.pmod("order", F.lit(n_buckets)))
 
-    # Offsets of words within a source in two levels, so that a large source isn't one task.
-    in_bucket = Window.partitionBy("source_no", "bucket")
-    before = in_bucket.orderBy("order", "id", "content", "row").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("in_bucket", F.sum("size").over(in_bucket))
-    rows = written(rows, "placed")
-    of_source = ["source_size", "passes", "rest", "n_blocks", "step", "shift", "last_place"]
-    buckets = rows.groupBy("source_no", "bucket", *of_source).agg(F.sum("size").alias("words"))
+    # Offsets of words within a source in two levels, so that a large source isn't one task: rows of a bucket, then
+    # buckets, of which there is one for thousands of rows.
+    before = Window.partitionBy("source_no", "bucket").orderBy("order", "id", "content", "row").rowsBetween(Window.unboundedPreceding, -1)
+    rows = written(rows.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))), "placed")
     until = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("start", F.coalesce(F.sum("words").over(until), F.lit(0)))
-
-    b = F.lit(block_words).cast("long")
-    up = lambda words: F.floor((words + b - 1) / b)
-    rows = rows.join(buckets.select("source_no", "bucket", "start"), ["source_no", "bucket"])
+    buckets = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
+    buckets = written(buckets.select("source_no", "bucket", F.coalesce(F.sum("words").over(until), F.lit(0)).alias("start")), "buckets")
+    rows = rows.join(buckets, ["source_no", "bucket"])
     rows = rows.withColumn("start", F.col("start") + F.col("before")).withColumn("end", F.col("start") + F.col("size"))
 
-    # Every block belongs to the bucket in which it starts; that bucket makes the block's slots.
-    slots = buckets.filter("words > 0")
-    slots = slots.withColumn("from", up(F.col("start"))).withColumn("to", up(F.col("start") + F.col("words")) - 1).filter("from <= to")
-    slots = slots.withColumn("block", F.explode(F.sequence("from", "to"))).withColumn("pass_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))))
-    slots = slots.withColumn("place", (F.col("step") * F.col("block") + F.col("shift")) % F.col("n_blocks"))
-    short = F.col("n_blocks") * b - F.col("source_size")  # what the last block lacks
-    length = F.when(F.col("block") == F.col("n_blocks") - 1, b - short).otherwise(b)
-    reached = F.col("place") * b - F.when(F.col("last_place") < F.col("place"), short).otherwise(0)
-    words = F.when(F.col("pass_no") < F.col("passes"), length).otherwise(F.greatest(F.lit(0), F.least(length, F.col("rest") - reached)))
-    shard = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("source_no"), F.col("block"), F.col("pass_no")), F.lit(n_shards))
-    slots = slots.withColumn("words", words).filter("words > 0").select("source_no", "block", "pass_no", "passes", shard.alias("shard"), "words")
+    # Slots of a source, numbered over the shards, and the blocks to which its permutations map them.
+    so_far = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    slots = _counts(sources.select("source_no", "wanted"), n_shards, seed + 1)
+    slots = slots.withColumn("first", F.coalesce(F.sum("slots").over(so_far), F.lit(0))).join(sources.select("source_no", "n_blocks"), "source_no")
+    slots = slots.withColumn("slot_no", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("slots") - 1))).filter(F.col("slot_no") < F.floor(F.col("n_blocks") * F.lit(float(cap))))
+    slots = slots.withColumn("pass_no", F.floor(F.col("slot_no") / F.col("n_blocks")))
+    place = permuted(F.col("slot_no") % F.col("n_blocks"), F.col("n_blocks"), F.lit(seed + 2), F.col("source_no"), F.col("pass_no"))
+    slots = slots.select("shard", "source_no", "slot_no", "pass_no", place.alias("block"))
 
     # Blocks by index: each document's words in a block against the slots of that block.
     pieces = rows.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("end") - 1) / b))))
     low, high = F.greatest(F.col("start"), F.col("block") * b), F.least(F.col("end"), (F.col("block") + 1) * b)
-    pieces = pieces.select("row", "source_no", "block", (low - F.col("block") * b).alias("low"), (high - F.col("block") * b).alias("high"), (low - F.col("start")).alias("first_word"))
-    uses = slots.select("source_no", "block", F.col("pass_no") == F.col("passes"), F.col("words").alias("slot_words")).toDF("source_no", "block", "last", "slot_words")
-    # the planner takes exploded slots for as small as the buckets they come from, and would broadcast them
-    pieces = pieces.join(uses.hint("merge"), ["source_no", "block"])
-    pieces = pieces.select("row", "first_word", "last", F.greatest(F.lit(0), F.least("high", "slot_words") - F.col("low")).alias("words")).filter("words > 0")
-    taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
-    rows = rows.join(taken, "row", "left").select("row", "id", "source", "source_no", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "passes")
-    return Mixture(rows, slots.drop("passes"), pieces)
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as rows of docs: a whole copy for each full pass, and one row of the words that the last pass takes."""
-    docs = numbered(docs)
-    got = mix(docs, row_col="_row", **options)
-    parts = got.pieces.filter("last").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("_parts"))
-    plan = got.rows.filter("taken > 0").select("row", F.col("size").alias("_size"), F.col("passes").alias("_passes")).join(parts, "row", "left").withColumnRenamed("row", "_row")
-    out = docs.join(plan.hint("merge"), "_row")
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    out = out.withColumn("_words", F.when(F.col("_parts").isNotNull(), words))
-    part = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(F.col("_words"), (p["first_word"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    n_part = F.aggregate("_parts", F.lit(0).cast("long"), lambda acc, p: acc + p["words"])
-    part = F.when(n_part == F.col("_size"), F.col("text")).otherwise(part)
-    copies = F.array_repeat(F.col("text"), F.col("_passes").cast("int"))
-    out = out.withColumn("_texts", F.when(F.col("_parts").isNotNull(), F.array_append(copies, part)).otherwise(copies))
-    kept = [c for c in docs.columns if c != "_row"]
-    out = out.select(*[c for c in kept if c != "text"], F.explode("_texts").alias("text"))
+    pieces = pieces.select("row", "source_no", "block", (low - F.col("start")).alias("first_word"), (high - low).alias("words"))
+    uses = slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
+    # the planner takes exploded slots for as small as the counts they come from, and would broadcast them
+    pieces = pieces.join(uses.hint("merge"), ["source_no", "block"]).select("row", "first_word", "words", "times")
+    taken = pieces.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    rows = rows.join(taken, "row", "left").select("row", "id", "source", "source_no", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return Mixture(rows, slots, pieces)
+
+
+def mixed_documents(docs: DataFrame, text_col="text", **options) -> DataFrame:
+    """The mix as rows of docs: for each pass over its source a row with the words of a document that the pass takes.
+
+    White space between words that stand together stays as it is. A text that is taken whole is left
+    alone. A column n_chars follows the text.
+    """
+    row, plan = fresh(docs, "row"), fresh(docs, "plan")
+    docs = numbered(docs, row)
+    got = mix(docs, row_col=row, text_col=text_col, **options)
+    of_row = got.pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first_word", "words", "times"))).alias("parts"), F.max("times").alias("passes"))
+    of_row = of_row.select("row", "parts", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))).alias("pass_no"))
+    of_row = of_row.select("row", F.filter("parts", lambda p: p["times"] >= F.col("pass_no")).alias("parts"))
+    plans = of_row.join(got.rows.select("row", "size"), "row").select(F.col("row").alias(row), F.struct("parts", (F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["words"]) == F.col("size")).alias("whole")).alias(plan))
+    out = docs.join(written(plans, "plans").hint("merge"), row)
+    # each word with the white space after it
+    words = F.regexp_extract_all(F.col(text_col), F.lit(f"{WORD}{SPACE}*"), F.lit(0))
+    taken = F.array_join(F.flatten(F.transform(F.col(plan)["parts"], lambda p: F.slice(words, (p["first_word"] + 1).cast("int"), p["words"].cast("int")))), "")
+    text = F.when(F.col(plan)["whole"], F.col(text_col)).otherwise(taken)
+    kept = [c for c in docs.columns if c != row]
+    out = out.withColumn(text_col, text)
     if "n_chars" in kept:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*kept)
+        out = out.withColumn("n_chars", F.length(text_col).cast("long"))
+    return out.select(*[f"`{c}`" for c in kept])
 
 
 def query(spark, sf_dir):

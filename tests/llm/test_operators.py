@@ -189,14 +189,63 @@ def test_mixing(spark, docs, rows, none):
     for r in got:
         taken[r.source] += r.taken
         assert r.taken <= 2 * r.size and r.source_size == size[r.source] and r.target == pytest.approx(target[r.source])
-    assert all(abs(taken[s] - target[s]) <= 1 for s in size) and len(got) == len(rows)
+    # a shard's counts are drawn: they are within the draws for parts of slots, at most one for each source
+    assert all(abs(taken[s] - target[s]) <= 16 * len(size) for s in size) and len(got) == len(rows)
     again = mixing.mix(docs, block_words=16).rows.collect()
     assert sorted((str(r.id), r.taken) for r in got) == sorted((str(r.id), r.taken) for r in again)
     mixed = mixing.mixed_documents(docs, block_words=16)
+    assert {r.text for r in mixed.filter("text like '%\n%'").collect()}
     assert mixed.columns == docs.columns and sum(len(words(r.text)) for r in mixed.collect()) == sum(taken.values())
     assert mixing.mix(none).rows.collect() == []
 
 
+def test_mixing_draws_and_blocks(docs, rows):
+    """Slots, blocks and what documents give to them, against plain counting."""
+    seen = []
+    for seed in (1, 2):
+        got = mixing.mix(docs, block_words=8, shard_slots=64, seed=seed)
+        by_row = {r.row: r for r in got.rows.collect()}
+        n_blocks, words_of = {}, collections.Counter()
+        for r in by_row.values():
+            n_blocks[r.source_no] = -(-r.source_size // 8)
+        slots = got.slots.collect()
+        per = collections.defaultdict(list)
+        for s in slots:
+            per[s.source_no, s.pass_no].append(s.block)
+            assert s.pass_no == s.slot_no // n_blocks[s.source_no] < 2
+        for (source, at), blocks in per.items():
+            assert len(set(blocks)) == len(blocks) <= n_blocks[source] and max(blocks) < n_blocks[source]
+            if (source, at + 1) in per:
+                assert len(blocks) == n_blocks[source]
+        for source in n_blocks:
+            numbers = sorted(s.slot_no for s in slots if s.source_no == source)
+            assert numbers == list(range(len(numbers)))
+        shards = max(s.shard for s in slots) + 1
+        assert shards > 1
+        wanted = {r.source_no: r.target * n_blocks[r.source_no] / max(1, r.source_size) / shards for r in by_row.values()}
+        for (shard, source), n in collections.Counter((s.shard, s.source_no) for s in slots).items():
+            assert int(wanted[source]) - 1 <= n <= wanted[source] + len(wanted) or shard == shards - 1
+        for p in got.pieces.collect():
+            words_of[p.row] += p.words * p.times
+        assert all(r.taken == words_of[r.row] for r in by_row.values())
+        seen.append(sorted((r.row, r.taken) for r in by_row.values()))
+    assert seen[0] != seen[1]
+
+
+def test_mix_keeps_white_space(spark):
+    texts = ["a b\n\nc\td  e\n" * 40, "  x\n y " * 30, "solo"]
+    d = spark.createDataFrame([(i, t, "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, source string, _row int")
+    got = mixing.mixed_documents(d, block_words=4).collect()
+    assert got and all(r.text in texts[r.doc_id] or all(x in texts[r.doc_id] for x in re.findall(r"\S+\s*", r.text)) for r in got)
+    assert any("\n\n" in r.text for r in got) and got[0]._row == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 100, 256, 257, 1000])
+def test_permutation(spark, n):
+    x = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3), F.lit(1)).alias("x"))
+    assert sorted(r.x for r in x.collect()) == list(range(n))
+
+
 # 5
 def test_warc_round_trip(spark, none):
     rng = random.Random(2)

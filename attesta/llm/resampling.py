@@ -1,24 +1,29 @@
 """Quality classifier by importance resampling of hashed n-gram generative models.
 
-A text is a bag of hashed features: its words (A-Z in lower case), and runs of three word shapes
-(letters, case, digits, marks, and whether a word repeats the one before). Three multinomial models
-are estimated over the buckets: the target (labelled good and not toxic), and the labelled parts
-of the raw text that are not wanted (low quality; toxic). All are smoothed towards the counts of
-the whole raw corpus over the buckets that labelled rows have. The other buckets have the same
-probability in all three, so a feature of no labelled row says nothing. The raw text is not
-a model of its own: it is the mixture of the three by their labelled shares, and a document's
-importance weight is log p_target(x) - log p_raw(x). Weights perturbed by Gumbel noise, of which the k greatest are
-taken, are a sample without replacement by importance; k is the number of documents that are more
-likely target than not. The k-th greatest value is found by counting in ever finer bins, so that
-the sort is of no more than one bin.
-
-Counts of the raw corpus cover every document. The labelled rows are a bounded sample
-(`max_labelled`, by hash of the id).
-
-Cases: null, empty and blank texts have no features and are rejected. Several labels of an id
-count as toxic if any is, as good if all are. Without labelled target rows everything with words
-is kept. Noise is a hash of id and seed: reruns agree. Repeated rows get equal results; other
-columns are left alone.
+A text is a set of hashed features: its words (A-Z in lower case), its pairs of neighbouring words,
+and runs of three word shapes (letters, case, digits, marks, and whether a word repeats the one
+before). The models are multinomial over the buckets, each feature of a document counting once.
+All have the raw text's rates for their base, counted over every document. The raw model is a
+mixture of three components: text like the target (labelled good and not toxic), low quality, and
+toxic. With n labelled documents of a component in a bucket where the raw rates let E be expected,
+the component's ratio to the base is (n + a) / (E + a) where that is beyond chance (`sigmas`
+deviations) and at least `least`, and 1 elsewhere, so that a feature that labels hardly know says
+nothing; components are normalized. The target model is the target component.
+
+A document's importance weight is log p_target(x) - log p_raw(x). Weights perturbed by Gumbel noise, of which the k
+greatest are taken, are a sample without replacement by importance; k is the number of documents
+that are more likely target than not. The k-th greatest value is found by counting in ever finer
+bins, of ids and row numbers where values tie, so that the sort is of few rows.
+
+The raw counts cover every document. The labelled rows are a bounded sample (`max_labelled`, by
+hash of the id).
+
+Cases: null, empty and blank texts have no features and are rejected. Rows with null id are
+unlabelled. Several labels of an id count as toxic if any is, as good if all are; labels with null
+id, or with neither value, are left out. Without labelled target rows everything with words is
+kept. Noise is a hash of id and seed: reruns agree. Repeated rows get equal weights. Texts are
+taken whole. An empty table gives an empty result. Other columns are left alone, whatever their
+names are.
 """
 
 from __future__ import annotations
@@ -27,22 +32,32 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from attesta.llm.tables import numbered, read, written
+from attesta.llm.tables import fresh, numbered, read, written
 from attesta.llm.words import Hashes, mix
 
+#: Buckets: a quarter for words, half for pairs of words, a quarter for runs of shapes.
 BUCKETS = 1 << 18
 CLASSES = ("target", "low", "toxic")
-#: Word shapes: runs of one kind of character count once.
-KINDS = [(re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[0-9]+"), b"9"), (re.compile(rb"([^aA9])\1+"), rb"\1\1")]
+class Kinds(dict):
+    """Code point -> kind of character: an upper-case letter A, another letter a, a digit 9, itself else."""
 
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        found = self[code] = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isnumeric() else c
+        return found
+
+
+KINDS, RUN = Kinds(), re.compile(r"(.)\1+", re.DOTALL)
 
-def shape(word: bytes) -> bytes:
-    for pattern, by in KINDS:
-        word = pattern.sub(by, word)
-    return word[:4]
+
+def shape(word: str) -> str:
+    """Kinds of a word's characters, runs of one kind counting once."""
+    return RUN.sub(r"\1", word.translate(KINDS))
 
 
 class Words(Hashes):
@@ -51,46 +66,53 @@ class Words(Hashes):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
             self.clear()
-        import xxhash
-
-        text = word.decode()
-        shaped = shape(word) if text.upper() != text or not any(c.isalpha() for c in text) else shape(word.upper().replace(b"\xc3", b""))
-        found = self[word] = (xxhash.xxh3_64_intdigest(word.lower()) & ~0xFFFFFF) | (xxhash.xxh3_64_intdigest(shaped) & 0xFFFFFF)
+        found = self[word] = (xxhash.xxh3_64_intdigest(word.lower()) & ~0xFFFFFF) | (xxhash.xxh3_64_intdigest(shape(word.decode())) & 0xFFFFFF)
         return found
 
 
 def features(text: str | None, known: Words) -> np.ndarray:
-    """Buckets of a text: words in the lower half, shape n-grams in the upper."""
+    """Distinct buckets of a text: words, pairs of words (the first with none before it), runs of shapes."""
     words = text.encode().split() if text else []
     if not words:
         return np.empty(0, np.int64)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    half = np.uint64(BUCKETS // 2)
-    of_word = mix(h >> np.uint64(24)) % half
+    part = np.uint64(BUCKETS // 4)
+    word = mix(h >> np.uint64(24))
+    before = np.concatenate([np.zeros(1, np.uint64), word[:-1]])
     s = h & np.uint64(0xFFFFFF)
     s[1:] += np.where(h[1:] == h[:-1], np.uint64(1 << 30), np.uint64(0))
     s = np.concatenate([np.zeros(2, np.uint64), s])
-    grams = mix(mix(mix(s[:-2]) + s[1:-1]) + s[2:]) % half + half
-    return np.concatenate([of_word, grams]).astype(np.int64)
+    grams = mix(mix(mix(s[:-2]) + s[1:-1]) + s[2:])
+    return np.unique(np.concatenate([word % part, mix(before * np.uint64(3) + word) % (part + part) + part, grams % part + np.uint64(3) * part])).astype(np.int64)
 
 
-def _counts(docs: DataFrame, weights: list[str]) -> DataFrame:
-    """bucket and, for each of the 0/1 columns of docs, the count of its rows' features; docs: text, weights."""
+def _sums(docs: DataFrame) -> np.ndarray:
+    """For all documents and each class, documents by bucket and, last, documents with any feature; docs: text, and a 0/1 column for each class.
+
+    What comes to the driver is a row for each bucket.
+    """
+    kinds = ("raw", *CLASSES)
 
     def run(batches):
-        known, sums = Words(), np.zeros((len(weights), BUCKETS), np.int64)
+        known, sums = Words(), np.zeros((len(kinds), BUCKETS + 1), np.int64)
         for batch in batches:
-            on = [np.asarray(batch.column(1 + i).to_numpy(zero_copy_only=False), bool) for i in range(len(weights))]
+            on = [np.asarray(batch.column(1 + i).to_numpy(zero_copy_only=False), bool) for i in range(len(CLASSES))]
             for k, text in enumerate(batch.column(0)):
                 f = features(text.as_py(), known)
-                for i in range(len(weights)):
-                    if on[i][k]:
-                        np.add.at(sums[i], f, 1)
-        some = np.flatnonzero(sums.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(s[some]) for s in sums]], ["bucket", *weights])
-
-    kind = ", ".join(["bucket bigint", *[f"{w} bigint" for w in weights]])
-    return docs.select("text", *weights).mapInArrow(run, kind).groupBy("bucket").agg(*[F.sum(w).alias(w) for w in weights])
+                if len(f):
+                    f = np.append(f, BUCKETS)
+                    sums[0][f] += 1
+                    for i, flags in enumerate(on):
+                        if flags[k]:
+                            sums[1 + i][f] += 1
+        some = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(s[some]) for s in sums]], ["bucket", *kinds])
+
+    out = np.zeros((len(kinds), BUCKETS + 1))
+    got = docs.select("text", *CLASSES).mapInArrow(run, ", ".join(["bucket bigint", *[f"{c} bigint" for c in kinds]]))
+    for r in got.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in kinds]).collect():
+        out[:, r[0]] = r[1:]
+    return out
 
 
 def labelled_sample(labels: DataFrame, max_labelled: int, seed=5) -> DataFrame:
@@ -103,33 +125,40 @@ def labelled_sample(labels: DataFrame, max_labelled: int, seed=5) -> DataFrame:
 
 
 class Model:
-    """Log ratios of the unwanted classes to the target by bucket, and the classes' shares."""
+    """Log ratios of the mixture's components to the raw rates by bucket, and logs of their shares.
 
-    def __init__(self, raw: np.ndarray, by_class: np.ndarray, rows: list[int], prior: float = 20_000.0):
+    raw, by_class: documents by bucket, of the corpus and of each class; rows: documents of each class.
+    A feature of no labelled row has the base's probability in every component.
+    """
+
+    def __init__(self, raw: np.ndarray, by_class: np.ndarray, rows, a: float = 0.3, sigmas: float = 3.0, least: float = 3.0):
+        rates = (raw + 0.01) / (raw + 0.01).sum()
         seen = by_class.sum(axis=0) > 0
-        back = np.where(seen, raw + 0.01, 0.01)
-        back = back / max(back[seen].sum(), 0.01)
-        logs = [np.log((c + prior * back) / (c.sum() + prior)) for c in by_class]
-        self.ratios = np.stack([np.where(seen, x - logs[0], 0.0) for x in logs[1:]]).astype(np.float32)
-        total = sum(rows) or 1
-        self.shares = [max(n, 0.5) / total for n in rows]
+        ratios = []
+        for n in by_class:
+            expected = n.sum() * rates
+            r = np.log((n + a) / (expected + a))
+            r = np.where((np.abs(n - expected) > sigmas * np.sqrt(expected + 1)) & (np.abs(r) > np.log(least)) & seen, r, 0.0)
+            if seen.any():
+                r[seen] -= np.log((rates * np.exp(r))[seen].sum() / rates[seen].sum())
+            ratios.append(r)
+        self.ratios = np.stack(ratios).astype(np.float32)
+        shares = np.asarray(rows, np.float64) + 0.5
+        self.logs = np.log(shares / shares.sum())
 
     def weight(self, f: np.ndarray) -> float:
-        """log p_target - log p_raw, the raw text being the mixture of all classes."""
-        parts = [np.log(self.shares[0]), *[np.log(s) + float(r[f].sum(dtype=np.float64)) for s, r in zip(self.shares[1:], self.ratios)]]
-        return -float(np.logaddexp.reduce(parts))
+        """log p_target - log p_raw."""
+        parts = self.ratios[:, f].sum(axis=1, dtype=np.float64)
+        return float(parts[0] - np.logaddexp.reduce(self.logs + parts))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Model:
-    """docs: doc_id, text. What comes to the driver is a row for each bucket."""
+    """docs: doc_id, text."""
     few = labelled_sample(labels, max_labelled)
     # at most max_labelled rows of an id and three flags
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id", "left").select("text", F.lit(True).alias("raw"), *[F.coalesce(c, F.lit(False)).alias(c) for c in CLASSES])
-    counts = np.zeros((4, BUCKETS))
-    for r in _counts(rows, ["raw", *CLASSES]).collect():
-        counts[:, r[0]] = r[1:]
-    found = few.agg(*[F.count_if(c).alias(c) for c in CLASSES]).first()
-    return Model(counts[0], counts[1:], [found[c] or 0 for c in CLASSES])
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id", "left").select("text", *[F.coalesce(c, F.lit(False)).alias(c) for c in CLASSES])
+    sums = _sums(rows)
+    return Model(sums[0, :-1], sums[1:, :-1], sums[1:, -1])
 
 
 def weigh(docs: DataFrame, model: Model) -> DataFrame:
@@ -146,30 +175,31 @@ def weigh(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, f"row bigint, id {docs.schema['id'].dataType.simpleString()}, words boolean, weight double")
 
 
-def top_k(scored: DataFrame, k: int, bins: int = 1024) -> DataFrame:
-    """The k rows with the greatest value; ties go by id and row. scored: a table with row, id, value."""
-    above, low, high = 0, *scored.agg(F.min("value"), F.max("value")).first()
-    if low is None or k <= 0:
-        return scored.limit(0)
-    value = F.col("value")
-    inside = scored
-    for _ in range(8):
-        step = (high - low) / bins
-        if not step > 0 or not low + step > low:
-            break
-        bin_ = F.least(F.lit(bins - 1), F.floor((value - low) / F.lit(step))).cast("int")
-        counts = {r["b"]: r["count"] for r in inside.groupBy(bin_.alias("b")).count().collect()}
-        for b in range(bins - 1, -1, -1):
-            if above + counts.get(b, 0) >= k:
+def top_k(scored: DataFrame, k: int, bins: int = 1024, few: int = 1000) -> DataFrame:
+    """The k rows with the greatest value; ties go by id (where it is a number) and row. scored: a table with row, id, value."""
+    ranks = [F.col("value")]
+    if isinstance(scored.schema["id"].dataType, IntegralType):
+        ranks.append(-F.coalesce(F.col("id"), F.lit((1 << 63) - 1)).cast("decimal(20,0)"))
+    ranks.append(-F.col("row").cast("decimal(20,0)"))
+    inside, found, need = scored, scored.limit(0), k
+    for rank in ranks:
+        while True:
+            low, high, n = inside.agg(F.min(rank), F.max(rank), F.count("*")).first()
+            if n <= few or need <= 0 or low == high:
                 break
-            above += counts.get(b, 0)
-        inside = inside.filter(bin_ == b)
-        low, high = inside.agg(F.min("value"), F.max("value")).first()
-        if counts.get(b, 0) <= 1000:
+            place = ((rank - F.lit(low)).cast("double") / F.lit(float(high - low)) * bins).cast("int")
+            counts = {r["b"]: r["count"] for r in inside.groupBy(place.alias("b")).count().collect()}  # bins + 1 at most
+            for b in sorted(counts, reverse=True):
+                if counts[b] >= need:
+                    break
+                need -= counts[b]
+            if len(counts) == 1:
+                break  # values that no double tells apart
+            found = found.unionByName(inside.filter(place > b))
+            inside = inside.filter(place == b)
+        if n <= few or need <= 0:
             break
-    # the last bin's rows are few, or equal: the rest of k among them by id and row
-    edge = inside.orderBy(F.desc("value"), "id", "row").limit(k - above)
-    return scored.filter(value > high).unionByName(edge)
+    return found.unionByName(inside.orderBy(*[r.desc() for r in ranks]).limit(max(0, min(need, n))))
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, seed=7, row_col=None) -> DataFrame:
@@ -180,16 +210,18 @@ def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, see
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id")), 12) + 0.5) / float(1 << 52)
     scored = written(weigh(rows, model).withColumn("value", F.col("weight") - F.log(-F.log(u))), "weights")
     some = scored.filter("words")
-    k = some.filter(F.col("weight") > F.lit(-np.log(model.shares[0]) + np.log(0.5))).count()
+    # more than half of p_raw is the target's part of it
+    k = some.filter(F.col("weight") > F.lit(-float(model.logs[0]) + np.log(0.5))).count()
     kept = top_k(some, k).select("row", F.lit(True).alias("kept"))
     return scored.join(kept, "row", "left").select("row", "id", "weight", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without the rows that the classifier rejects."""
-    docs = numbered(docs)
-    kept = classify(docs, labels, row_col="_row", **options).filter("kept").select(F.col("row").alias("_row"))
-    return docs.join(kept.hint("merge"), "_row").drop("_row")
+    """docs (doc_id, text, ...) without the rows that the classifier rejects."""
+    row = fresh(docs, "row")
+    docs = numbered(docs, row)
+    kept = classify(docs, labels, row_col=row, **options).filter("kept").select(F.col("row").alias(row))
+    return docs.join(kept.hint("merge"), row).drop(row)
 
 
 def query(spark, sf_dir):

@@ -22,7 +22,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hashes(dict):
     """word (bytes) -> 64-bit hash; words seen lately are kept."""
 
-    MOST = 300_000
+    MOST = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:

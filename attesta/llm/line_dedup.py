@@ -6,9 +6,14 @@ documents are boilerplate and are dropped wherever they occur in that host. For
 documents of L distinct lines on average there are fewer than L / ratio such lines, so the list
 that a host carries is bounded by what one document holds, not by the number of documents.
 
+`min_pages` is the support that a ratio needs: a line of fewer documents is no boilerplate of a
+host, however few documents the host has.
+
 Cases: a null host is a host of its own. Blank lines are neither counted nor dropped. Null text
-stays null with 0 lines; an empty text has no lines. A document counts once for a line that it
-repeats. Repeated rows count each by itself. Other columns are left as they are.
+stays null with 0 lines; an empty text has no lines. Texts are taken whole. A document counts once
+for a line that it repeats. Repeated rows count each by itself. A ratio equal to the limit stays.
+An empty table gives an empty result. Other columns are left as they are, whatever their names
+are; n_lines_col and n_dropped_col name the two counts that are added.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.tables import read, written
+from attesta.llm.tables import fresh, read, written
 
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 
@@ -37,18 +42,18 @@ def boilerplate(docs: DataFrame, text_col: str, host_col: str, ratio: float, min
     return common.groupBy("host").agg(F.collect_list("key").alias("boilerplate"))
 
 
-def drop_boilerplate(docs: DataFrame, text_col="text", host_col="source", ratio=0.02, min_pages=5) -> DataFrame:
-    """docs with the text's boilerplate lines dropped, and _n_lines, _n_dropped."""
-    common = written(boilerplate(docs, text_col, host_col, ratio, min_pages), "boilerplate").withColumnRenamed("host", "_host").withColumnRenamed("boilerplate", "_boilerplate")
-    out = docs.join(common, F.col(host_col).eqNullSafe(F.col("_host")), "left")
+def drop_boilerplate(docs: DataFrame, text_col="text", host_col="source", ratio=0.02, min_pages=5, n_lines_col="_n_lines", n_dropped_col="_n_dropped") -> DataFrame:
+    """docs with the text's boilerplate lines dropped, and the numbers of its lines and of those dropped."""
+    host, keys, kept = fresh(docs, "host_of_lines"), fresh(docs, "boilerplate"), fresh(docs, "kept_lines")
+    common = written(boilerplate(docs, text_col, host_col, ratio, min_pages), "boilerplate").toDF(host, keys)
+    out = docs.join(common, F.col(host_col).eqNullSafe(F.col(host)), "left")
     lines = F.split(F.col(text_col), "\n")
-    drop = lambda line: F.array_contains(F.col("_boilerplate"), _line_key(line))
-    out = out.withColumn("_lines", lines)
-    out = out.withColumn("_kept", F.when(F.col("_boilerplate").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda line: ~line.rlike(NOT_BLANK) | ~drop(line))))
-    out = out.withColumn("_n_lines", F.coalesce(F.when(F.col(text_col) == "", 0).otherwise(F.size("_lines")), F.lit(0)).cast("long"))
-    out = out.withColumn("_n_dropped", F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long"))
-    out = out.withColumn(text_col, F.when(F.col("_n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text_col)))
-    return out.select(*docs.columns, "_n_lines", "_n_dropped")
+    drop = lambda line: F.array_contains(F.col(keys), _line_key(line))
+    out = out.withColumn(kept, F.when(F.col(keys).isNull(), lines).otherwise(F.filter(lines, lambda line: ~line.rlike(NOT_BLANK) | ~drop(line))))
+    n_lines = F.coalesce(F.when(F.col(text_col) == "", 0).otherwise(F.size(lines)), F.lit(0)).cast("long")
+    n_dropped = F.coalesce(F.size(lines) - F.size(kept), F.lit(0)).cast("long")
+    text = F.when(n_dropped > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], n_lines.alias(n_lines_col), n_dropped.alias(n_dropped_col))
 
 
 def query(spark, sf_dir):

@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's docs. All but the last return the columns of `documents`.
+
+Cases, in every stage: null ids and sources, null, empty and blank texts, repeated rows, empty tables
+and further columns of any name are taken as the stage's operator says. Texts without words are
+rejected by the classifier. The last stage returns doc_id and digests alone.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm import bpe, line_dedup, mixing, resampling, similarity
-from attesta.llm.tables import read, written
+from attesta.llm.tables import fresh, read, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +24,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of their source go; n_chars follows the text."""
-    out = line_dedup.drop_boilerplate(docs)
-    return out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    lines, dropped = fresh(docs, "n_lines"), fresh(docs, "n_dropped")
+    out = line_dedup.drop_boilerplate(docs, n_lines_col=lines, n_dropped_col=dropped)
+    return out.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

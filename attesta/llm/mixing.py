@@ -135,6 +135,8 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     so_far = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     slots = _counts(sources.select("source_no", "wanted"), n_shards, seed + 1)
     slots = slots.withColumn("first", F.coalesce(F.sum("slots").over(so_far), F.lit(0))).join(sources.select("source_no", "n_blocks"), "source_no")
+    # a shard's slots are made in one task, not those of all shards in the task of the small table before
+    slots = slots.repartition(max(1, n_shards // 2), "shard")
     slots = slots.withColumn("slot_no", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("slots") - 1))).filter(F.col("slot_no") < F.floor(F.col("n_blocks") * F.lit(float(cap))))
     slots = slots.withColumn("pass_no", F.floor(F.col("slot_no") / F.col("n_blocks")))
     place = permuted(F.col("slot_no") % F.col("n_blocks"), F.col("n_blocks"), F.lit(seed + 2), F.col("source_no"), F.col("pass_no"))

@@ -18,9 +18,12 @@ that are linked with neither: they meet the others of their group where the plac
 element let them overlap enough. So a group of near copies costs as many comparisons as it has
 members, whether it is linked with its first pivot or not, and no link is lost.
 
+A set may have many pivots. It first meets the highest of them alone; signatures whose sets these
+links have joined into one component have nothing more to say, and the others go on as above.
+
 Before two sets are compared by their elements, they meet by counts of elements in 256 buckets,
 whose sum of differences is never above the sets' own difference: what this bound leaves out has
-no link. A set that is far from its pivot needs its elements only if a third set shares the signature.
+no link. A pair beyond it is compared only if a third set shares the signature.
 
 Equal sets are one node from the start. Components come from alternating large-star and small-star
 rounds over written tables. Elements, sets and signatures are 64-bit hashes.
@@ -47,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.tables import fresh, numbered, read, written
+from attesta.llm.tables import fresh, made, numbered, read, release, written
 from attesta.llm.words import Hashes, lower_words, mix, shingles, word_hashes
 
 #: Buckets of a set's counts, and distinct sets that a task remembers to cut signatures once.
@@ -245,14 +248,23 @@ def links(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFra
     kinds = sets.groupBy("key").agg(F.min(F.struct("row", "n", "counts")).alias("one")).join(mass, "key").select("key", "one.*")
     kinds = written(kinds, "kinds")  # one document of each set that shares a signature
 
-    rows = written(_with_pivots(shared.select("group", "key").join(mass, "key")).filter("key <> pivot"), "by_signature")
-    pairs = rows.groupBy(F.col("key").alias("a"), F.col("pivot").alias("b")).agg((F.max("size") > 2).alias("wide"))
-    pairs = written(_within_reach(pairs, kinds, percent), "pairs")
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(kinds.select("key", "row"), "key")
     # a shuffle at every size: the rows grow with the documents, so they are not for broadcasting
+    needed = kinds.select("key", "row")
     elements = written(set_elements(docs.select("row", "text").join(needed.hint("merge"), "row").select("key", "text"), width), "elements")
-    first = written(compared(pairs, elements, percent), "compared")
-    found = first.filter("linked").select("a", "b")
+
+    # first every set with the highest of its pivots: what these links join is settled, and so are groups within one component
+    rows = written(_with_pivots(shared.select("group", "key").join(mass, "key")), "by_signature")
+    ranks = mass.select(F.col("key").alias("pivot"), F.col("mass").alias("rank"))
+    best = rows.filter("key <> pivot").select("key", "pivot").distinct().join(ranks, "pivot").groupBy(F.col("key").alias("a")).agg(F.max(F.struct("rank", "pivot")).alias("b"))
+    best = _within_reach(best.select("a", F.col("b.pivot").alias("b"), F.lit(False).alias("wide")), kinds, percent)
+    found = written(compared(best, elements, percent).filter("linked").select("a", "b"), "best")
+    roots = components(found)
+    rooted = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select("group", F.coalesce("root", "key").alias("root"))
+    mixed = written(rooted.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("group"), "mixed")
+    rows = written(rows.filter("key <> pivot").join(mixed, "group"), "open")
+    pairs = rows.groupBy(F.col("key").alias("a"), F.col("pivot").alias("b")).agg((F.max("size") > 2).alias("wide"))
+    first = written(compared(written(_within_reach(pairs, kinds, percent), "pairs"), elements, percent), "compared")
+    found = found.union(first.filter("linked").select("a", "b"))
 
     # signatures of a third set, and of one that is not linked with the pivot: groups by the prefixes' elements
     loose = first.filter("not linked and prefix is not null").select(F.col("a").alias("key"), F.col("b").alias("pivot"))
@@ -304,7 +316,9 @@ def near_duplicates(docs: DataFrame, percent=90, width=3, id_col="doc_id", text_
         docs = numbered(docs.select(id_col, text_col), row_col)
     docs = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     cut = written(shingle_sets(docs, width), "sets")
+    spark, before = docs.sparkSession, len(made(docs.sparkSession))
     roots = components(links(docs, cut.filter("n > 0"), percent, width))
+    release(spark, made(spark, before), roots)
     ids = docs.select("row", "id")
     some = cut.filter("n > 0").select("row", "n", "key").join(roots, F.col("key") == F.col("node"), "left")
     some = written(some.select("row", "n", F.coalesce("root", "key").alias("root")).join(ids, "row"), "rooted")

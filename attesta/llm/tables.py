@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,14 +29,36 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders of the tables that written() has made, by name of the application, until they are released.
+_made: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read again: lineage ends there, and its size is known to the planner."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/attesta-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made(spark: SparkSession, since: int = 0) -> list[str]:
+    """Paths of the tables written so far, from the since-th on."""
+    return _made.get(spark.sparkContext.applicationId, [])[since:]
+
+
+def release(spark: SparkSession, paths: list[str], *still_read: DataFrame) -> None:
+    """Deletes tables that written() has made, but for those that the given frames read."""
+    plain = lambda path: re.sub("^[a-z0-9]+:/+", "/", path)
+    files = [plain(f) for df in still_read for f in df.inputFiles()]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = path.rpartition("/")[0]
+        if not any(f.startswith(plain(folder) + "/") for f in files):
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like `name` that df does not have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

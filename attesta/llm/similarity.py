@@ -14,8 +14,8 @@ either both are linked with p, and nothing is lost, or one is not; then their di
 overlap, as |x ^ y| = |x ^ p| + |y ^ p| - 2 |(x ^ p) & (y ^ p)|, so that in any order of elements
 the first ones of both differences (their prefixes) have a common one. Sets that share a prefix
 element under a pivot are a group again and have a second pivot among them. What is left are sets
-that are linked with neither: they meet the others of their group where the places of the common
-element let them overlap enough. So a group of near copies costs as many comparisons as it has
+of different components, as far as links are known: they meet where they are together in as many
+groups as a link needs, at places that let them overlap enough. So a group of near copies costs as many comparisons as it has
 members, whether it is linked with its first pivot or not, and no link is lost.
 
 A set may have many pivots. It first meets the highest of them alone; signatures whose sets these
@@ -55,6 +55,8 @@ from attesta.llm.words import Hashes, lower_words, mix, shingles, word_hashes
 
 #: Buckets of a set's counts, and distinct sets that a task remembers to cut signatures once.
 SKETCH, SEEN = 256, 100_000
+#: Elements that the prefixes of linked sets have in common, where the link needs as many.
+COMMON = 8
 
 
 @dataclass(frozen=True)
@@ -212,7 +214,7 @@ def _within_reach(pairs: DataFrame, kinds: DataFrame, percent: int) -> DataFrame
 
 
 def compared(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked, n (of a), h (elements in which they differ), prefix (of the difference; null unless wide) of pairs (a, b, wide).
+    """a, b, linked, n (of a), h (elements in which they differ), common (prefix elements of a link), prefix (of the difference; null unless wide) of pairs (a, b, wide).
 
     The order of a difference from b: what b lacks, then what a lacks, each in the elements' order.
     """
@@ -225,8 +227,10 @@ def compared(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
     shared = F.col("h") - F.col("n") * (1 + 100 / percent) * tight
     # of a set that is linked with the pivot only partners matter that are not
     shared = F.when(F.col("linked"), F.greatest(shared, (F.col("h") + (F.col("b_n") - F.col("n")) * tight) / 2)).otherwise(shared)
-    prefix = F.slice("diff", F.lit(1), (F.col("h") - F.greatest(F.lit(1), F.ceil(shared - F.lit(1e-9)))).cast("int") + 1)
-    return got.select("a", "b", "linked", "n", "h", F.when(F.col("wide"), prefix).alias("prefix"))
+    # two sets with so many common elements have the first `common` of them in both prefixes
+    got = got.withColumn("least", F.greatest(F.lit(1), F.ceil(shared - F.lit(1e-9))).cast("int")).withColumn("common", F.least(F.lit(COMMON), F.col("least")))
+    prefix = F.slice("diff", F.lit(1), F.col("h") - F.col("least") + F.col("common"))
+    return got.select("a", "b", "linked", "n", "h", "common", F.when(F.col("wide"), prefix).alias("prefix"))
 
 
 def _with_pivots(members: DataFrame) -> DataFrame:
@@ -258,38 +262,49 @@ def links(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFra
     best = rows.filter("key <> pivot").select("key", "pivot").distinct().join(ranks, "pivot").groupBy(F.col("key").alias("a")).agg(F.max(F.struct("rank", "pivot")).alias("b"))
     best = _within_reach(best.select("a", F.col("b.pivot").alias("b"), F.lit(False).alias("wide")), kinds, percent)
     found = written(compared(best, elements, percent).filter("linked").select("a", "b"), "best")
-    roots = components(found)
-    rooted = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select("group", F.coalesce("root", "key").alias("root"))
-    mixed = written(rooted.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("group"), "mixed")
-    rows = written(rows.filter("key <> pivot").join(mixed, "group"), "open")
+    rows = written(rows.filter("key <> pivot").join(_unsettled(rows, components(found)), "group"), "open")
     pairs = rows.groupBy(F.col("key").alias("a"), F.col("pivot").alias("b")).agg((F.max("size") > 2).alias("wide"))
     first = written(compared(written(_within_reach(pairs, kinds, percent), "pairs"), elements, percent), "compared")
-    found = found.union(first.filter("linked").select("a", "b"))
+    found = written(found.union(first.filter("linked").select("a", "b")), "found")
 
     # signatures of a third set, and of one that is not linked with the pivot: groups by the prefixes' elements
     loose = first.filter("not linked and prefix is not null").select(F.col("a").alias("key"), F.col("b").alias("pivot"))
     loose = written(rows.filter("size > 2").join(loose, ["key", "pivot"], "left_semi").select("group").distinct(), "loose")
     open_ = rows.join(loose, "group").select(F.col("key").alias("a"), F.col("pivot").alias("b"), "mass").distinct()
-    items = open_.join(first, ["a", "b"]).select(F.col("a").alias("key"), "b", "mass", "linked", "n", "h", F.posexplode("prefix").alias("at", "e"))
+    items = open_.join(first, ["a", "b"]).select(F.col("a").alias("key"), "b", "mass", "linked", "n", "h", "common", F.posexplode("prefix").alias("at", "e"))
     items = written(items.withColumn("group", F.xxhash64("b", "e")).drop("b", "e"), "items")
-    some = written(items.groupBy("group").agg(F.count("*").alias("size"), F.bool_and("linked").alias("all")).filter("size > 1 and not all").select("group"), "some")
-    items = written(_with_pivots(items.join(some, "group")).filter("key <> pivot").drop("mass"), "in_groups")
-    pairs = items.select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct().withColumn("wide", F.lit(False))
-    second = written(compared(_within_reach(pairs, kinds, percent), elements, percent).filter("linked").select("a", "b"), "second")
-    found = found.union(second)
-
-    # in a group: sets that are linked with neither pivot, and the others, where they can overlap enough
-    rest = items.filter("size > 2").join(second.select(F.col("a").alias("key"), F.col("b").alias("pivot"), F.lit(True).alias("near")), ["key", "pivot"], "left")
-    rest = rest.select("group", "key", "linked", "n", "h", "at", F.coalesce("near", F.lit(False)).alias("near"))
-    rest = written(rest, "rest")
+    roots = components(found)
+    some = items.groupBy("group").agg(F.count("*").alias("size"), F.bool_and("linked").alias("all")).filter("size > 1 and not all").select("group")
+    items = _rooted(items.join(written(some, "some"), "group"), roots)
+    items = written(_with_pivots(items.join(_unsettled(items, None), "group")).filter("key <> pivot").drop("mass"), "in_groups")
+    pairs = _rooted(items.select("pivot", F.col("root").alias("of"), "key").distinct().withColumnRenamed("key", "member").withColumnRenamed("pivot", "key"), roots)
+    pairs = pairs.filter("of <> root").select(F.col("member").alias("a"), F.col("key").alias("b"), F.lit(False).alias("wide"))
+    second = compared(_within_reach(pairs, kinds, percent), elements, percent).filter("linked").select("a", "b")
+    found = written(found.union(second), "found")
+
+    # in a group: sets of different components, one of them not linked with the first pivot, where they can overlap enough
+    rest = written(_rooted(items.filter("size > 2").drop("root"), components(found)), "rest")
+    rest = written(rest.join(_unsettled(rest, None), "group"), "rest_of_groups")
     least = (F.col("x.h") + F.col("y.h") - (F.col("x.n") + F.col("y.n")) * (100 - percent) / (100 + percent)) / 2 - F.lit(1e-9)
     reach = F.least(F.col("x.h") - F.col("x.at"), F.col("y.h") - F.col("y.at"))
-    met = rest.filter("not (linked and near)").alias("x").join(rest.alias("y"), (F.col("x.group") == F.col("y.group")) & (F.col("x.key") != F.col("y.key")) & ~(F.col("x.linked") & F.col("y.linked")) & ~(F.col("x.near") & F.col("y.near")) & (reach >= least))
-    met = met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct().withColumn("wide", F.lit(False))
+    met = rest.filter("not linked").alias("x").join(rest.alias("y"), (F.col("x.group") == F.col("y.group")) & (F.col("x.root") != F.col("y.root")) & (F.col("y.linked") | (F.col("x.key") < F.col("y.key"))) & (reach + COMMON - 1 >= least))
+    met = met.groupBy(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).agg(F.count("*").alias("groups"), F.min(F.least("x.common", "y.common")).alias("common"))
+    met = met.filter("groups >= common").select("a", "b", F.lit(False).alias("wide"))
     third = compared(written(_within_reach(met, kinds, percent), "met"), elements, percent).filter("linked").select("a", "b")
     return written(found.union(third), "links")
 
 
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (key, ...) with the root of the key's component, the key itself where it has no link."""
+    return rows.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+
+
+def _unsettled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """group, of those of rows (group, key, root) that have keys of two components; roots where rows have none."""
+    rows = rows if roots is None else _rooted(rows.select("group", "key"), roots)
+    return written(rows.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("group"), "unsettled")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) of every node of edges (a, b)."""
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")

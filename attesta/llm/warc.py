@@ -163,10 +163,12 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 SCHEMA = "path string, offset bigint, page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
-def scan(archives: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
-    """One row for each record of archives (path, bytes)."""
+def scan(archives: DataFrame, split_bytes: int = 4 << 20, most_tasks: int = 100_000) -> DataFrame:
+    """One row for each record of archives (path, bytes); a task for each range, up to most_tasks."""
     ranges = archives.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.col("bytes") - 1), F.lit(split_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    # a number of partitions that the planner keeps: rows of ranges are small, the bytes behind them are not
+    n_ranges = archives.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / F.lit(split_bytes))), F.lit(0))).first()[0]
+    ranges = ranges.repartition(max(1, min(n_ranges, most_tasks)))
 
     def page(name):
         return int(name[10:-1]) if name and name.startswith("<urn:page:") else None

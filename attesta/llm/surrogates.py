@@ -18,7 +18,8 @@ A part without any letter or digit stays. Mentions meet replacements in an equi-
 entity, of which Spark can split a hot side; a document's mentions are put together by document.
 
 Cases: null text stays null with 0 entities; texts without entities are unchanged. Texts are
-taken whole. Repeated rows get equal results; columns besides the text are kept as they are.
+taken whole. Repeated rows get equal results. An empty table gives an empty result. Columns besides
+the text are kept as they are, whatever their names are.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.tables import numbered, read, written
+from attesta.llm.tables import fresh, numbered, read, written
 
 # Titles by gender, given names by gender and script, syllables and alphabets by script.
 MALE_TITLES = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Господин")
@@ -41,7 +42,8 @@ SYLLABLES = {"latin": ("ba", "den", "fel", "gor", "han", "kel", "lin", "mar", "n
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "hex": "abcdef", "cyrillic": "абвгдежзийклмнопрстуфхцчшщыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "han": "安白成大方高国海和江金林明南平石天文新永", "digit": "0123456789"}
 
 KINDS = {
-    "mail": r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
+    # a run begins where none goes on, or where the last mention ended, and is not given up: long runs without @ stay linear
+    "mail": r"(?:(?<![\p{L}\p{N}._%+\-])|\G)[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
     "phone": r"(?<![\w.\-])(?:\+?\d{1,3}[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w.\-])(?:\+\d{1,3}[ .\-])?\d{3}[ .\-]\d{3}[ .\-]\d{4}(?!\w)|(?<!\w)\+\d{8,15}(?!\w)",
     "card": r"(?<![\w.\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3})(?![\w\-])",
@@ -195,29 +197,27 @@ def _dressed(original: Column, replacement: Column, kind: Column) -> Column:
     return F.when(kind == "keep", original).when(kind == "ip", replacement).when(kind.isin("surname", "given_m", "given_f"), whole).otherwise(F.concat(filled, tail))
 
 
-def replace_entities(docs: DataFrame, key: str, text_col="text") -> DataFrame:
-    """docs with replaced entities, and _n_entities."""
-    row = fresh(docs, "row")
+def replace_entities(docs: DataFrame, key: str, text_col="text", n_entities_col="_n_entities") -> DataFrame:
+    """docs with replaced entities, and their number."""
+    row, new, between = fresh(docs, "row"), fresh(docs, "new_parts"), fresh(docs, "between")
     docs = numbered(docs, row)
-    found = written(mentions(docs.select(F.col("_row").alias("row"), F.col(text_col).alias("text"))), "mentions")
+    found = written(mentions(docs.select(F.col(row).alias("row"), F.col(text_col).alias("text"))), "mentions")
     by = written(replacements(found, key), "replacements")
     kept = found.filter("kind = 'keep'").withColumn("replacement", F.lit(None).cast("string"))
     parts = found.filter("kind <> 'keep'").join(by, ["kind", "canon"]).unionByName(kept)
     parts = parts.select("row", "pos", "sub", _dressed(F.col("original"), F.col("replacement"), F.col("kind")).alias("new"))
     whole = parts.groupBy("row", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub", "new"))), lambda p: p["new"]), "").alias("new"))
-    per_doc = whole.groupBy(F.col("row").alias("_row")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda p: p["new"]).alias("_new"))
+    per_doc = whole.groupBy(F.col("row").alias(row)).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda p: p["new"]).alias(new))
     # texts without a hint of an entity pass by the join; the others meet their replacements by a shuffle at every size
     hinted = F.coalesce(F.col(text_col).rlike(HINT), F.lit(False))
-    per_doc = written(per_doc, "per_document")
-    out = docs.filter(hinted).join(per_doc.hint("merge"), "_row", "left")
-    between = F.split(F.col(text_col), PATTERN, -1)
-    out = out.withColumn("_between", F.when(F.col("_new").isNotNull(), between))
+    out = docs.filter(hinted).join(written(per_doc, "per_document").hint("merge"), row, "left")
+    out = out.withColumn(between, F.when(F.col(new).isNotNull(), F.split(F.col(text_col), PATTERN, -1)))
     # text between mentions is null-safe: the last piece has no mention after it
-    joined = F.array_join(F.transform(F.arrays_zip(F.col("_between").alias("a"), F.col("_new").alias("b")), lambda p: F.concat(p["a"], F.coalesce(p["b"], F.lit("")))), "")
-    out = out.withColumn(text_col, F.when(F.col("_new").isNotNull(), joined).otherwise(F.col(text_col)))
-    kept = [c for c in docs.columns if c != "_row"]
-    out = out.select(*kept, F.coalesce(F.size("_new"), F.lit(0)).cast("long").alias("_n_entities"))
-    return out.unionByName(docs.filter(~hinted).select(*kept, F.lit(0).cast("long").alias("_n_entities")))
+    joined = F.array_join(F.transform(F.arrays_zip(F.col(between).alias("a"), F.col(new).alias("b")), lambda p: F.concat(p["a"], F.coalesce(p["b"], F.lit("")))), "")
+    out = out.withColumn(text_col, F.when(F.col(new).isNotNull(), joined).otherwise(F.col(text_col)))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != row]
+    out = out.select(*kept, F.coalesce(F.size(new), F.lit(0)).cast("long").alias(n_entities_col))
+    return out.unionByName(docs.filter(~hinted).select(*kept, F.lit(0).cast("long").alias(n_entities_col)))
 
 
 def query(spark, sf_dir, key="a key of the owner's"):

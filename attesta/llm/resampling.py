@@ -2,13 +2,13 @@
 
 A text is a set of hashed features: its words (A-Z in lower case), its pairs of neighbouring words,
 and runs of three word shapes (letters, case, digits, marks, and whether a word repeats the one
-before). The models are multinomial over the buckets, each feature of a document counting once.
-All have the raw text's rates for their base, counted over every document. The raw model is a
-mixture of three components: text like the target (labelled good and not toxic), low quality, and
-toxic. With n labelled documents of a component in a bucket where the raw rates let E be expected,
-the component's ratio to the base is (n + a) / (E + a) where that is beyond chance (`sigmas`
-deviations) and at least `least`, and 1 elsewhere, so that a feature that labels hardly know says
-nothing; components are normalized. The target model is the target component.
+before). All models have the raw text's rates for their base: the part of all documents that has a
+feature. The raw model is a mixture of three components: text like the target (labelled good and
+not toxic), low quality, and toxic. With n of a component's labelled documents in a bucket where
+the raw rate lets E be expected, the component's ratio to the base is (n + a) / (E + a) where that
+is beyond chance (`sigmas` deviations) and at least `least`, and 1 elsewhere, so that a feature
+that labels hardly know says nothing. Only features that a text has count. The target model is the
+target component.
 
 A document's importance weight is log p_target(x) - log p_raw(x). Weights perturbed by Gumbel noise, of which the k
 greatest are taken, are a sample without replacement by importance; k is the number of documents
@@ -127,23 +127,21 @@ def labelled_sample(labels: DataFrame, max_labelled: int, seed=5) -> DataFrame:
 class Model:
     """Log ratios of the mixture's components to the raw rates by bucket, and logs of their shares.
 
-    raw, by_class: documents by bucket, of the corpus and of each class; rows: documents of each class.
-    A feature of no labelled row has the base's probability in every component.
+    raw, by_class: documents by bucket, of the corpus and of each class; rows, n_docs: documents of each class, and of the corpus.
+    A feature of no labelled row has the base's rate in every component.
     """
 
-    def __init__(self, raw: np.ndarray, by_class: np.ndarray, rows, a: float = 0.3, sigmas: float = 3.0, least: float = 3.0):
-        rates = (raw + 0.01) / (raw + 0.01).sum()
+    def __init__(self, raw: np.ndarray, by_class: np.ndarray, rows, n_docs: float | None = None, a: float = 0.3, sigmas: float = 5.0, least: float = 3.0):
+        rows = np.asarray(rows, np.float64)
+        n_docs = n_docs or max(1.0, rows.sum() * raw.sum() / max(1.0, by_class.sum()))
         seen = by_class.sum(axis=0) > 0
         ratios = []
-        for n in by_class:
-            expected = n.sum() * rates
+        for n, of_class in zip(by_class, rows):
+            expected = of_class * raw / n_docs
             r = np.log((n + a) / (expected + a))
-            r = np.where((np.abs(n - expected) > sigmas * np.sqrt(expected + 1)) & (np.abs(r) > np.log(least)) & seen, r, 0.0)
-            if seen.any():
-                r[seen] -= np.log((rates * np.exp(r))[seen].sum() / rates[seen].sum())
-            ratios.append(r)
+            ratios.append(np.where((np.abs(n - expected) > sigmas * np.sqrt(expected + 1)) & (np.abs(r) > np.log(least)) & seen, r, 0.0))
         self.ratios = np.stack(ratios).astype(np.float32)
-        shares = np.asarray(rows, np.float64) + 0.5
+        shares = rows + 0.5
         self.logs = np.log(shares / shares.sum())
 
     def weight(self, f: np.ndarray) -> float:
@@ -158,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Model
     # at most max_labelled rows of an id and three flags
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id", "left").select("text", *[F.coalesce(c, F.lit(False)).alias(c) for c in CLASSES])
     sums = _sums(rows)
-    return Model(sums[0, :-1], sums[1:, :-1], sums[1:, -1])
+    return Model(sums[0, :-1], sums[1:, :-1], sums[1:, -1], sums[0, -1])
 
 
 def weigh(docs: DataFrame, model: Model) -> DataFrame:

@@ -242,8 +242,8 @@ def _with_pivots(members: DataFrame) -> DataFrame:
     return members.join(written(top.select("group", F.col("top.key").alias("pivot"), "size"), "pivots"), "group")
 
 
-def links(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
-    """a, b: links between keys of different sets, enough of them to join all sets that any links join."""
+def linked_sets(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
+    """node, root: for each key of a set that is linked with others the smallest key of its component, but for these themselves."""
     # one exchange by signature: the signatures are the bulk of what moves
     of_sig = Window.partitionBy("sig")
     shared = set_signatures(docs, percent, width).select("sig", "key", F.min("key").over(of_sig).alias("low"), F.max("key").over(of_sig).alias("high"), F.count("*").over(of_sig).alias("sharers"))
@@ -261,11 +261,11 @@ def links(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFra
     ranks = mass.select(F.col("key").alias("pivot"), F.col("mass").alias("rank"))
     best = rows.filter("key <> pivot").select("key", "pivot").distinct().join(ranks, "pivot").groupBy(F.col("key").alias("a")).agg(F.max(F.struct("rank", "pivot")).alias("b"))
     best = _within_reach(best.select("a", F.col("b.pivot").alias("b"), F.lit(False).alias("wide")), kinds, percent)
-    found = written(compared(best, elements, percent).filter("linked").select("a", "b"), "best")
-    rows = written(rows.filter("key <> pivot").join(_unsettled(rows, components(found)), "group"), "open")
+    roots = components(compared(best, elements, percent).filter("linked").select("a", "b"))
+    rows = written(rows.filter("key <> pivot").join(_unsettled(rows, roots), "group"), "open")
     pairs = rows.groupBy(F.col("key").alias("a"), F.col("pivot").alias("b")).agg((F.max("size") > 2).alias("wide"))
     first = written(compared(written(_within_reach(pairs, kinds, percent), "pairs"), elements, percent), "compared")
-    found = written(found.union(first.filter("linked").select("a", "b")), "found")
+    roots = components(roots.union(first.filter("linked").select("a", "b")))
 
     # signatures of a third set, and of one that is not linked with the pivot: groups by the prefixes' elements
     loose = first.filter("not linked and prefix is not null").select(F.col("a").alias("key"), F.col("b").alias("pivot"))
@@ -273,17 +273,16 @@ def links(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFra
     open_ = rows.join(loose, "group").select(F.col("key").alias("a"), F.col("pivot").alias("b"), "mass").distinct()
     items = open_.join(first, ["a", "b"]).select(F.col("a").alias("key"), "b", "mass", "linked", "n", "h", "common", F.posexplode("prefix").alias("at", "e"))
     items = written(items.withColumn("group", F.xxhash64("b", "e")).drop("b", "e"), "items")
-    roots = components(found)
     some = items.groupBy("group").agg(F.count("*").alias("size"), F.bool_and("linked").alias("all")).filter("size > 1 and not all").select("group")
     items = _rooted(items.join(written(some, "some"), "group"), roots)
     items = written(_with_pivots(items.join(_unsettled(items, None), "group")).filter("key <> pivot").drop("mass"), "in_groups")
     pairs = _rooted(items.select("pivot", F.col("root").alias("of"), "key").distinct().withColumnRenamed("key", "member").withColumnRenamed("pivot", "key"), roots)
     pairs = pairs.filter("of <> root").select(F.col("member").alias("a"), F.col("key").alias("b"), F.lit(False).alias("wide"))
     second = compared(_within_reach(pairs, kinds, percent), elements, percent).filter("linked").select("a", "b")
-    found = written(found.union(second), "found")
+    roots = components(roots.union(second))
 
     # in a group: sets of different components, one of them not linked with the first pivot, where they can overlap enough
-    rest = written(_rooted(items.filter("size > 2").drop("root"), components(found)), "rest")
+    rest = written(_rooted(items.filter("size > 2").drop("root"), roots), "rest")
     rest = written(rest.join(_unsettled(rest, None), "group"), "rest_of_groups")
     least = (F.col("x.h") + F.col("y.h") - (F.col("x.n") + F.col("y.n")) * (100 - percent) / (100 + percent)) / 2 - F.lit(1e-9)
     reach = F.least(F.col("x.h") - F.col("x.at"), F.col("y.h") - F.col("y.at"))
@@ -291,7 +290,7 @@ def links(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFra
     met = met.groupBy(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).agg(F.count("*").alias("groups"), F.min(F.least("x.common", "y.common")).alias("common"))
     met = met.filter("groups >= common").select("a", "b", F.lit(False).alias("wide"))
     third = compared(written(_within_reach(met, kinds, percent), "met"), elements, percent).filter("linked").select("a", "b")
-    return written(found.union(third), "links")
+    return components(roots.union(third))
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -305,11 +304,21 @@ def _unsettled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return written(rows.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("group"), "unsettled")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Is each node of edges (u, v) either the centre of its neighbours or linked with one centre alone?"""
+    ends = edges.select(F.col("u").alias("node"), "v").union(edges.select(F.col("v").alias("node"), F.lit(None).cast("bigint").alias("v")))
+    of_node = ends.groupBy("node").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.bool_or(F.col("v").isNull()).alias("centre"))
+    return of_node.filter((F.col("low") < F.col("high")) | (F.col("centre") & F.col("low").isNotNull())).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable) of every node of edges (a, b)."""
-    edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    said = None
-    while True:
+    """node, root (the smallest node reachable) of every node of edges (two columns) but the roots.
+
+    Rounds end when every component is a star, whose edges lead to its smallest node; so what an
+    earlier call has returned, with few edges more, takes few rounds.
+    """
+    edges = written(edges.toDF("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    while not _stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -318,10 +327,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = written(small, "small")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == said:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        said = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, percent=90, width=3, id_col="doc_id", text_col="text", row_col=None) -> DataFrame:
@@ -332,7 +338,7 @@ def near_duplicates(docs: DataFrame, percent=90, width=3, id_col="doc_id", text_
     docs = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     cut = written(shingle_sets(docs, width), "sets")
     spark, before = docs.sparkSession, len(made(docs.sparkSession))
-    roots = components(links(docs, cut.filter("n > 0"), percent, width))
+    roots = linked_sets(docs, cut.filter("n > 0"), percent, width)
     release(spark, made(spark, before), roots)
     ids = docs.select("row", "id")
     some = cut.filter("n > 0").select("row", "n", "key").join(roots, F.col("key") == F.col("node"), "left")

@@ -11,17 +11,18 @@ that labels hardly know says nothing. Only features that a text has count. The t
 target component.
 
 A document's importance weight is log p_target(x) - log p_raw(x). Weights perturbed by Gumbel noise, of which the k
-greatest are taken, are a sample without replacement by importance; k is the number of documents
-that are more likely target than not. The k-th greatest value is found by counting in ever finer
+greatest are taken, are a sample without replacement by importance. k is the number of documents
+whose weight reaches a cut, which a fifth of the labelled rows, kept out of the models, set: there
+the share of target rows at or above it exceeds that of the others by most. The k-th greatest value is found by counting in ever finer
 bins, of ids and row numbers where values tie, so that the sort is of few rows.
 
 The raw counts cover every document. The labelled rows are a bounded sample (`max_labelled`, by
-hash of the id).
+hash of the id); their weights, a number for each at most, come to the driver.
 
 Cases: null, empty and blank texts have no features and are rejected. Rows with null id are
 unlabelled. Several labels of an id count as toxic if any is, as good if all are; labels with null
-id, or with neither value, are left out. Without labelled target rows everything with words is
-kept. Noise is a hash of id and seed: reruns agree. Repeated rows get equal weights. Texts are
+id, or with neither value, are left out. Without labelled target rows, or without others, everything with
+words is kept; if these are missing in the fifth alone, all labelled rows set the cut. Noise is a hash of id and seed: reruns agree. Repeated rows get equal weights. Texts are
 taken whole. An empty table gives an empty result. Other columns are left alone, whatever their
 names are.
 """
@@ -150,9 +151,32 @@ class Model:
         return float(parts[0] - np.logaddexp.reduce(self.logs + parts))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Model:
-    """docs: doc_id, text."""
-    few = labelled_sample(labels, max_labelled)
+def with_held(few: DataFrame, seed=11) -> DataFrame:
+    """few (doc_id, ...) with held: is the row, one of five by hash, kept out of the models?"""
+    return few.withColumn("held", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(5)) == 0)
+
+
+def cut_of(weights: np.ndarray, target: np.ndarray) -> float:
+    """The weight at or above which the share of target rows exceeds that of others by most; minus infinity without either."""
+    if not target.any() or target.all():
+        return float("-inf")
+    values, place = np.unique(weights, return_inverse=True)
+    above = [np.bincount(place[rows], minlength=len(values))[::-1].cumsum()[::-1] / rows.sum() for rows in (target, ~target)]
+    return float(values[np.argmax(above[0] - above[1])])
+
+
+def _cut(scored: DataFrame, few: DataFrame) -> float:
+    """cut_of the held rows of few, or of all its rows, by their weights in scored (id, weight)."""
+    # few has at most max_labelled ids; of rows with one id the least weight counts
+    got = scored.filter("words").join(F.broadcast(few.withColumnRenamed("doc_id", "id")), "id").groupBy("id").agg(F.min("weight").alias("weight"), F.first("target").alias("target"), F.first("held").alias("held")).toPandas()
+    weights, target, held = got["weight"].to_numpy(float), got["target"].to_numpy(bool), got["held"].to_numpy(bool)
+    if not target[held].any() or target[held].all():
+        held = np.ones(len(got), bool)
+    return cut_of(weights[held], target[held])
+
+
+def fit(docs: DataFrame, few: DataFrame) -> Model:
+    """docs: doc_id, text; few: doc_id and a column for each of CLASSES."""
     # at most max_labelled rows of an id and three flags
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id", "left").select("text", *[F.coalesce(c, F.lit(False)).alias(c) for c in CLASSES])
     sums = _sums(rows)
@@ -203,13 +227,13 @@ def top_k(scored: DataFrame, k: int, bins: int = 1024, few: int = 1000) -> DataF
 def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, seed=7, row_col=None) -> DataFrame:
     """row, id, weight, kept of docs (doc_id, text)."""
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    model = fit(docs, labels, max_labelled)
+    few = with_held(labelled_sample(labels, max_labelled))
+    model = fit(docs, few.filter("not held").drop("held"))
     rows = docs.select(row.alias("row"), F.col("doc_id").alias("id"), "text")
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id")), 12) + 0.5) / float(1 << 52)
     scored = written(weigh(rows, model).withColumn("value", F.col("weight") - F.log(-F.log(u))), "weights")
     some = scored.filter("words")
-    # more than half of p_raw is the target's part of it
-    k = some.filter(F.col("weight") > F.lit(-float(model.logs[0]) + np.log(0.5))).count()
+    k = some.filter(F.col("weight") >= F.lit(_cut(scored, few))).count()
     kept = top_k(some, k).select("row", F.lit(True).alias("kept"))
     return scored.join(kept, "row", "left").select("row", "id", "weight", F.coalesce("kept", F.lit(False)).alias("kept"))
 

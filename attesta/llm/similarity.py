@@ -23,7 +23,9 @@ links have joined into one component have nothing more to say, and the others go
 
 Before two sets are compared by their elements, they meet by counts of elements in 256 buckets,
 whose sum of differences is never above the sets' own difference: what this bound leaves out has
-no link. A pair beyond it is compared only if a third set shares the signature.
+no link. A pair beyond it is compared only if a third set shares the signature. In the groups by
+first elements of differences the parities of these counts, 256 bits, are a bound of the same kind,
+cheap enough to be looked at before a pair is a row.
 
 Equal sets are one node from the start. Components come from alternating large-star and small-star
 rounds over written tables. Elements, sets and signatures are 64-bit hashes.
@@ -138,7 +140,7 @@ def _texts(batch, text_at):
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """row, n, key (hash of the set), counts (of elements by bucket, 127 at most) of docs (row, text)."""
+    """row, n, key (hash of the set), counts (of elements by bucket, 127 at most), odd (is the bucket's count? as bits) of docs (row, text)."""
 
     def run(batches):
         known = Hashes()
@@ -146,13 +148,14 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 sets = [shingles(word_hashes(lower_words(t), known), width) for t in _texts(part, 1)]
-                counts = np.zeros((len(sets), SKETCH), np.int8)
+                counts, odd = np.zeros((len(sets), SKETCH), np.int8), np.zeros((len(sets), SKETCH // 64), np.int64)
                 for i, s in enumerate(sets):
-                    counts[i] = np.minimum(np.bincount((mix(s) % np.uint64(SKETCH)).astype(np.intp), minlength=SKETCH), 127)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * SKETCH, pa.int32()), pa.array(counts.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64()), lists], ["row", "n", "key", "counts"])
+                    full = np.bincount((mix(s) % np.uint64(SKETCH)).astype(np.intp), minlength=SKETCH)
+                    counts[i], odd[i] = np.minimum(full, 127), np.packbits(full & 1).view(np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (counts, odd)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64()), *lists], ["row", "n", "key", "counts", "odd"])
 
-    return docs.select("row", "text").mapInArrow(run, "row bigint, n bigint, key bigint, counts array<tinyint>")
+    return docs.select("row", "text").mapInArrow(run, "row bigint, n bigint, key bigint, counts array<tinyint>, odd array<bigint>")
 
 
 def _key(elements: np.ndarray) -> int | None:
@@ -249,7 +252,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> D
     shared = set_signatures(docs, percent, width).select("sig", "key", F.min("key").over(of_sig).alias("low"), F.max("key").over(of_sig).alias("high"), F.count("*").over(of_sig).alias("sharers"))
     shared = written(shared.filter("low < high").select(F.col("sig").alias("group"), "key", "sharers").distinct(), "shared")
     mass = written(shared.groupBy("key").agg(F.sum("sharers").alias("mass")), "mass")
-    kinds = sets.groupBy("key").agg(F.min(F.struct("row", "n", "counts")).alias("one")).join(mass, "key").select("key", "one.*")
+    kinds = sets.groupBy("key").agg(F.min(F.struct("row", "n", "counts", "odd")).alias("one")).join(mass, "key").select("key", "one.*")
     kinds = written(kinds, "kinds")  # one document of each set that shares a signature
 
     # a shuffle at every size: the rows grow with the documents, so they are not for broadcasting
@@ -283,10 +286,15 @@ def linked_sets(docs: DataFrame, sets: DataFrame, percent: int, width: int) -> D
 
     # in a group: sets of different components, one of them not linked with the first pivot, where they can overlap enough
     rest = written(_rooted(items.filter("size > 2").drop("root"), roots), "rest")
-    rest = written(rest.join(_unsettled(rest, None), "group"), "rest_of_groups")
+    odd = [f"odd_{i}" for i in range(SKETCH // 64)]
+    of_key = kinds.select("key", *[F.col("odd")[i].alias(c) for i, c in enumerate(odd)])
+    rest = written(rest.join(_unsettled(rest, None), "group").join(of_key, "key"), "rest_of_groups")
     least = (F.col("x.h") + F.col("y.h") - (F.col("x.n") + F.col("y.n")) * (100 - percent) / (100 + percent)) / 2 - F.lit(1e-9)
     reach = F.least(F.col("x.h") - F.col("x.at"), F.col("y.h") - F.col("y.at"))
-    met = rest.filter("not linked").alias("x").join(rest.alias("y"), (F.col("x.group") == F.col("y.group")) & (F.col("x.root") != F.col("y.root")) & (F.col("y.linked") | (F.col("x.key") < F.col("y.key"))) & (reach + COMMON - 1 >= least))
+    # where one bucket's count is odd and the other's even, the sets differ in one element at least
+    differ = sum(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in odd)
+    may = (reach + COMMON - 1 >= least) & (differ * (100 + percent) <= _most_apart("x.n", "y.n", percent))
+    met = rest.filter("not linked").alias("x").join(rest.alias("y"), (F.col("x.group") == F.col("y.group")) & (F.col("x.root") != F.col("y.root")) & (F.col("y.linked") | (F.col("x.key") < F.col("y.key"))) & may)
     met = met.groupBy(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).agg(F.count("*").alias("groups"), F.min(F.least("x.common", "y.common")).alias("common"))
     met = met.filter("groups >= common").select("a", "b", F.lit(False).alias("wide"))
     third = compared(written(_within_reach(met, kinds, percent), "met"), elements, percent).filter("linked").select("a", "b")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attesta.llm import bpe, lattice, line_dedup, media, mixing, quality_rules, resampling, similarity, surrogates, warc
+from attesta.llm import bpe, crc_resampling, lattice, line_dedup, media, mixing, packing, quality_rules, resampling, similarity, surrogates, vector_codes, warc
 
 QUERIES = {
     "op1_lattice_score": lattice.query,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_line_dedup": line_dedup.query,
     "op9_quality_rules": quality_rules.query,
     "op10_surrogates": surrogates.query,
+    "op11_vector_codes": vector_codes.query,
+    "op12_packing": packing.query,
+    "op13_crc_resampling": crc_resampling.query,
 }
 ORACLES = {
     "op5_warc": warc.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op13_crc_resampling": crc_resampling.ORACLE,
 }

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from attesta.plans import queries_audit, queries_measures
+from attesta.plans import queries_audit, queries_measures, queries_registry
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (queries_audit, queries_measures):
+for _module in (queries_audit, queries_measures, queries_registry):
     for _name, (_query, _sql) in _module.ENTRIES.items():
         QUERIES[_name] = _query
         if _sql:

@@ -60,7 +60,11 @@ def runs(spark, sf_dir):
 
 
 def _runs(spark, sf_dir):
-    raw = fixtures.answers(wide(spark, sf_dir))
+    return judged(fixtures.answers(wide(spark, sf_dir)))
+
+
+def judged(raw):
+    """Raw responses as runs: outcome, decision, groundings, violation."""
     got = raw.withColumn("_text", A.response_text(F.col("body"))["text"]).withColumn("_d", A.decision_or_violation(F.col("_text")))
     out = A.outcome(F.col("status"), F.col("_text"), F.col("_d.violation"))
     return got.select(KEY, "ok", "model", out.alias("outcome"), F.col("_d.decision.decision").alias("decision"), F.col("_d.decision.groundings").alias("groundings"), F.col("_d.violation").alias("violation"))

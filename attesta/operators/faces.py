@@ -25,53 +25,184 @@ def chosen_face(faces: DataFrame, allow_ghost: bool = False, least_score: float
     return faces.select("photo").distinct().join(top, "photo", "left").select("photo", F.when(F.col("side").isNotNull(), F.col("face_id")).alias("face_id"), F.coalesce("found", F.lit(0)).alias("found"), "side", F.when(F.col("found").isNull(), "no_face").otherwise(F.col("reason")).alias("reason"))
 
 
-def genuine_pairs(photos: DataFrame) -> DataFrame:
-    """identity, a, b, similarity for all a < b of one identity. photos: photo, identity, embedding."""
-    a = photos.select("identity", F.col("photo").alias("a"), F.col("embedding").alias("ea"))
-    b = photos.select("identity", F.col("photo").alias("b"), F.col("embedding").alias("eb"))
-    return a.join(b, "identity").filter("a < b").select("identity", "a", "b", dot(F.col("ea"), F.col("eb")).alias("similarity"))
+#: Photos of an identity that meet in one group.
+TOGETHER = 500
+
+
+def _in_blocks(photos: DataFrame, together: int | None) -> DataFrame:
+    """photos with block and blocks: identities with more than `together` photos have them dealt into blocks of about so many."""
+    most = together or TOGETHER
+    large = photos.groupBy("identity").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    large = large.select(F.col("identity").alias("of"), F.ceil(F.col("n") / most).cast("int").alias("blocks"))
+    df = photos.join(large, F.col("identity") == F.col("of"), "left").drop("of").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return df.withColumn("block", F.pmod(F.xxhash64("photo"), F.col("blocks")).cast("int"))
+
+
+def genuine_pairs(photos: DataFrame, together: int | None = None) -> DataFrame:
+    """identity, a, b, similarity for all a < b of one identity. photos: photo, identity, embedding.
+
+    A large identity is a triangle of blocks: each photo goes to the pairs of its block with every other,
+    so its pairs are spread over as many groups as it has pairs of blocks.
+    """
+    at = _in_blocks(photos.select("identity", "photo", "embedding"), together)
+    a = at.select("identity", F.col("photo").alias("p"), F.col("embedding").alias("ep"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    b = at.select("identity", F.col("photo").alias("q"), F.col("embedding").alias("eq"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"))
+    met = a.join(b, ["identity", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("p") < F.col("q")))
+    return met.select("identity", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), dot(F.col("ep"), F.col("eq")).alias("similarity"))
+
+
+def ranked_photos(photos: DataFrame) -> DataFrame:
+    """photos with rank: 0, 1, ... within an identity by photo. Ranges of (identity, photo) are numbered by themselves, so no task holds an identity."""
+    spark, path = photos.sparkSession, scratch(photos.sparkSession, "ranked")
+    order = ["identity", "photo"]
+    photos.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    table = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33)).withColumn("_nth", F.col("_at").bitwiseAND((1 << 33) - 1))
+    # a row for each range, and for each identity within a range
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = table.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    placed = table.join(F.broadcast(starts), "_part").withColumn("_place", F.col("_start") + F.col("_nth"))
+    first = placed.groupBy("identity").agg(F.min("_place").alias("_first"))
+    return placed.join(first, "identity").withColumn("rank", F.col("_place") - F.col("_first")).select(*photos.columns, "rank")
+
+
+def document_pairs(documents: DataFrame, photos: DataFrame) -> DataFrame:
+    """identity, b, similarity, times: a document's face against the later photos of its identity.
+
+    The face was taken from the first photo, so that one does not count; a photo counts once for each photo before it.
+    documents: identity, embedding; photos: identity, photo, embedding.
+    """
+    d = documents.select("identity", F.col("embedding").alias("ed"))
+    later = ranked_photos(photos.select("identity", "photo", "embedding")).filter("rank > 0")
+    return later.join(d, "identity").select("identity", F.col("photo").alias("b"), F.col("rank").alias("times"), dot(F.col("ed"), F.col("embedding")).alias("similarity"))
 
 
 #: Vectors of a block, and rows of a block that are multiplied at once: a task's memory doesn't grow with the table.
 BLOCK, SLICE = 2000, 250
+PARTIAL = "variant string, genuine boolean, n bigint, least double, total double, most double"
+PAIRS = "identity {identity}, a {photo}, b {photo}, similarity double"
+
+
+def _sides(left: DataFrame, right: DataFrame, rows: int, columns: int, same: bool) -> DataFrame:
+    """Rows of both sides for each pair of blocks (i, j); same: both are the same photos, and only i <= j is there. Sides: variant, identity, photo, times, embedding."""
+    i, j = F.pmod(F.xxhash64("photo"), F.lit(rows)).cast("int"), F.pmod(F.xxhash64("photo"), F.lit(columns)).cast("int")
+    a = left.withColumn("i", i).withColumn("j", F.explode(F.sequence(F.col("i") if same else F.lit(0), F.lit(columns - 1)))).withColumn("side", F.lit(0))
+    b = right.withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") if same else F.lit(rows - 1)))).withColumn("side", F.lit(1))
+    cols = ["i", "j", "side", "variant", "identity", "photo", "times", "embedding"]
+    return a.select(*cols).unionByName(b.select(*cols))
+
+
+def _statistics(same: bool):
+    """Of a pair of blocks: n, least, total and most of the similarities, by variant of the left side and whether the identities are equal. `times`: how often a genuine pair counts, by its right photo."""
+
+    def multiply(key, table):
+        side = table.column("side").to_numpy()
+        vectors = np.array(table.column("embedding").to_pylist(), np.float64).reshape(len(side), -1)
+        who, photo, times = (table.column(c).to_numpy() for c in ("identity", "photo", "times"))
+        variant = np.array(table.column("variant").to_pylist(), object)
+        triangle = same and key[0].as_py() == key[1].as_py()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found = []
+        for at in range(0, len(left), SLICE):
+            rows = left[at : at + SLICE]
+            s = vectors[rows] @ vectors[right].T
+            equal = who[rows, None] == who[None, right]
+            meets = photo[rows, None] < photo[None, right] if triangle else np.ones(s.shape, bool)
+            weight = np.broadcast_to(times[None, right], s.shape)
+            for name in dict.fromkeys(variant[rows]):
+                of = meets & (variant[rows] == name)[:, None]
+                for genuine, on in ((True, of & equal & (weight > 0)), (False, of & ~equal)):
+                    if on.any():
+                        values, w = s[on], weight[on] if genuine else np.ones(on.sum(), np.int64)
+                        found.append((name, genuine, int(w.sum()), float(values.min()), float((values * w).sum()), float(values.max())))
+        columns = list(zip(*found)) if found else [[]] * 6
+        kinds = [pa.string(), pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        return pa.table({c: pa.array(list(v), k) for c, v, k in zip(("variant", "genuine", "n", "least", "total", "most"), columns, kinds)})
+
+    return multiply
+
+
+def _merged(parts: DataFrame, *by: str) -> DataFrame:
+    total = F.sum("n")
+    return parts.groupBy(*by).agg(total.alias("n"), F.round(F.min("least"), 6).alias("least"), F.round(F.sum("total") / total, 6).alias("mean"), F.round(F.max("most"), 6).alias("most"))
+
+
+def _blocks(df: DataFrame) -> int:
+    return max(1, -(-df.count() // BLOCK))
 
 
 def impostor_stats(photos: DataFrame, blocks: int | None = None, documents_only: bool = False) -> DataFrame:
-    """kind, n, least, total, most of the similarities of photos of different people; no pair is written.
+    """n, least, mean, most of the similarities of photos of different people; no pair is written.
 
     Vectors are dealt into blocks of BLOCK on average, unless a number of blocks is given; each pair of blocks is one task's matrix product, with pairs of
     one identity masked. documents_only: ordered pairs of a document face and another's photo.
     """
-    if blocks is None:
-        blocks = max(1, -(-photos.count() // BLOCK))
-    at = photos.withColumn("block", F.pmod(F.xxhash64("photo"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    sides = at.select("block", other.alias("other"), F.lit(0).alias("side"), "identity", "is_document", "embedding").unionByName(at.select(other.alias("block"), F.col("block").alias("other"), F.lit(1).alias("side"), "identity", "is_document", "embedding"))
-    if not documents_only:
-        sides = sides.filter("block <= other")
+    blocks = blocks or _blocks(photos)
+    p = photos.withColumn("variant", F.lit("raw")).withColumn("times", F.lit(1).cast("long"))
+    sides = _sides(p.filter("is_document") if documents_only else p, p, blocks, blocks, not documents_only)
+    return _merged(sides.groupBy("i", "j").applyInArrow(_statistics(not documents_only), PARTIAL).filter("not genuine"))
+
+
+def similarity_stats(photos: DataFrame, documents: DataFrame) -> DataFrame:
+    """kind (genuine, impostor), variant, n, least, mean, most of the similarities of all pairs.
+
+    raw: two photos; the other variants: a document's face against a photo, where a genuine pair counts
+    as document_pairs() says. photos: photo, identity, embedding; documents: identity, variant, embedding.
+    Photos without an identity or a face take no part. One blocked product for the photos, one for all
+    variants of the documents; tasks return statistics that merge.
+    """
+    whole = F.col("identity").isNotNull() & F.col("embedding").isNotNull()
+    ranked = ranked_photos(photos.filter(whole).select("identity", "photo", "embedding")).withColumn("variant", F.lit("raw"))
+    raw = ranked.withColumn("times", F.lit(1).cast("long"))
+    n = _blocks(raw)
+    faces = documents.filter(whole).select("identity", "variant", "embedding", F.lit(0).cast("long").alias("times"), F.col("identity").alias("photo"))
+    right = ranked.withColumnRenamed("rank", "times")
+    parts = _sides(raw, raw, n, n, True).groupBy("i", "j").applyInArrow(_statistics(True), PARTIAL)
+    more = _sides(faces, right.withColumn("photo", F.col("photo").cast(faces.schema["photo"].dataType)), _blocks(faces), n, False).groupBy("i", "j").applyInArrow(_statistics(False), PARTIAL)
+    kind = F.when(F.col("genuine"), "genuine").otherwise("impostor")
+    return _merged(parts.unionByName(more).withColumn("kind", kind), "kind", "variant")
+
+
+def separation(stats: DataFrame) -> DataFrame:
+    """variant, least_genuine, most_impostor, gap, apart of similarity_stats(); variants that lack a kind are not there."""
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    gap = F.round(F.col("least_genuine") - F.col("most_impostor"), 6)
+    out = stats.groupBy("variant").agg(of("genuine", "least").alias("least_genuine"), of("impostor", "most").alias("most_impostor")).withColumn("gap", gap)
+    return out.filter("gap is not null").withColumn("apart", F.col("gap") > 0)
+
+
+def near_identical(photos: DataFrame, least: float = 0.98, together: int | None = None) -> DataFrame:
+    """identity, a, b, similarity of the pairs of one identity above `least`.
+
+    Pairs of small identities are made by a join; those of large ones are products of blocks, of which only the pairs found are returned.
+    """
+    at = _in_blocks(photos.select("identity", "photo", "embedding"), together)
+    few = genuine_pairs(at.filter("blocks = 1"), 1 << 30).filter(F.col("similarity") > least)
+    large = at.filter("blocks > 1").withColumn("times", F.lit(1).cast("long"))
+    a = large.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).withColumn("side", F.lit(0))
+    b = large.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block")))).withColumn("side", F.lit(1))
+    kinds = {f.name: f.dataType.simpleString() for f in photos.schema}
+    cols = ["identity", "i", "j", "side", "photo", "embedding"]
 
     def multiply(key, table):
-        side = table.column("side").to_numpy()
+        side, photo = table.column("side").to_numpy(), table.column("photo").to_numpy()
         vectors = np.array(table.column("embedding").to_pylist(), np.float64).reshape(len(side), -1)
-        who, doc = table.column("identity").to_numpy(), table.column("is_document").to_numpy(zero_copy_only=False).astype(bool)
-        left, right = side == 0, side == 1
-        a, b, a_who, b_who, a_doc = vectors[left], vectors[right], who[left], who[right], doc[left]
-        same = not documents_only and key[0].as_py() == key[1].as_py()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         found = []
-        for at in range(0, len(a), SLICE):
-            on = a_who[at : at + SLICE, None] != b_who[None, :]
-            if documents_only:
-                on &= a_doc[at : at + SLICE, None]
-            if same:
-                on &= np.arange(len(b))[None, :] > np.arange(at, at + len(on))[:, None]
-            s = (a[at : at + SLICE] @ b.T)[on]
-            if len(s):
-                found.append((len(s), float(s.min()), float(s.sum()), float(s.max())))
-        n, least, total, most = zip(*found) if found else ((), (), (), ())
-        return pa.table({"n": pa.array(n, pa.int64()), "least": pa.array(least, pa.float64()), "total": pa.array(total, pa.float64()), "most": pa.array(most, pa.float64())})
-
-    parts = sides.groupBy("block", "other").applyInArrow(multiply, "n bigint, least double, total double, most double")
-    return parts.agg(F.sum("n").alias("n"), F.round(F.min("least"), 6).alias("least"), F.round(F.sum("total") / F.sum("n"), 6).alias("mean"), F.round(F.max("most"), 6).alias("most"))
+        for n in range(0, len(left), SLICE):
+            rows = left[n : n + SLICE]
+            s = vectors[rows] @ vectors[right].T
+            on = s > least
+            if key[1].as_py() == key[2].as_py():
+                on &= photo[rows, None] < photo[None, right]
+            x, y = np.nonzero(on)
+            found.append((photo[rows[x]], photo[right[y]], s[x, y]))
+        p, q, s = (np.concatenate(c) for c in zip(*found)) if found else (photo[:0], photo[:0], np.zeros(0))
+        low, high = np.minimum(p, q), np.maximum(p, q)
+        same = pa.array([key[0].as_py()] * len(p), table.schema.field("identity").type)
+        return pa.table({"identity": same, "a": pa.array(low, table.schema.field("photo").type), "b": pa.array(high, table.schema.field("photo").type), "similarity": pa.array(s, pa.float64())})
+
+    met = a.select(*cols).unionByName(b.select(*cols)).groupBy("identity", "i", "j").applyInArrow(multiply, PAIRS.format(**kinds))
+    return few.unionByName(met)
 
 
 def pair_counts(photos: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attesta.operators import audit, registry
+from attesta.operators import audit, faces, registry
 from attesta.plans import fixtures, flows
 from attesta.plans.fixtures import ANSWERS
 from attesta.plans.oracle_ctes import over
@@ -77,3 +77,44 @@ def _(spark, sf_dir):
         stream = spark.readStream.schema("ts timestamp_ntz, event_id long, account string, model string, span int").parquet(folder)
         jobs.start_counts_table(stream, out, check).awaitTermination()
     return jobs.counts_table(spark, out).select(F.col("day").cast("string").alias("day"), "account", "model", "spent")
+
+
+# Faces
+def faces_of(spark, sf_dir):
+    """Photos, every 97th also as a second file that is all but the same; and the first photo of an identity as its document shows it, clean and degraded (coarser components)."""
+    e = fixtures.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("photo"), F.col("label").cast("long").alias("identity"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    twin = e.filter("photo % 97 = 0").select((F.col("photo") + 1000000000).alias("photo"), "identity", F.transform("embedding", lambda x, i: F.when(i == 0, x * 0.5).otherwise(x)).alias("embedding"))
+    photos = e.unionByName(twin)
+    first = e.groupBy("identity").agg(F.min_by("embedding", "photo").alias("embedding"))
+    coarse = lambda n: F.transform("embedding", lambda x: F.floor(x * n) / n)
+    documents = first.select("identity", F.explode(F.create_map(F.lit("document"), coarse(64), F.lit("degraded"), coarse(8))).alias("variant", "embedding"))
+    return photos, documents
+
+
+_PHOTOS = """p AS (SELECT vec_id AS photo, label::BIGINT AS identity, embedding::DOUBLE[] AS e FROM embeddings UNION ALL SELECT vec_id + 1000000000, label, list_prepend(embedding[1]::DOUBLE * 0.5::DOUBLE, embedding[2:]::DOUBLE[]) FROM embeddings WHERE vec_id % 97 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY photo) - 1 AS rank FROM p),
+d AS (SELECT identity, variant, list_transform(e, lambda x: floor(x * n) / n) AS e FROM r, (VALUES ('document', 64), ('degraded', 8)) v(variant, n) WHERE rank = 0),
+s AS (SELECT 'raw' AS variant, a.identity = b.identity AS g, list_inner_product(a.e, b.e) AS s, 1 AS times FROM p a JOIN p b ON a.photo < b.photo
+  UNION ALL SELECT variant, d.identity = r.identity, list_inner_product(d.e, r.e), CASE WHEN d.identity = r.identity THEN rank ELSE 1 END FROM d, r),
+st AS (SELECT CASE WHEN g THEN 'genuine' ELSE 'impostor' END AS kind, variant, sum(times)::BIGINT AS n, round(min(s), 6) AS least, round(sum(s * times) / sum(times), 6) AS mean, round(max(s), 6) AS most FROM s WHERE times > 0 GROUP BY ALL)"""
+
+
+@entry("ag11_kinds_and_variants", f"WITH {_PHOTOS} SELECT * FROM st")
+def _(spark, sf_dir):
+    return faces.similarity_stats(*faces_of(spark, sf_dir))
+
+
+@entry("ag11_gaps", f"WITH {_PHOTOS} SELECT variant, max(least) FILTER (WHERE kind = 'genuine') AS least_genuine, max(most) FILTER (WHERE kind = 'impostor') AS most_impostor, round(least_genuine - most_impostor, 6) AS gap, gap > 0 AS apart FROM st GROUP BY 1")
+def _(spark, sf_dir):
+    return faces.separation(faces.similarity_stats(*faces_of(spark, sf_dir)))
+
+
+@entry("jn6_document_pairs", f"WITH {_PHOTOS} SELECT identity, photo AS b, rank AS times, round(list_inner_product(d.e, r.e), 6) AS similarity FROM d JOIN r USING (identity) WHERE variant = 'document' AND rank > 0")
+def _(spark, sf_dir):
+    photos, documents = faces_of(spark, sf_dir)
+    return faces.document_pairs(documents.filter("variant = 'document'"), photos).withColumn("similarity", F.round("similarity", 6))
+
+
+@entry("ag15_near_identical_files", f"WITH {_PHOTOS} SELECT a.identity, a.photo AS a, b.photo AS b FROM p a JOIN p b ON a.identity = b.identity AND a.photo < b.photo WHERE list_inner_product(a.e, b.e) > 0.97")
+def _(spark, sf_dir):
+    return faces.near_identical(faces_of(spark, sf_dir)[0], 0.97).select("identity", "a", "b")

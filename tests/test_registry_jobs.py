@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import collections
 import datetime as dt
+import itertools
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from attesta.operators import faces
 from attesta.streaming import jobs
 
 LOG = "ts timestamp_ntz, event_id long, account string, model string"
@@ -97,3 +101,50 @@ def test_intake_batch_that_runs_again_or_stops(spark, folder):
     assert jobs.recorded(spark, folder, "head").count() == 1
     jobs.intake_batch(rows(("b", "xy", day(2))), folder, 1, parts)
     assert jobs.recorded(spark, folder, "head").count() == 2 and jobs.recorded(spark, folder, "letters").count() == 4
+
+
+# Faces
+def photos_of(spark, sizes, dims=4, seed=1):
+    rng = np.random.default_rng(seed)
+    who = [k for k, n in enumerate(sizes) for _ in range(n)]
+    v = rng.normal(size=(len(who), dims))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    return spark.createDataFrame([(i, w, [float(x) for x in v[i]]) for i, w in enumerate(who)], "photo long, identity long, embedding array<double>").repartition(3), who, v
+
+
+@pytest.mark.parametrize("together", [20, 10_000])
+def test_a_large_identity_is_spread(spark, together):
+    photos, who, v = photos_of(spark, [300, 1, 2, 25])
+    got = faces.genuine_pairs(photos, together)
+    want = {(who[i], i, j): v[i] @ v[j] for i in range(len(who)) for j in range(i + 1, len(who)) if who[i] == who[j]}
+    rows = got.collect()
+    assert len(rows) == len(want) and all(r.similarity == pytest.approx(want[r.identity, r.a, r.b]) for r in rows)
+    if together == 20:
+        # 15 blocks make 120 groups of pairs: no partition has most of them
+        by = [r["count"] for r in got.hint("shuffle_hash").withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()]
+        assert len(by) > 1 and max(by) < 0.6 * len(rows)
+    near = {(r.identity, r.a, r.b) for r in faces.near_identical(photos, 0.9, together).collect()}
+    assert near == {k for k, s in want.items() if s > 0.9} and near
+
+
+def test_statistics_by_kind_and_variant(spark, monkeypatch):
+    monkeypatch.setattr(faces, "BLOCK", 30)
+    photos, who, v = photos_of(spark, [40, 3, 1, 17, 60])
+    first = {w: who.index(w) for w in set(who)}
+    shown = {name: {w: v[i] * f for w, i in first.items()} for name, f in (("document", 0.9), ("degraded", 0.5))}
+    documents = spark.createDataFrame([(w, name, [float(x) for x in e]) for name, by in shown.items() for w, e in by.items()] + [(None, "document", [1.0] * 4), (0, "document", None)], "identity long, variant string, embedding array<double>")
+    some = photos.unionByName(spark.createDataFrame([(900, None, [1.0] * 4), (901, 1, None)], photos.schema))
+    values = collections.defaultdict(list)
+    for i, j in itertools.combinations(range(len(who)), 2):
+        values["genuine" if who[i] == who[j] else "impostor", "raw"].append(v[i] @ v[j])
+        if who[i] == who[j]:
+            for name in shown:
+                values["genuine", name].append(shown[name][who[i]] @ v[j])
+    for name, by in shown.items():
+        for w, e in by.items():
+            values["impostor", name] += [e @ v[j] for j in range(len(who)) if who[j] != w]
+    got = {(r.kind, r.variant): r for r in faces.similarity_stats(some, documents).collect()}
+    assert got.keys() == values.keys()
+    for k, s in values.items():
+        assert got[k].n == len(s) and (got[k].least, got[k]["mean"], got[k].most) == pytest.approx((min(s), sum(s) / len(s), max(s)), abs=2e-6)
+    assert faces.similarity_stats(photos.limit(0), documents.limit(0)).count() == 0

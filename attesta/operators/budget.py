@@ -20,6 +20,20 @@ def spent(attempts: DataFrame, limit: int | None = None) -> DataFrame:
     return n.select("day", "account", "model", "spent", left.alias("remaining"), others.alias("by_others"))
 
 
+def spent_with_legacy(attempts: DataFrame, limit: int | None = None) -> DataFrame:
+    """spent() where attempts without an account were booked by model alone: they count for every account that asks, and for none of the others.
+
+    by_others leaves them out. Days and models that have nothing else keep a row without an account.
+    """
+    n = attempts.groupBy("day", "account", "model").agg(F.count("*").alias("n"))
+    slot = Window.partitionBy("day", "model")
+    old, named = F.col("account").isNull(), F.sum(F.when(F.col("account").isNotNull(), F.col("n")).otherwise(0)).over(slot)
+    df = n.withColumn("legacy", F.sum(F.when(old, F.col("n")).otherwise(0)).over(slot)).withColumn("named", named).filter(~old | (F.col("named") == 0))
+    total = F.when(old, F.col("n")).otherwise(F.col("n") + F.col("legacy"))
+    left = F.greatest(F.lit(0), F.lit(limit) - total) if limit is not None else F.lit(None).cast("long")
+    return df.select("day", "account", "model", total.alias("spent"), "legacy", left.alias("remaining"), F.when(~old, F.col("named") - F.col("n")).otherwise(0).alias("by_others"))
+
+
 def balances(attempts: DataFrame) -> DataFrame:
     """attempts (day, account, model, ts, event_id, delta) with the running balance, which a refund never takes below 0."""
     w = Window.partitionBy("day", "account", "model").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)

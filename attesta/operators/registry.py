@@ -27,6 +27,21 @@ def write_registry(tables: dict[str, DataFrame], path: str, mode: str = "append"
         (w.partitionBy("creado_dia") if "creado_dia" in df.columns else w).parquet(f"{path}/{name}")
 
 
+def store(tables: dict[str, DataFrame], name: str, path: str, buckets: int = 64) -> None:
+    """The three tables as name_<table>, bucketed and sorted by verification, a file for each bucket.
+
+    What meets by verification afterwards (audits, full records) needs no exchange of them.
+    """
+    for t, df in tables.items():
+        df.repartition(buckets, KEY).write.bucketBy(buckets, KEY).sortBy(KEY).option("path", f"{path}/{t}").mode("overwrite").saveAsTable(f"{name}_{t}")
+
+
+def stored(spark, name: str) -> dict[str, DataFrame]:
+    """The tables of store(). Joins by verification and signal use their buckets too, as rows of one verification lie in one bucket."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return {t: spark.table(f"{name}_{t}") for t in TABLES}
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in tables.items():
@@ -48,6 +63,23 @@ def summary(head: DataFrame) -> DataFrame:
     return head.agg(F.count("*").alias("total"), F.count_if(~decided).alias("escalated_without_judgement"), F.count_if(F.col("citations_total") > 0).alias("with_explanation"), F.count_if(decided & F.col("faithful")).alias("faithful"), F.count_if(decided & F.col("complete")).alias("complete"))
 
 
+def summary_sets(head: DataFrame) -> DataFrame:
+    """level (total, decision, outcome, day), value, and the counts of summary() for each, from one scan by grouping sets.
+
+    Each level but a day's adds up to the total. Where there was no decision, the value is null.
+    """
+    decided, keys = F.col("outcome") == "decided", ("decision", "outcome", "creado_dia")
+    sets = head.groupingSets([[k] for k in keys] + [[]], *keys)
+    n = sets.agg(
+        F.grouping_id().alias("_g"), F.count("*").alias("total"), F.count_if(~decided).alias("escalated_without_judgement"), F.count_if(decided).alias("with_explanation"),
+        F.count_if(decided & F.col("faithful")).alias("faithful"), F.count_if(decided & F.col("complete")).alias("complete"),
+    )
+    # the bits of grouping_id() are 0 for the keys of a set
+    level = F.when(F.col("_g") == 3, "decision").when(F.col("_g") == 5, "outcome").when(F.col("_g") == 6, "day").otherwise("total")
+    value = F.coalesce("decision", "outcome", F.col("creado_dia").cast("string"))
+    return n.select(level.alias("level"), value.alias("value"), "total", "escalated_without_judgement", "with_explanation", "faithful", "complete")
+
+
 def counts_by(head: DataFrame, column: str) -> DataFrame:
     return head.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 

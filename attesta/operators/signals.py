@@ -117,14 +117,17 @@ def adverse() -> Column:
     return F.col("disponible") & ((i.startswith("cross.") & (v == "mismatch")) | (i.isin("mrz.checks_ok", "mrz.readable", "document.dates_coherent") & (v == "false")) | ((i == "document.expired") & (v == "true")))
 
 
-def diagnosis(df: DataFrame, limits, key: str = KEY) -> DataFrame:
-    """key, problem, value: what is wrong with a capture, by the thresholds of the rules."""
+def diagnosis(df: DataFrame, limits, key: str = KEY, similarity: str | None = None) -> DataFrame:
+    """key, problem, value: what is wrong with a capture, by the thresholds of the rules. similarity: as for build_signals(); a selfie that gave none is a problem."""
     row = lambda when, name, value: F.when(when, F.struct(F.lit(name).alias("problem"), value.cast("string").alias("value")))
     missing = F.size(missing_fields())
     items = [
         row(F.round("front_sharpness") < limits.min_sharpness, "front_blurred", F.round("front_sharpness").cast("long")), row(F.round("back_sharpness") < limits.min_sharpness, "back_blurred", F.round("back_sharpness").cast("long")),
         row(F.round("front_glare", 3) > limits.max_glare, "glare", F.round("front_glare", 3)), row(missing > limits.max_missing, "fields_missing", missing), row(F.col("mrz_checks_ok").isNull(), "mrz_unreadable", F.col("mrz_error")),
     ]
+    if similarity:
+        reason = F.col(f"{similarity}_reason")
+        items.append(row(F.col(similarity).isNull() & reason.isNotNull(), "no_facial_comparison", reason))
     return df.select(key, F.inline(F.array_compact(F.array(*items))))
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attesta.operators import audit, faces, registry
+from attesta.constants import Thresholds
+from attesta.operators import audit, budget, constraints, evaluation, faces, registry, signals
 from attesta.plans import fixtures, flows
 from attesta.plans.fixtures import ANSWERS
 from attesta.plans.oracle_ctes import over
-from attesta.plans.queries_measures import _ATTEMPTS, attempts
+from attesta.plans.queries_measures import _ATTEMPTS, _FIELDS, _SCORED, attempts, readings, scored_fields
+from attesta.sources import captures
 from attesta.sources.tables import scratch
 from attesta.streaming import jobs
 
@@ -118,3 +120,207 @@ def _(spark, sf_dir):
 @entry("ag15_near_identical_files", f"WITH {_PHOTOS} SELECT a.identity, a.photo AS a, b.photo AS b FROM p a JOIN p b ON a.identity = b.identity AND a.photo < b.photo WHERE list_inner_product(a.e, b.e) > 0.97")
 def _(spark, sf_dir):
     return faces.near_identical(faces_of(spark, sf_dir)[0], 0.97).select("identity", "a", "b")
+
+
+# The registry stored by verification
+def registry_of(spark, sf_dir):
+    """The registry of model m1 as stored tables, written once a session for each input."""
+    r = flows.runs(spark, sf_dir).filter("model = 'm1'")
+    days = fixtures.applications(spark, sf_dir).select(KEY, F.col("issue_date").cast("timestamp").alias("creado_en"))
+    a, u = flows.audited(spark, sf_dir, r), flows.unsaid(spark, sf_dir, r)
+    return registry.registry_tables(audit.fidelity(r.select(KEY, "outcome", "decision"), a, u).join(days, KEY), flows.signal_rows(spark, sf_dir), a, u)
+
+
+def stored_registry(spark, sf_dir):
+    path = scratch(spark, "stored")
+    name = "attesta_" + path.split("/")[-2].split("-")[1]
+    registry.store(registry_of(spark, sf_dir), name, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return registry.stored(spark, name)
+
+
+@entry("jn2_stored_audit", over("SELECT verification_id, orden, signal_id, cited_value, actual_value, status FROM audited WHERE model = 'm1'", ANSWERS))
+def _(spark, sf_dir):
+    """Every recorded grounding audited again, from the stored tables alone."""
+    t = stored_registry(spark, sf_dir)
+    g = t["verificacion_fundamentos"].select(KEY, "orden", "signal_id", "cited_value")
+    return audit.audit_citations(g, t["verificacion_senales"]).select(KEY, "orden", "signal_id", "cited_value", "actual_value", "status")
+
+
+@entry("jn4_stored_records", over("SELECT r.verification_id, r.outcome, s.n AS n_signals, s.ids AS signals, g.ids AS statuses FROM runs r JOIN (SELECT verification_id, count(*) AS n, string_agg(signal_id, ',' ORDER BY signal_id) AS ids FROM signals GROUP BY 1) s USING (verification_id) LEFT JOIN (SELECT verification_id, string_agg(status, ',' ORDER BY orden) AS ids FROM audited WHERE model = 'm1' GROUP BY 1) g USING (verification_id) WHERE r.model = 'm1'", ANSWERS))
+def _(spark, sf_dir):
+    f = registry.full_records(stored_registry(spark, sf_dir))
+    return f.select(KEY, "outcome", F.size("senales").cast("long").alias("n_signals"), F.array_join(F.transform("senales", lambda s: s["signal_id"]), ",").alias("signals"), F.array_join(F.transform("fundamentos", lambda g: g["status"]), ",").alias("statuses"))
+
+
+_COUNTS = "count(*) AS total, count(*) FILTER (WHERE outcome <> 'decided') AS escalated_without_judgement, count(*) FILTER (WHERE outcome = 'decided') AS with_explanation, count(*) FILTER (WHERE outcome = 'decided' AND faithful) AS faithful, count(*) FILTER (WHERE outcome = 'decided' AND complete) AS complete"
+_HEAD = "h AS (SELECT r.*, issue_date AS day FROM runs r JOIN apps USING (verification_id) WHERE model = 'm1')"
+
+
+@entry("ag2_tk2_summary_sets", over(f"SELECT 'total' AS level, NULL AS value, {_COUNTS} FROM h UNION ALL SELECT 'decision', decision, {_COUNTS} FROM h GROUP BY decision UNION ALL SELECT 'outcome', outcome, {_COUNTS} FROM h GROUP BY outcome UNION ALL SELECT 'day', day::VARCHAR, {_COUNTS} FROM h GROUP BY day", ANSWERS, _HEAD))
+def _(spark, sf_dir):
+    return registry.summary_sets(registry_of(spark, sf_dir)["verificaciones"])
+
+
+# Constraints
+def planted(spark, sf_dir):
+    """Signals, groundings and cases with what a suite has to find."""
+    s, w = flows.signal_rows(spark, sf_dir), flows.wide(spark, sf_dir)
+    text = lambda v: F.lit(v).cast("string")
+    more = lambda on, i, kind, v, why, has: w.filter(on).select(KEY, F.lit(i).alias("signal_id"), F.lit(kind).alias("tipo"), text(v).alias("valor"), F.lit(has).alias("disponible"), text(why).alias("motivo_indisponible"))
+    s = s.unionByName(more("ok % 50 = 3", "ocr.fields_missing", "count", "0", None, True)).unionByName(more("ok % 40 = 7", "x.both", "text", "v", "m", True)).unionByName(more("ok % 45 = 8", "x.none", "odd", None, None, False)).unionByName(more("ok % 60 = 1", "x.absent", "flag", None, "m", True))
+    g = flows.grounding_rows(flows.runs(spark, sf_dir).filter("model = 'm1'")).select(KEY, "ok", "orden")
+    g = g.unionByName(g.filter("orden = 0 and ok % 60 = 9")).unionByName(g.filter("orden = 0 and ok % 90 = 2").withColumn("orden", F.lit(-1)))
+    words = F.when(F.col("ok") % 30 == 4, 5).when(F.col("ok") % 30 == 5, 12).otherwise(20)
+    expected = F.when((F.col("k") == 5) & (F.col("ok") % 80 == 5), "reject").otherwise(F.col("expected_decision"))
+    c = w.select(F.col(KEY).alias("id"), "ok", "detectable", F.col("k").isin(2, 6).alias("ambiguous"), expected.alias("expected_decision"), F.lit("palabra ").alias("one"), words.alias("n"))
+    c = c.withColumn("reason", F.expr("repeat(one, n)")).drop("one", "n")
+    return s, g, c.unionByName(c.filter("ok % 70 = 11"))
+
+
+_PLANTED = """s2 AS (SELECT verification_id, signal_id, tipo, valor, disponible, motivo_indisponible FROM signals UNION ALL SELECT verification_id, 'ocr.fields_missing', 'count', '0', true, NULL FROM apps WHERE ok % 50 = 3
+  UNION ALL SELECT verification_id, 'x.both', 'text', 'v', true, 'm' FROM apps WHERE ok % 40 = 7 UNION ALL SELECT verification_id, 'x.none', 'odd', NULL, false, NULL FROM apps WHERE ok % 45 = 8 UNION ALL SELECT verification_id, 'x.absent', 'flag', NULL, true, 'm' FROM apps WHERE ok % 60 = 1),
+g1 AS (SELECT verification_id, ok, orden FROM cites WHERE model = 'm1'), g2 AS (SELECT * FROM g1 UNION ALL SELECT * FROM g1 WHERE orden = 0 AND ok % 60 = 9 UNION ALL SELECT verification_id, ok, -1 FROM g1 WHERE orden = 0 AND ok % 90 = 2),
+c1 AS (SELECT verification_id AS id, ok, k <> 5 AS detectable, k IN (2, 6) AS ambiguous, CASE WHEN k = 5 AND ok % 80 = 5 THEN 'reject' ELSE expected END AS expected, 8 * CASE ok % 30 WHEN 4 THEN 5 WHEN 5 THEN 12 ELSE 20 END AS size FROM base), c2 AS (SELECT * FROM c1 UNION ALL SELECT * FROM c1 WHERE ok % 70 = 11),
+bad AS (
+  SELECT 'signals' AS "table", r AS rule, verification_id || '/' || signal_id AS key, 1 AS times FROM (SELECT *, unnest(['value_and_reason', 'neither_value_nor_reason', 'available_without_value', 'unknown_kind']) AS r, unnest([valor IS NOT NULL AND motivo_indisponible IS NOT NULL, valor IS NULL AND motivo_indisponible IS NULL, disponible <> (valor IS NOT NULL), tipo NOT IN ('score', 'confidence', 'count', 'text', 'flag')]) AS b FROM s2) WHERE b
+  UNION ALL SELECT 'signals', 'one_signal', verification_id || '/' || signal_id, count(*) FROM s2 GROUP BY verification_id, signal_id HAVING count(*) > 1
+  UNION ALL SELECT 'groundings', 'negative_place', verification_id || '/' || orden, 1 FROM g2 WHERE orden < 0
+  UNION ALL SELECT 'groundings', 'one_place', verification_id || '/' || orden, count(*) FROM g2 GROUP BY verification_id, orden HAVING count(*) > 1
+  UNION ALL SELECT 'cases', r, id, 1 FROM (SELECT *, unnest(['undetectable_not_approved', 'reason_too_short', 'disputed_reason_too_short']) AS r, unnest([NOT detectable AND expected <> 'approve', size < 55, (ambiguous OR NOT detectable) AND size <= 150]) AS b FROM c2) WHERE b
+  UNION ALL SELECT 'cases', 'one_case', id, count(*) FROM c2 GROUP BY id HAVING count(*) > 1)"""
+
+
+def constraint_suite(spark, sf_dir):
+    s, g, c = planted(spark, sf_dir)
+    return constraints.suite(spark, {"signals": (s, (KEY, "signal_id"), constraints.signal_rules()), "groundings": (g, (KEY, "orden"), constraints.grounding_rules()), "cases": (c, ("id",), constraints.case_rules())})
+
+
+@entry("dq1_dq2_pr2_rule_counts", over("SELECT n.\"table\", n.rule, rows, count(bad.key) AS violations FROM (SELECT 'signals' AS \"table\", unnest(['value_and_reason', 'neither_value_nor_reason', 'available_without_value', 'unknown_kind', 'one_signal']) AS rule, (SELECT count(*) FROM s2) AS rows UNION ALL SELECT 'groundings', unnest(['negative_place', 'one_place']), (SELECT count(*) FROM g2) UNION ALL SELECT 'cases', unnest(['undetectable_not_approved', 'reason_too_short', 'disputed_reason_too_short', 'one_case']), (SELECT count(*) FROM c2)) n LEFT JOIN bad ON bad.\"table\" = n.\"table\" AND bad.rule = n.rule GROUP BY ALL", ANSWERS, _PLANTED))
+def _(spark, sf_dir):
+    return constraint_suite(spark, sf_dir)[0]
+
+
+@entry("dq1_dq2_pr2_violations", over("SELECT * FROM bad", ANSWERS, _PLANTED))
+def _(spark, sf_dir):
+    return constraint_suite(spark, sf_dir)[1]
+
+
+@entry("pr6_facial_diagnosis", over("SELECT verification_id, problem, value FROM (SELECT verification_id, unnest([{'problem': CASE WHEN round(front_sharpness) < 300 THEN 'front_blurred' END, 'value': round(front_sharpness)::BIGINT::VARCHAR}, {'problem': CASE WHEN round(front_glare, 3) > 0.8 THEN 'glare' END, 'value': round(front_glare, 3)::VARCHAR}, {'problem': CASE WHEN k = 8 THEN 'fields_missing' END, 'value': '1'}, {'problem': CASE WHEN NOT readable THEN 'mrz_unreadable' END, 'value': 'unreadable'}, {'problem': CASE WHEN ok % 11 = 0 THEN 'no_facial_comparison' END, 'value': 'no_face'}], recursive := true) FROM read) WHERE problem IS NOT NULL"))
+def _(spark, sf_dir):
+    """Selfies of one application in eleven show no face, those of another were not sent."""
+    none = F.col("ok") % 11 == 0
+    w = flows.wide(spark, sf_dir).withColumn("facial", F.when(F.col("ok") % 11 > 1, 0.7)).withColumn("facial_reason", F.when(none, "no_face"))
+    return signals.diagnosis(w, Thresholds(), similarity="facial")
+
+
+# Evaluation
+def judged_rules(spark, sf_dir):
+    """Every case as the rules decide it, with its own citations audited."""
+    b = flows.baseline(spark, sf_dir).select(KEY, "split", F.col("expected_decision").alias("expected"), "decision", "rule", "groundings")
+    g = b.select(KEY, F.posexplode("groundings").alias("orden", "g")).select(KEY, "orden", "g.signal_id", "g.cited_value")
+    bad = audit.audit_citations(g, flows.signal_rows(spark, sf_dir)).filter("status <> 'valid'").select(KEY).distinct().withColumn("false", F.lit(True))
+    return b.drop("groundings").join(bad, KEY, "left").withColumn("faithful", F.col("false").isNull()).drop("false")
+
+
+@entry("ag4_rules_measured", over("SELECT split, coalesce(expected, 'TOTAL') AS expected, count(*) AS cases, count(*) FILTER (WHERE decision = expected0) AS hits, count(*) AS faithful FROM (SELECT *, expected AS expected0 FROM base) GROUP BY GROUPING SETS ((split, expected), (split))"))
+def _(spark, sf_dir):
+    return evaluation.rules_measured(judged_rules(spark, sf_dir))
+
+
+@entry("ag4_rule_failures", over("SELECT verification_id, split, expected, decision AS got, rule FROM base WHERE decision <> expected"))
+def _(spark, sf_dir):
+    return evaluation.rule_failures(judged_rules(spark, sf_dir))
+
+
+@entry("ag6_model_hits", over("SELECT model, count(*) FILTER (WHERE outcome <> 'unavailable') AS answered, count(*) FILTER (WHERE decision = expected) AS hits, count(*) FILTER (WHERE outcome IN ('malformed', 'contract_violation')) AS broke_contract FROM runs GROUP BY 1", ANSWERS))
+def _(spark, sf_dir):
+    return evaluation.model_hits(flows.audited_runs(spark, sf_dir))
+
+
+@entry("ag6_differing_cases", over("SELECT verification_id, count(*) AS models, count(DISTINCT shown) AS answers FROM (SELECT *, coalesce(decision, 'broke') AS shown FROM runs WHERE outcome <> 'unavailable') GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT shown) > 1", ANSWERS))
+def _(spark, sf_dir):
+    return evaluation.differing_cases(flows.runs(spark, sf_dir))
+
+
+def facial_runs(spark, sf_dir):
+    """A case for each photo: the document of its identity, or, for one in four, of the next identity. Two readings of a photo, of which some show no face; two models answer."""
+    e = fixtures.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("v"), F.col("label").cast("long").alias("identity"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    docs = e.groupBy("identity").agg(F.min_by("e", "v").alias("d"), F.min("v").alias("first"))
+    own = e.join(docs.select("identity", "first"), "identity").filter("v <> first").withColumn("fraud", F.col("v") % 4 == 1)
+    own = own.withColumn("holder", F.when(F.col("fraud"), F.col("identity") + 1).otherwise(F.col("identity")))
+    met = own.join(docs.select(F.col("identity").alias("holder"), "d"), "holder").withColumn("case_id", F.concat(F.lit("face-"), "v"))
+    cases = met.select("case_id", F.when(F.col("fraud"), "impersonation").otherwise("legit").alias("kind"), F.when(F.col("fraud"), "reject").otherwise("approve").alias("expected"), F.lit("approve").alias("rule_decision"))
+    s = F.round(faces.dot(F.col("d"), F.col("e")), 4)
+    none = F.col("v") % 10 == 0
+    small = met.select("case_id", F.lit(120).alias("side"), F.when(F.col("v") % 3 != 0, F.round(s - 0.1, 4)).alias("similarity"), F.when(F.col("v") % 3 == 0, "no_face").alias("reason"))
+    taken = small.unionByName(met.select("case_id", F.lit(200).alias("side"), F.when(~none, s).alias("similarity"), F.when(none, "comparable_faces").alias("reason")))
+    h = (F.col("v") * 31 + F.col("m") * 17) % 20
+    runs = met.withColumn("m", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("h", h)
+    outcome = F.when(F.col("h") == 0, "unavailable").when(F.col("h").isin(1, 2), "malformed").otherwise("decided")
+    said = F.when(F.col("h") == 3, "escalate_to_human").when(F.col("h") == 4, "approve").when(F.col("fraud"), "reject").otherwise("approve")
+    runs = runs.select("case_id", F.concat(F.lit("m"), "m").alias("model"), outcome.alias("outcome"), F.when(outcome == "decided", said).alias("decision"), ((outcome == "decided") & (F.col("h") != 5)).alias("faithful"))
+    return evaluation.facial_cases_judged(cases, taken, runs)
+
+
+_FACIAL = """doc AS (SELECT label, min_by(embedding, vec_id)::DOUBLE[] AS d, min(vec_id) AS first FROM embeddings GROUP BY 1),
+met AS (SELECT vec_id AS v, vec_id % 4 = 1 AS fraud, round(list_inner_product(h.d, embedding::DOUBLE[]), 4) AS s FROM embeddings e JOIN doc o ON o.label = e.label AND vec_id <> o.first JOIN doc h ON h.label = e.label + (vec_id % 4 = 1)::INT),
+j AS (SELECT 'm' || m AS model, 'face-' || v AS case_id, CASE WHEN fraud THEN 'impersonation' ELSE 'legit' END AS kind, CASE WHEN fraud THEN 'reject' ELSE 'approve' END AS expected,
+    CASE WHEN h = 0 THEN NULL WHEN h IN (1, 2, 3) THEN 'escalate_to_human' WHEN h = 4 THEN 'approve' WHEN fraud THEN 'reject' ELSE 'approve' END AS got,
+    CASE WHEN v % 10 <> 0 THEN s WHEN v % 3 <> 0 THEN round(s - 0.1::DOUBLE, 4) END AS similarity, CASE WHEN v % 10 = 0 AND v % 3 = 0 THEN 'comparable_faces' END AS reason, h <> 0 AS answered, h > 2 AND h <> 5 AS faithful, NOT fraud AS rule_hit, h
+  FROM (SELECT *, ((v * 31 + m * 17) % 20)::INT AS h FROM met, (SELECT unnest([1, 2]) AS m)))"""
+
+
+@entry("ag7_facial_judged", f"WITH {_FACIAL} SELECT model, case_id, kind, expected, got, similarity, reason, answered, coalesce(got = expected, false) AS hit, coalesce(got = expected AND h > 2, false) AS strict_hit, faithful, rule_hit FROM j")
+def _(spark, sf_dir):
+    return facial_runs(spark, sf_dir)
+
+
+@entry("ag7_facial_totals", f"WITH {_FACIAL} SELECT model, count(*) FILTER (WHERE kind = 'legit') AS legit, count(*) FILTER (WHERE kind = 'impersonation') AS impersonation, count(*) FILTER (WHERE answered) AS answered, count(*) FILTER (WHERE got = expected) AS hits, count(*) FILTER (WHERE got = expected AND h > 2) AS strict_hits, count(*) FILTER (WHERE faithful) AS faithful, count(*) FILTER (WHERE rule_hit) AS rule_hits, count(*) FILTER (WHERE similarity IS NULL) AS without_similarity FROM j GROUP BY 1")
+def _(spark, sf_dir):
+    return evaluation.facial_totals(facial_runs(spark, sf_dir))
+
+
+@entry("ag9_condition_by_field", over("SELECT CASE WHEN grouping(condition) = 1 THEN 'TOTAL' ELSE condition END AS condition, CASE WHEN grouping(field) = 1 THEN 'TOTAL' ELSE field END AS field, count(*) AS readings, count(*) FILTER (WHERE found) AS found, count(*) FILTER (WHERE correct) AS correct FROM (SELECT *, (substr(capture_id, 6)::BIGINT % 9)::VARCHAR AS condition FROM scored) GROUP BY CUBE (condition, field)", _FIELDS, _SCORED))
+def _(spark, sf_dir):
+    s = scored_fields(spark, sf_dir).withColumn("condition", (F.substring("capture_id", 6, 20).cast("long") % 9).cast("string"))
+    return evaluation.fields_by_condition(s)
+
+
+@entry("tk3_silent_failures", over("SELECT condition, place, verification_id FROM (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY verification_id) AS place FROM (SELECT verification_id, (ok % 9)::VARCHAR AS condition FROM read WHERE checks_ok AND ok % 7 = 0)) WHERE place <= 12"))
+def _(spark, sf_dir):
+    return evaluation.silent_failures(readings(spark, sf_dir))
+
+
+# Budgets
+@entry("ag16_spent_with_legacy", f"WITH {_ATTEMPTS.replace('event_type', 'user_id % 7 = 0 AS old, event_type')}, n AS (SELECT day, CASE WHEN NOT old THEN account END AS account, model, count(*) AS n FROM a WHERE NOT refund GROUP BY ALL), t AS (SELECT *, coalesce(sum(n) FILTER (WHERE account IS NULL) OVER (PARTITION BY day, model), 0)::BIGINT AS legacy, coalesce(sum(n) FILTER (WHERE account IS NOT NULL) OVER (PARTITION BY day, model), 0)::BIGINT AS named FROM n) SELECT day, account, model, CASE WHEN account IS NULL THEN n ELSE n + legacy END AS spent, legacy, greatest(0, 20 - spent) AS remaining, CASE WHEN account IS NULL THEN 0 ELSE named - n END AS by_others FROM t WHERE account IS NOT NULL OR named = 0")
+def _(spark, sf_dir):
+    """A seventh of the attempts was booked before accounts were told apart."""
+    users = fixtures.table(spark, sf_dir, "events").filter("user_id % 7 = 0").select("event_id")
+    a = attempts(spark, sf_dir).filter("kind = 'record'").join(users.withColumn("old", F.lit(True)), "event_id", "left")
+    return budget.spent_with_legacy(a.withColumn("account", F.when(F.col("old").isNull(), F.col("account"))), 20).withColumn("day", F.col("day").cast("string"))
+
+
+# Files
+def capture_folder(spark, sf_dir):
+    """A file for each supplier, in a folder of its own."""
+    s = fixtures.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("capture"), F.expr("repeat(s_name, cast(1 + s_suppkey % 9 as int))").alias("value"))
+    path = scratch(spark, "captures")
+    s.repartition("capture").write.partitionBy("capture").text(path)
+    return path
+
+
+@entry("io1_capture_files", "SELECT s_suppkey AS capture, length(v) + 1 AS length, CASE WHEN length(v) + 1 <= 100 THEN sha256(v || chr(10)) END AS sha256, CASE WHEN length(v) + 1 > 100 THEN 'too_large' END AS reject_reason FROM (SELECT s_suppkey, repeat(s_name, (1 + s_suppkey % 9)::INT) AS v FROM supplier)")
+def _(spark, sf_dir):
+    h = captures.capture_hashes(spark, capture_folder(spark, sf_dir), most=100)
+    return h.select(F.col("capture").cast("long").alias("capture"), "length", "sha256", "reject_reason")
+
+
+@entry("io3_responses_by_key", "SELECT sha256('supplier-' || s_suppkey) AS key, 'answer of ' || s_name AS response FROM supplier WHERE s_suppkey % 4 > 1 AND s_suppkey % 3 = 0")
+def _(spark, sf_dir):
+    """A JSON file for each supplier; of one in four it is torn, of another it has no response. A third of the keys are asked for."""
+    s = fixtures.table(spark, sf_dir, "supplier").withColumn("key", F.sha2(F.concat(F.lit("supplier-"), "s_suppkey"), 256))
+    whole = F.to_json(F.struct(F.lit("2024-01-01").alias("cached_at"), F.lit("m1").alias("model"), F.lit("{}").alias("request"), F.when(F.col("s_suppkey") % 4 != 1, F.concat(F.lit("answer of "), "s_name")).alias("response")))
+    path = scratch(spark, "responses")
+    files = s.select(F.substring("key", 1, 2).alias("prefix"), "key", F.when(F.col("s_suppkey") % 4 == 0, F.substring(whole, 1, 40)).otherwise(whole).alias("value"))
+    files.repartition("key").write.partitionBy("prefix", "key").text(path)
+    return captures.responses_for(spark, path, s.filter("s_suppkey % 3 = 0")).select("key", "response")

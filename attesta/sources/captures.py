@@ -14,6 +14,19 @@ def capture_files(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def capture_hashes(spark, path: str, most: int = MAX_BYTES) -> DataFrame:
+    """path, length, sha256, reject_reason of every file below path, with the columns of its partition folders.
+
+    Lengths come from the listing: the bytes of files that are too large are never read, and a file without bytes has no digest.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
+    own = [c for c in found.columns if c not in ("path", "modificationTime", "length", "content")]
+    fine = found.filter((F.col("length") > 0) & (F.col("length") <= most)).select("path", "length", F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("reject_reason"), *own)
+    reason = F.when(F.col("length") > most, "too_large").otherwise("empty")
+    other = found.filter((F.col("length") <= 0) | (F.col("length") > most)).select("path", "length", F.lit(None).cast("string").alias("sha256"), reason.alias("reject_reason"), *own)
+    return fine.unionByName(other)
+
+
 def admission(captures: DataFrame) -> DataFrame:
     """captures (length, width, height, optional) with reject_reason; an absent or empty optional capture is null, not an error."""
     empty = F.coalesce(F.col("length") == 0, F.lit(True))
@@ -24,12 +37,23 @@ def admission(captures: DataFrame) -> DataFrame:
 RESPONSE = "cached_at string, model string, request string, response string, _corrupt string"
 
 
-def stored_responses(spark, path: str) -> DataFrame:
+def stored_responses(spark, path: str, schema: str = RESPONSE) -> DataFrame:
     """One JSON object a file; a corrupt file, or one without a response, is not there."""
-    df = spark.read.schema(RESPONSE).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    df = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     return df.filter("response is not null and _corrupt is null").drop("_corrupt")
 
 
+def responses_for(spark, path: str, keys: DataFrame, key: str = "key") -> DataFrame:
+    """The stored responses of the wanted keys, with their key. Files lie in folders prefix=<first two digits of the key>/key=<key>.
+
+    Only the folders of prefixes that are wanted are listed into the scan (a few hundred at most); the key itself meets by a semi-join.
+    """
+    wanted = keys.select(F.col(key).cast("string").alias("key")).distinct()
+    prefixes = [r[0] for r in wanted.select(F.substring("key", 1, 2)).distinct().collect()]
+    found = stored_responses(spark, path, f"{RESPONSE}, prefix string, key string")
+    return found.filter(F.col("prefix").isin(prefixes)).join(wanted, "key", "left_semi")
+
+
 def budget_journal(texts: DataFrame, column: str = "value") -> DataFrame:
     """day, slot, spent of journals (JSON day -> slot -> count); a corrupt one is empty."""
     parsed = texts.select(F.from_json(column, "map<string,map<string,int>>").alias("j"))

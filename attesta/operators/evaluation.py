@@ -103,11 +103,6 @@ def disagreements(runs: DataFrame, most: int = 200) -> DataFrame:
     return runs.filter(wrong).select("verification_id", "model", "expected", F.col("decision").alias("got"), F.substring(F.concat(F.lit("got "), "decision", F.lit(" for "), "expected"), 1, most).alias("said"))
 
 
-def lost_cases(runs: DataFrame) -> DataFrame:
-    """model, ids: cases that a model did not answer, in order."""
-    return runs.filter("outcome = 'unavailable'").groupBy("model").agg(F.array_sort(F.collect_list("verification_id")).alias("ids"))
-
-
 def lost_runs(runs: DataFrame) -> DataFrame:
     """model, verification_id: a row for each case that a model did not answer."""
     return runs.filter("outcome = 'unavailable'").select("model", "verification_id")

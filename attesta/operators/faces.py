@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.constants import REASONS
 from attesta.sources.tables import scratch
 
 
@@ -216,7 +217,7 @@ def similarity_of(documents: DataFrame, selfies: DataFrame, key: str = "verifica
     """key, similarity (4 digits) or the side that has no face; no row without a selfie. Both: key, embedding, reason."""
     d = documents.select(key, F.col("embedding").alias("ed"), F.col("reason").alias("rd"))
     df = selfies.select(key, F.col("embedding").alias("es"), F.col("reason").alias("rs")).join(d, key, "left")
-    reason = F.when(F.col("ed").isNull(), F.concat(F.lit("en el anverso del documento, "), F.coalesce("rd", F.lit("no se detecto ninguna cara")))).when(F.col("es").isNull(), F.concat(F.lit("en la selfie, "), F.coalesce("rs", F.lit("no se detecto ninguna cara"))))
+    reason = F.when(F.col("ed").isNull(), F.concat(F.lit(REASONS["face_document"]), F.coalesce("rd", F.lit(REASONS["face"])))).when(F.col("es").isNull(), F.concat(F.lit(REASONS["face_selfie"]), F.coalesce("rs", F.lit(REASONS["face"]))))
     return df.select(key, F.round(dot(F.col("ed"), F.col("es")), 4).alias("similarity"), reason.alias("reason"))
 
 
@@ -232,6 +233,13 @@ def same_files(files: DataFrame) -> DataFrame:
     return files.groupBy(F.sha2(F.col("content"), 256).alias("sha256")).agg(F.array_sort(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
 
 
+def same_file_rows(files: DataFrame) -> DataFrame:
+    """sha256, id, copies: a row for each file whose content is there more than once; a content of any number of copies stays in rows."""
+    digests = files.select("id", F.sha2(F.col("content"), 256).alias("sha256"))
+    many = digests.groupBy("sha256").agg(F.count("*").alias("copies")).filter("copies > 1")
+    return digests.join(many, "sha256").select("sha256", "id", "copies")
+
+
 def facial_cases(photos: DataFrame, impostors: int = 3) -> DataFrame:
     """holder, identity, kind: the first identity with two photos holds the document; others by name try to pass as it."""
     many = photos.groupBy("identity").agg(F.count("*").alias("n"), F.min("photo").alias("first"), F.max("photo").alias("last"))

@@ -9,6 +9,8 @@ from attesta.constants import CROSS_FIELDS, UNAVAILABLE, Thresholds
 
 KEY = "verification_id"
 
+GRID = 10_000
+
 RULE_SIGNALS = ("mrz.readable", "quality.front_sharpness", "quality.front_glare", "ocr.fields_missing", "mrz.checks_ok", "document.expired", *[f"cross.{c}" for c in CROSS_FIELDS])
 DECISION_OF = {"mrz.readable": "request_resubmission", "quality.front_sharpness": "request_resubmission", "quality.front_glare": "request_resubmission", "ocr.fields_missing": "request_resubmission", "mrz.checks_ok": "reject", "cross": "reject", "document.expired": "reject", "approve": "approve"}
 
@@ -53,6 +55,8 @@ def decided(wide: DataFrame, limits: Thresholds | None = None) -> DataFrame:
 
 
 def grid(wide: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Rule by rule over a grid (min_sharpness, max_glare, max_missing): the grid is a parameter table of a few rows."""
+    """Rule by rule over a grid (min_sharpness, max_glare, max_missing): every row meets every point. A grid of up to GRID points is broadcast, a larger one is refused."""
+    if thresholds.limit(GRID + 1).count() > GRID:
+        raise ValueError(f"a grid has at most {GRID} points")
     both = wide.withColumn("disagreements", _disagreements()).crossJoin(F.broadcast(thresholds))
     return both.withColumn("rule", _rule(Thresholds(), at=lambda name, value: F.col(name)))

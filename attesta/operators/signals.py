@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.constants import COVERED_FIELDS, CROSS_FIELDS, FRONT_FIELDS
+from attesta.constants import COVERED_FIELDS, CROSS_FIELDS, FRONT_FIELDS, REASONS
 from attesta.functions import text
 
 KEY = "verification_id"
@@ -63,7 +63,7 @@ def build_signals(df: DataFrame, as_of, key: str = KEY, similarity: str | None =
     Wide: front_* raw strings, confidence and source; mrz_* of a parsed zone with repaired and mrz_error;
     sharpness and glare. One pass over the rows: all signals of a row are made at once.
     """
-    no_field, zone = F.lit("el campo no se localizo en el anverso"), F.coalesce("mrz_error", F.lit("la MRZ no se pudo interpretar"))
+    no_field, zone = F.lit(REASONS["field"]), F.coalesce("mrz_error", F.lit(REASONS["zone"]))
     readable = F.col("mrz_checks_ok").isNotNull()
 
     def item(name, kind, value, reason=None, when=None):
@@ -83,8 +83,8 @@ def build_signals(df: DataFrame, as_of, key: str = KEY, similarity: str | None =
     items.append(item("ocr.fields_missing", "count", F.size(missing_fields())))
     items += [item(f"cross.{name}", "text", _status(a, b, eq)) for name, (a, b, eq) in cross_pairs().items()]
     items += [
-        item("document.age_years", "count", doc["age_years"], F.lit("no se pudo leer la fecha de nacimiento")), item("document.days_to_expiry", "count", doc["days_to_expiry"], F.lit("no se pudo leer la fecha de expiracion")),
-        item("document.dates_coherent", "flag", doc["dates_coherent"], F.lit("falta alguna de las tres fechas")), item("document.expired", "flag", doc["expired"], F.lit("falta la fecha de expiracion")),
+        item("document.age_years", "count", doc["age_years"], F.lit(REASONS["birth_date"])), item("document.days_to_expiry", "count", doc["days_to_expiry"], F.lit(REASONS["expiry_date"])),
+        item("document.dates_coherent", "flag", doc["dates_coherent"], F.lit(REASONS["three_dates"])), item("document.expired", "flag", doc["expired"], F.lit(REASONS["expiry"])),
     ]
     if similarity:
         items.append(item("facial.similarity", "score", F.round(F.col(similarity), 4), F.col(f"{similarity}_reason"), F.col(similarity).isNotNull() | F.col(f"{similarity}_reason").isNotNull()))

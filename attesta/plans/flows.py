@@ -16,9 +16,19 @@ KEY = "verification_id"
 _stages: dict = {}
 
 
+def _state(spark, sf_dir) -> tuple:
+    """Names, sizes and times of what lies in the folders of the tables that the stages read: other files, another state."""
+    found = []
+    for t in ("orders", "customer"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found += [(f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)]
+    return tuple(sorted(found))
+
+
 def staged(spark, sf_dir, name, make):
-    """A stage's table, written once a session for each input folder and read by the queries that build on it."""
-    at = (spark.sparkContext.applicationId, sf_dir, name)
+    """A stage's table, written once a session for each input folder as it is, and read by the queries that build on it."""
+    at = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir), name)
     if at not in _stages:
         df, path = make(), scratch(spark, name)
         df.write.parquet(path)

@@ -70,13 +70,6 @@ def _(spark, sf_dir):
 
 
 # Scalars
-@entry("sc13_normalized_text", "SELECT doc_id, sha256(trim(regexp_replace(lower(strip_accents(left(text, 200))), '\\s+', ' ', 'g'))) AS loose, trim(regexp_replace(lower(strip_accents(left(text, 200))), '[^a-z0-9 ]', '', 'g')) AS label, upper(trim(regexp_replace(regexp_replace(strip_accents(left(text, 200)), '[^A-Za-z ]', ' ', 'g'), ' +', ' ', 'g'))) AS name FROM documents")
-def _(spark, sf_dir):
-    d = fixtures.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("t"))
-    return d.select("doc_id", F.sha2(text.loose(F.col("t"), False).cast("binary"), 256).alias("loose"), text.label_key(F.col("t"), False).alias("label"), text.name_key(F.col("t"), False).alias("name"))
-
-
-# the pair above is of prefixes, as FIXTURES.md has it; this is the whole text
 @entry("sc13_whole_texts", "SELECT doc_id, sha256(trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g'))) AS loose, sha256(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9 ]', '', 'g'))) AS label, sha256(upper(trim(regexp_replace(regexp_replace(strip_accents(text), '[^A-Za-z ]', ' ', 'g'), ' +', ' ', 'g')))) AS name FROM documents")
 def _(spark, sf_dir):
     d = fixtures.table(spark, sf_dir, "documents")
@@ -84,14 +77,6 @@ def _(spark, sf_dir):
     return d.select("doc_id", digest(text.loose(F.col("text"), False)).alias("loose"), digest(text.label_key(F.col("text"), False)).alias("label"), digest(text.name_key(F.col("text"), False)).alias("name"))
 
 
-@entry("sc14_truncated_names", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, starts_with(a.n_name, left(b.n_name, 3)) OR starts_with(left(b.n_name, 3), a.n_name) AS agree FROM nation a, nation b WHERE a.n_regionkey = b.n_regionkey")
-def _(spark, sf_dir):
-    n = fixtures.table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", "n_name")
-    a, b = n.toDF("a", "region", "name"), n.toDF("b", "region", "other")
-    return a.join(b, "region").select("a", "b", text.names_agree(F.col("name"), F.substring("other", 1, 3)).alias("agree"))
-
-
-# on every verification's names, which grow with the orders
 @entry("sc14_zone_names", over("SELECT verification_id, front_surnames <> '' AND mrz_surnames <> '' AND (starts_with(front_surnames, mrz_surnames) OR starts_with(mrz_surnames, front_surnames)) AS surnames_agree, given_names <> '' AND mrz_given <> '' AND (starts_with(given_names, mrz_given) OR starts_with(mrz_given, given_names)) AS given_names_agree FROM read"))
 def _(spark, sf_dir):
     w = flows.wide(spark, sf_dir)

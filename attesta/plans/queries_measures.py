@@ -40,12 +40,6 @@ def _(spark, sf_dir):
     return evaluation.disagreements(flows.audited_runs(spark, sf_dir))
 
 
-@entry("ag5_lost_cases", over("SELECT model, string_agg(verification_id, ',' ORDER BY verification_id) AS ids FROM runs WHERE outcome = 'unavailable' GROUP BY 1", ANSWERS))
-def _(spark, sf_dir):
-    return evaluation.lost_cases(flows.runs(spark, sf_dir)).select("model", F.array_join("ids", ",").alias("ids"))
-
-
-# the pair above puts a model's cases into one string; this has a row for each
 @entry("ag5_lost_runs", over("SELECT model, verification_id FROM runs WHERE outcome = 'unavailable'", ANSWERS))
 def _(spark, sf_dir):
     return evaluation.lost_runs(flows.runs(spark, sf_dir))
@@ -114,20 +108,6 @@ def _(spark, sf_dir):
     return evaluation.readings_by_condition(readings(spark, sf_dir))
 
 
-@entry("jn11_zone_differences", over("SELECT verification_id, CASE WHEN k % 2 = 1 THEN 1 ELSE 2 END AS line, CASE WHEN k % 2 = 1 THEN repeat(' ', 4) || '^' || repeat(' ', 25) ELSE repeat(' ', 7) || '^' || repeat(' ', 22) END AS marks FROM apps WHERE ok % 7 = 0"))
-def _(spark, sf_dir):
-    z = fixtures.captures(fixtures.applications(spark, sf_dir))
-    a = fixtures.applications(spark, sf_dir).filter("ok % 7 = 0")
-    from attesta.functions import mrz
-
-    a = mrz.with_built_lines(a, F.col("document_number"), F.col("birth_date"), F.col("sex"), F.col("expiry_date"), F.col("base").cast("string"), F.col("surnames"), F.col("given_names"))
-    odd = F.col("k") % 2 == 1
-    read = F.array(F.when(odd, F.overlay("upper", F.lit("M"), F.lit(5))).otherwise(F.col("upper")), F.when(odd, F.col("middle")).otherwise(F.overlay("middle", F.lit("X"), F.lit(8))), F.col("lower"))
-    d = evaluation.first_difference(read, F.array("upper", "middle", "lower"))
-    return a.select(KEY, d.alias("d")).select(KEY, "d.line", "d.marks")
-
-
-# the pair above compares every seventh reading; this compares all of them
 @entry("jn11_all_readings", over("SELECT verification_id, CASE WHEN ok % 7 = 0 THEN CASE WHEN k % 2 = 1 THEN 1 ELSE 2 END END AS line, CASE WHEN ok % 7 = 0 THEN CASE WHEN k % 2 = 1 THEN repeat(' ', 4) || '^' || repeat(' ', 25) ELSE repeat(' ', 7) || '^' || repeat(' ', 22) END END AS marks FROM apps"))
 def _(spark, sf_dir):
     from attesta.functions import mrz
@@ -220,14 +200,6 @@ def _(spark, sf_dir):
     return faces.facial_cases(photos_of(spark, sf_dir))
 
 
-@entry("wn11_numbered_people", "WITH f AS (SELECT lower(n_name[1:3]) AS role, n_nationkey % 6 AS num, n_name[1:3] || '_' || (n_nationkey % 6) || '-' || n_nationkey || '.jpg' AS name FROM nation), k AS (SELECT num::VARCHAR AS key, role, max(name) AS name FROM f GROUP BY 1, 2) SELECT 'persona-' || lpad((dense_rank() OVER (ORDER BY key))::VARCHAR, 2, '0') AS person, role, name FROM k")
-def _(spark, sf_dir):
-    n = fixtures.table(spark, sf_dir, "nation")
-    files = n.select(F.concat(F.substring("n_name", 1, 3), F.lit("_"), F.col("n_nationkey") % 6, F.lit("-"), "n_nationkey", F.lit(".jpg")).alias("name"))
-    return faces.numbered_people(files, pair=True)
-
-
-# on file names of every order, which grow
 @entry("wn11_numbered_files", "WITH f AS (SELECT ['front', 'back', 'selfie'][(o_orderkey % 3 + 1)::INT] AS role, o_custkey AS num, o_orderkey FROM orders), k AS (SELECT num::VARCHAR AS key, role, max(role || '_' || num || '-' || o_orderkey || '.jpg') AS name FROM f GROUP BY 1, 2), n AS (SELECT (dense_rank() OVER (ORDER BY key))::VARCHAR AS n, role, name FROM k) SELECT 'persona-' || CASE WHEN length(n) < 2 THEN '0' ELSE '' END || n AS person, role, name FROM n")
 def _(spark, sf_dir):
     role = F.element_at(F.array(F.lit("front"), F.lit("back"), F.lit("selfie")), (F.col("o_orderkey") % 3 + 1).cast("int"))
@@ -379,12 +351,6 @@ def through_store(spark, a):
     return got.select(flows.A.request_key(F.col("model"), F.col("request")).alias("key"))
 
 
-@entry("io3_stored_responses", over("SELECT sha256('{\"model\":\"m1\",\"request\":\"' || verification_id || '\"}') AS key FROM apps WHERE k % 4 <> 0 AND ok % 50 = 1"))
-def _(spark, sf_dir):
-    return through_store(spark, fixtures.applications(spark, sf_dir).filter("ok % 50 = 1"))
-
-
-# the pair above stores one application in fifty; this stores all of them
 @entry("io3_all_responses", over("SELECT sha256('{\"model\":\"m1\",\"request\":\"' || verification_id || '\"}') AS key FROM apps WHERE k % 4 <> 0"))
 def _(spark, sf_dir):
     return through_store(spark, fixtures.applications(spark, sf_dir))
@@ -405,9 +371,9 @@ def _(spark, sf_dir):
     folder = scratch(spark, "attempts")
     attempts(spark, sf_dir).filter("kind = 'record'").select("ts", "event_id", "account", "model").write.parquet(folder)
     stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
-    name = "attempts_" + folder.split("-")[-1].replace("/", "_")
-    jobs.start_counts(stream, scratch(spark, "counts"), name).awaitTermination()
-    return spark.table(name).withColumn("day", F.col("day").cast("string"))
+    out = scratch(spark, "counts")
+    jobs.start_counts_table(stream, out, scratch(spark, "counts-log")).awaitTermination()
+    return jobs.counts_table(spark, out).withColumn("day", F.col("day").cast("string"))
 
 
 @entry("sm1_intake", over("SELECT status, count(*) AS n FROM audited WHERE model = 'm1' GROUP BY 1", ANSWERS))

@@ -324,3 +324,9 @@ def _(spark, sf_dir):
     files = s.select(F.substring("key", 1, 2).alias("prefix"), "key", F.when(F.col("s_suppkey") % 4 == 0, F.substring(whole, 1, 40)).otherwise(whole).alias("value"))
     files.repartition("key").write.partitionBy("prefix", "key").text(path)
     return captures.responses_for(spark, path, s.filter("s_suppkey % 3 = 0")).select("key", "response")
+
+
+@entry("ag14_same_file_rows", "SELECT sha256(text) AS sha256, doc_id AS id, count(*) OVER (PARTITION BY sha256(text)) AS copies FROM documents QUALIFY copies > 1")
+def _(spark, sf_dir):
+    d = fixtures.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("content"))
+    return faces.same_file_rows(d)

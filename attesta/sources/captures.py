@@ -17,14 +17,15 @@ def capture_files(spark, path: str) -> DataFrame:
 def capture_hashes(spark, path: str, most: int = MAX_BYTES) -> DataFrame:
     """path, length, sha256, reject_reason of every file below path, with the columns of its partition folders.
 
-    Lengths come from the listing: the bytes of files that are too large are never read, and a file without bytes has no digest.
+    Lengths come from the listing: the bytes of files that are too large are never read. Files without
+    bytes are left out by the scan itself; a capture that has none is missing.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
+    found = spark.read.format("binaryFile").load(path)
     own = [c for c in found.columns if c not in ("path", "modificationTime", "length", "content")]
-    fine = found.filter((F.col("length") > 0) & (F.col("length") <= most)).select("path", "length", F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("reject_reason"), *own)
-    reason = F.when(F.col("length") > most, "too_large").otherwise("empty")
-    other = found.filter((F.col("length") <= 0) | (F.col("length") > most)).select("path", "length", F.lit(None).cast("string").alias("sha256"), reason.alias("reject_reason"), *own)
-    return fine.unionByName(other)
+    none = F.lit(None).cast("string")
+    fine = found.filter(F.col("length") <= most).select("path", "length", F.sha2("content", 256).alias("sha256"), none.alias("reject_reason"), *own)
+    large = found.filter(F.col("length") > most).select("path", "length", none.alias("sha256"), F.lit("too_large").alias("reject_reason"), *own)
+    return fine.unionByName(large)
 
 
 def admission(captures: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import datetime as dt
+import hashlib
 import itertools
 import uuid
 
@@ -11,7 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators import faces
+from attesta.operators import budget, constraints, evaluation, faces, registry
+from attesta.sources import captures
 from attesta.streaming import jobs
 
 LOG = "ts timestamp_ntz, event_id long, account string, model string"
@@ -148,3 +150,136 @@ def test_statistics_by_kind_and_variant(spark, monkeypatch):
     for k, s in values.items():
         assert got[k].n == len(s) and (got[k].least, got[k]["mean"], got[k].most) == pytest.approx((min(s), sum(s) / len(s), max(s)), abs=2e-6)
     assert faces.similarity_stats(photos.limit(0), documents.limit(0)).count() == 0
+
+
+# Tables stored by verification
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_registry_needs_no_exchange(spark, sf, folder):
+    from attesta.operators import audit, registry
+    from attesta.plans import queries_registry as Q
+
+    name = f"t_{uuid.uuid4().hex}"
+    made = Q.registry_of(spark, sf)
+    registry.store(made, name, folder, 8)
+    t = registry.stored(spark, name)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        g = t["verificacion_fundamentos"].select("verification_id", "orden", "signal_id", "cited_value")
+        again, records = audit.audit_citations(g, t["verificacion_senales"]), registry.full_records(t)
+        for df in (again, records):
+            assert "Exchange" not in plan_of(df) and "SortMergeJoin" in plan_of(df)
+        assert "Exchange" in plan_of(registry.full_records(made))
+        kept = t["verificacion_fundamentos"].select("verification_id", "orden", "status")
+        assert again.select("verification_id", "orden", "status").exceptAll(kept).count() == 0 and again.count() == kept.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for n in registry.TABLES:
+            spark.sql(f"drop table {name}_{n}")
+
+
+HEAD = "verification_id string, outcome string, decision string, faithful boolean, complete boolean, creado_dia date"
+
+
+def test_summary_of_one_scan(spark, folder):
+    d1, d2 = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    rows = [("a", "decided", "approve", True, True, d1), ("b", "decided", "approve", False, True, d1), ("c", "malformed", None, False, False, d2), ("d", "decided", None, None, None, None)]
+    spark.createDataFrame(rows, HEAD).write.parquet(f"{folder}/head")
+    out = registry.summary_sets(spark.read.parquet(f"{folder}/head"))
+    assert plan_of(out).count("FileScan") == 1
+    got = {(r.level, r.value): tuple(r)[2:] for r in out.collect()}
+    assert got["total", None] == (4, 1, 3, 1, 2) and got["decision", "approve"] == (2, 0, 2, 1, 2) and got["decision", None] == (2, 1, 1, 0, 0)
+    assert got["outcome", "malformed"] == (1, 1, 0, 0, 0) and got["day", "2024-01-01"][0] == 2 and got["day", None][0] == 1
+    for level in ("decision", "outcome", "day"):
+        assert sum(v[0] for (name, _), v in got.items() if name == level) == 4
+
+
+def test_constraints_are_counted_with_their_rows(spark):
+    s = spark.createDataFrame(
+        [("v", "a", "text", "1", True, None), ("v", "a", "text", "1", True, None), ("v", "b", "odd", None, False, None), ("w", "c", None, "1", True, "m"), (None, None, "flag", None, True, "m")],
+        "verification_id string, signal_id string, tipo string, valor string, disponible boolean, motivo_indisponible string",
+    )
+    counts, rows = constraints.suite(spark, {"signals": (s, ("verification_id", "signal_id"), constraints.signal_rules()), "none": (s.limit(0), ("signal_id",), constraints.signal_rules())})
+    got = {(r.table, r.rule): (r.rows, r.violations) for r in counts.collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "signals"} == {"value_and_reason": (5, 1), "neither_value_nor_reason": (5, 1), "available_without_value": (5, 1), "unknown_kind": (5, 2), "one_signal": (5, 1)}
+    assert all(v == (0, 0) for k, v in got.items() if k[0] == "none")
+    want = [("available_without_value", "null/null", 1), ("neither_value_nor_reason", "v/b", 1), ("one_signal", "v/a", 2), ("unknown_kind", "v/b", 1), ("unknown_kind", "w/c", 1), ("value_and_reason", "w/c", 1)]
+    assert sorted(tuple(r)[1:] for r in rows.collect()) == want
+    c = spark.createDataFrame([("x", "reject", "r" * 200, False, False), ("y", "approve", "r" * 150, True, True), ("z", "approve", None, False, True)], "id string, expected_decision string, reason string, ambiguous boolean, detectable boolean")
+    got = {r.rule: r.violations for r in constraints.suite(spark, {"cases": (c, ("id",), constraints.case_rules())})[0].collect()}
+    assert got == {"undetectable_not_approved": 1, "reason_too_short": 1, "disputed_reason_too_short": 1, "one_case": 0}
+
+
+# Reports
+def test_facial_hits_of_both_definitions(spark):
+    cases = spark.createDataFrame([("a", "legit", "approve", "approve"), ("b", "impersonation", "escalate_to_human", "approve"), ("c", "impersonation", "reject", "approve")], "case_id string, kind string, expected string, rule_decision string")
+    readings = spark.createDataFrame([("a", 100, 0.7, None), ("a", 300, None, "no_face"), ("b", 50, None, "x"), ("b", 90, None, "y")], "case_id string, side int, similarity double, reason string")
+    runs = spark.createDataFrame([("a", "m", "decided", "approve", True), ("b", "m", "malformed", None, False), ("c", "m", "unavailable", None, None)], "case_id string, model string, outcome string, decision string, faithful boolean")
+    judged = evaluation.facial_cases_judged(cases, readings, runs)
+    got = {r.case_id: r for r in judged.collect()}
+    assert (got["a"].similarity, got["a"].reason, got["a"].strict_hit) == (0.7, None, True)
+    assert (got["b"].similarity, got["b"].reason, got["b"].hit, got["b"].strict_hit) == (None, "y", True, False)
+    assert (got["c"].got, got["c"].hit, got["c"].similarity) == (None, False, None)
+    assert tuple(evaluation.facial_totals(judged).first()) == ("m", 1, 2, 2, 2, 1, 1, 1, 2)
+
+
+def test_first_of_each_is_bounded_before_the_exchange(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("o")).repartition(4)
+    out = evaluation.first_of_each(rows, "g", "o", 2)
+    assert plan_of(out).count("WindowGroupLimit") == 2
+    assert sorted((r.g, r.o) for r in out.collect()) == [(0, 0), (0, 3), (1, 1), (1, 4), (2, 2), (2, 5)]
+
+
+def test_models_and_rules_measured(spark):
+    runs = spark.createDataFrame([("a", "m1", "decided", "approve", "approve"), ("a", "m2", "malformed", None, "approve"), ("b", "m1", "unavailable", None, "reject"), ("b", "m2", "decided", "reject", "reject")], "verification_id string, model string, outcome string, decision string, expected string")
+    assert sorted(map(tuple, evaluation.model_hits(runs).collect())) == [("m1", 1, 1, 0), ("m2", 2, 1, 1)]
+    assert [tuple(r) for r in evaluation.differing_cases(runs).collect()] == [("a", 2, 2)]
+    cases = spark.createDataFrame([("a", "holdout", "approve", "approve", "approve", True), ("b", "holdout", "reject", "approve", "approve", False)], "verification_id string, split string, expected string, decision string, rule string, faithful boolean")
+    assert sorted(map(tuple, evaluation.rules_measured(cases).collect())) == [("holdout", "TOTAL", 2, 1, 1), ("holdout", "approve", 1, 1, 1), ("holdout", "reject", 1, 0, 0)]
+    assert [tuple(r) for r in evaluation.rule_failures(cases).collect()] == [("b", "holdout", "reject", "approve", "approve")]
+
+
+def test_legacy_slot_counts_for_every_account(spark):
+    d = dt.date(2024, 1, 1)
+    a = spark.createDataFrame([(d, "x", "m")] * 3 + [(d, "y", "m")] * 2 + [(d, None, "m")] * 4 + [(d, None, "n")], "day date, account string, model string")
+    got = {(r.account, r.model): (r.spent, r.legacy, r.remaining, r.by_others) for r in budget.spent_with_legacy(a, 6).collect()}
+    assert got == {("x", "m"): (7, 4, 0, 2), ("y", "m"): (6, 4, 0, 3), (None, "n"): (1, 1, 5, 0)}
+    assert {r.remaining for r in budget.spent_with_legacy(a).collect()} == {None}
+
+
+# Files
+def test_files_as_rows(spark, tmp_path):
+    for name, content in (("a", b"x" * 10), ("b", b""), ("c", b"y" * 11), ("d", b"z" * 9)):
+        (tmp_path / f"capture={name}").mkdir()
+        (tmp_path / f"capture={name}" / "f.jpg").write_bytes(content)
+    hashes = captures.capture_hashes(spark, str(tmp_path), 10)
+    got = {r.capture: (r.length, r.sha256, r.reject_reason) for r in hashes.collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    # the lengths are looked at before the bytes; a file without bytes is not there
+    assert plan_of(hashes).count("LessThanOrEqual(length,10)") + plan_of(hashes).count("GreaterThan(length,10)") == 2
+    assert got == {"a": (10, sha(b"x" * 10), None), "c": (11, None, "too_large"), "d": (9, sha(b"z" * 9), None)}
+
+
+def test_responses_by_key(spark, tmp_path):
+    keys = {n: hashlib.sha256(n.encode()).hexdigest() for n in ("ok", "torn", "empty", "other")}
+    for n, k in keys.items():
+        at = tmp_path / f"prefix={k[:2]}" / f"key={k}"
+        at.mkdir(parents=True)
+        (at / "r.json").write_text({"torn": '{"model": "m", "respon', "empty": '{"model": "m"}'}.get(n, '{"model": "m",\n "response": "yes"}'))
+    wanted = spark.createDataFrame([(keys[n],) for n in ("ok", "torn", "empty")] + [("0" * 64,), (None,)], "key string")
+    assert [(r.key, r.response) for r in captures.responses_for(spark, str(tmp_path), wanted).collect()] == [(keys["ok"], "yes")]
+
+
+def test_stages_follow_their_tables(spark, tmp_path):
+    from attesta.plans import flows
+
+    sf = str(tmp_path)
+    spark.range(3).write.parquet(f"{sf}/orders.parquet")
+    spark.range(1).write.parquet(f"{sf}/customer.parquet")
+    make = lambda: spark.read.parquet(f"{sf}/orders.parquet")
+    assert flows.staged(spark, sf, "n", make).count() == flows.staged(spark, sf, "n", lambda: 1 / 0).count() == 3
+    spark.range(5).write.mode("overwrite").parquet(f"{sf}/orders.parquet")
+    assert flows.staged(spark, sf, "n", make).count() == 5

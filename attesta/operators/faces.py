@@ -143,6 +143,14 @@ def impostor_stats(photos: DataFrame, blocks: int | None = None, documents_only:
     return _merged(sides.groupBy("i", "j").applyInArrow(_statistics(not documents_only), PARTIAL).filter("not genuine"))
 
 
+def photo_stats(photos: DataFrame) -> DataFrame:
+    """kind, variant (raw), n, least, mean, most of the similarities of all pairs of photos."""
+    p = photos.withColumn("variant", F.lit("raw")).withColumn("times", F.lit(1).cast("long"))
+    n = _blocks(p)
+    parts = _sides(p, p, n, n, True).groupBy("i", "j").applyInArrow(_statistics(True), PARTIAL)
+    return _merged(parts.withColumn("kind", F.when(F.col("genuine"), "genuine").otherwise("impostor")), "kind", "variant")
+
+
 def similarity_stats(photos: DataFrame, documents: DataFrame) -> DataFrame:
     """kind (genuine, impostor), variant, n, least, mean, most of the similarities of all pairs.
 
@@ -171,39 +179,74 @@ def separation(stats: DataFrame) -> DataFrame:
     return out.filter("gap is not null").withColumn("apart", F.col("gap") > 0)
 
 
+def _found(least: float, links: bool):
+    """Of a pair of blocks of one identity: the pairs above `least`, or, with links, for each photo of them how many it is in and the least other photo."""
+
+    def multiply(key, table):
+        side, photo = table.column("side").to_numpy(), table.column("photo").to_numpy()
+        vectors = np.array(table.column("embedding").to_pylist(), np.float64).reshape(len(side), -1)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        triangle, kind = key[1].as_py() == key[2].as_py(), table.schema.field("photo").type
+        p, q, s = [photo[:0]], [photo[:0]], [np.zeros(0)]
+        n, first = np.zeros(len(side), np.int64), {}
+        for at in range(0, len(left), SLICE):
+            rows = left[at : at + SLICE]
+            found = vectors[rows] @ vectors[right].T
+            on = found > least
+            if triangle:
+                # a block meets itself: each photo sees all others when links are counted, each pair is there once otherwise
+                on &= photo[rows, None] != photo[None, right] if links else photo[rows, None] < photo[None, right]
+            if not links:
+                x, y = np.nonzero(on)
+                p.append(photo[rows[x]]), q.append(photo[right[y]]), s.append(found[x, y])
+                continue
+            for mine, theirs, met in ((rows, right, on), *(() if triangle else ((right, rows, on.T),))):
+                n[mine] += met.sum(1)
+                order = np.argsort(photo[theirs], kind="stable")
+                for i in np.flatnonzero(met.any(1)):
+                    low = photo[theirs[order[met[i, order].argmax()]]]
+                    first[mine[i]] = min(low, first.get(mine[i], low))
+        if links:
+            at = np.array(sorted(first), np.int64)
+            columns = {"photo": pa.array(photo[at], kind), "links": pa.array(n[at]), "first": pa.array([first[i] for i in at], kind)}
+        else:
+            p, q = np.concatenate(p), np.concatenate(q)
+            columns = {"a": pa.array(np.minimum(p, q), kind), "b": pa.array(np.maximum(p, q), kind), "similarity": pa.array(np.concatenate(s), pa.float64())}
+        size = len(next(iter(columns.values())))
+        return pa.table({"identity": pa.array([key[0].as_py()] * size, table.schema.field("identity").type), **columns})
+
+    return multiply
+
+
+def _large(at: DataFrame) -> DataFrame:
+    """Both sides of each pair of blocks of the identities that have several."""
+    large = at.filter("blocks > 1")
+    a = large.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).withColumn("side", F.lit(0))
+    b = large.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block")))).withColumn("side", F.lit(1))
+    cols = ["identity", "i", "j", "side", "photo", "embedding"]
+    return a.select(*cols).unionByName(b.select(*cols))
+
+
 def near_identical(photos: DataFrame, least: float = 0.98, together: int | None = None) -> DataFrame:
-    """identity, a, b, similarity of the pairs of one identity above `least`.
+    """identity, a, b, similarity of the pairs of one identity above `least`, all of them: of n equal photos half of n squared. near_links() has a row for each photo.
 
     Pairs of small identities are made by a join; those of large ones are products of blocks, of which only the pairs found are returned.
     """
     at = _in_blocks(photos.select("identity", "photo", "embedding"), together)
     few = genuine_pairs(at.filter("blocks = 1"), 1 << 30).filter(F.col("similarity") > least)
-    large = at.filter("blocks > 1").withColumn("times", F.lit(1).cast("long"))
-    a = large.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).withColumn("side", F.lit(0))
-    b = large.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block")))).withColumn("side", F.lit(1))
     kinds = {f.name: f.dataType.simpleString() for f in photos.schema}
-    cols = ["identity", "i", "j", "side", "photo", "embedding"]
+    return few.unionByName(_large(at).groupBy("identity", "i", "j").applyInArrow(_found(least, False), PAIRS.format(**kinds)))
 
-    def multiply(key, table):
-        side, photo = table.column("side").to_numpy(), table.column("photo").to_numpy()
-        vectors = np.array(table.column("embedding").to_pylist(), np.float64).reshape(len(side), -1)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found = []
-        for n in range(0, len(left), SLICE):
-            rows = left[n : n + SLICE]
-            s = vectors[rows] @ vectors[right].T
-            on = s > least
-            if key[1].as_py() == key[2].as_py():
-                on &= photo[rows, None] < photo[None, right]
-            x, y = np.nonzero(on)
-            found.append((photo[rows[x]], photo[right[y]], s[x, y]))
-        p, q, s = (np.concatenate(c) for c in zip(*found)) if found else (photo[:0], photo[:0], np.zeros(0))
-        low, high = np.minimum(p, q), np.maximum(p, q)
-        same = pa.array([key[0].as_py()] * len(p), table.schema.field("identity").type)
-        return pa.table({"identity": same, "a": pa.array(low, table.schema.field("photo").type), "b": pa.array(high, table.schema.field("photo").type), "similarity": pa.array(s, pa.float64())})
-
-    met = a.select(*cols).unionByName(b.select(*cols)).groupBy("identity", "i", "j").applyInArrow(multiply, PAIRS.format(**kinds))
-    return few.unionByName(met)
+
+def near_links(photos: DataFrame, least: float = 0.98, together: int = 64) -> DataFrame:
+    """identity, photo, links, first: photos that have others of their identity above `least`, with their number and the least of them. No pair of a large identity is written."""
+    at = _in_blocks(photos.select("identity", "photo", "embedding"), together)
+    few = genuine_pairs(at.filter("blocks = 1"), 1 << 30).filter(F.col("similarity") > least)
+    ends = F.explode(F.array(F.struct(F.col("a").alias("photo"), F.col("b").alias("first")), F.struct(F.col("b").alias("photo"), F.col("a").alias("first"))))
+    few = few.select("identity", ends.alias("e")).select("identity", "e.photo", F.lit(1).cast("long").alias("links"), "e.first")
+    kinds = {f.name: f.dataType.simpleString() for f in photos.schema}
+    many = _large(at).groupBy("identity", "i", "j").applyInArrow(_found(least, True), "identity {identity}, photo {photo}, links bigint, first {photo}".format(**kinds))
+    return few.unionByName(many).groupBy("identity", "photo").agg(F.sum("links").alias("links"), F.min("first").alias("first"))
 
 
 def pair_counts(photos: DataFrame) -> DataFrame:

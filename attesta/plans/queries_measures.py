@@ -155,9 +155,10 @@ def _(spark, sf_dir):
 @entry("ag11_separation", f"SELECT round(min(s) FILTER (WHERE g), 6) AS least_genuine, round(max(s) FILTER (WHERE NOT g), 6) AS most_impostor, round(min(s) FILTER (WHERE g) - max(s) FILTER (WHERE NOT g), 6) AS gap FROM (SELECT a.label = b.label AS g, {_DOT} AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)")
 def _(spark, sf_dir):
     p = photos_of(spark, sf_dir)
-    g = faces.genuine_pairs(p).agg(F.round(F.min("similarity"), 6).alias("least_genuine"))
-    i = faces.impostor_stats(p).select(F.col("most").alias("most_impostor"))
-    return g.crossJoin(i).withColumn("gap", F.round(F.col("least_genuine") - F.col("most_impostor"), 6))
+    # least and most of all pairs of photos, of one blocked product
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    s = faces.photo_stats(p).agg(of("genuine", "least").alias("least_genuine"), of("impostor", "most").alias("most_impostor"))
+    return s.withColumn("gap", F.round(F.col("least_genuine") - F.col("most_impostor"), 6))
 
 
 @entry("ag13_pair_counts", "SELECT (sum(n * (n - 1)) // 2)::BIGINT AS genuine, ((sum(n) * sum(n) - sum(n * n)) // 2)::BIGINT AS impostor FROM (SELECT count(*) AS n FROM embeddings GROUP BY label)")
@@ -167,7 +168,7 @@ def _(spark, sf_dir):
 
 @entry("ag15_near_identical", f"SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_DOT} > 0.98")
 def _(spark, sf_dir):
-    return faces.genuine_pairs(photos_of(spark, sf_dir)).filter("similarity > 0.98").select("a", "b")
+    return faces.near_identical(photos_of(spark, sf_dir), 0.98).select("a", "b")
 
 
 @entry("ag14_same_files", "SELECT sha256(text) AS sha256, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY 1 HAVING count(*) > 1")

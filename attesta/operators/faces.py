@@ -83,6 +83,12 @@ PARTIAL = "variant string, genuine boolean, n bigint, least double, total double
 PAIRS = "identity {identity}, a {photo}, b {photo}, similarity double"
 
 
+def _matrix(table: pa.Table) -> np.ndarray:
+    """The table's embeddings, a row each."""
+    flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, 1))
+
+
 def _sides(left: DataFrame, right: DataFrame, rows: int, columns: int, same: bool) -> DataFrame:
     """Rows of both sides for each pair of blocks (i, j); same: both are the same photos, and only i <= j is there. Sides: variant, identity, photo, times, embedding."""
     i, j = F.pmod(F.xxhash64("photo"), F.lit(rows)).cast("int"), F.pmod(F.xxhash64("photo"), F.lit(columns)).cast("int")
@@ -97,7 +103,7 @@ def _statistics(same: bool):
 
     def multiply(key, table):
         side = table.column("side").to_numpy()
-        vectors = np.array(table.column("embedding").to_pylist(), np.float64).reshape(len(side), -1)
+        vectors = _matrix(table)
         who, photo, times = (table.column(c).to_numpy() for c in ("identity", "photo", "times"))
         variant = np.array(table.column("variant").to_pylist(), object)
         triangle = same and key[0].as_py() == key[1].as_py()
@@ -184,7 +190,7 @@ def _found(least: float, links: bool):
 
     def multiply(key, table):
         side, photo = table.column("side").to_numpy(), table.column("photo").to_numpy()
-        vectors = np.array(table.column("embedding").to_pylist(), np.float64).reshape(len(side), -1)
+        vectors = _matrix(table)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         triangle, kind = key[1].as_py() == key[2].as_py(), table.schema.field("photo").type
         p, q, s = [photo[:0]], [photo[:0]], [np.zeros(0)]

@@ -30,12 +30,12 @@ def chosen_face(faces: DataFrame, allow_ghost: bool = False, least_score: float
 TOGETHER = 500
 
 
-def _in_blocks(photos: DataFrame, together: int | None) -> DataFrame:
-    """photos with block and blocks: identities with more than `together` photos have them dealt into blocks of about so many."""
+def _in_blocks(photos: DataFrame, together: int | None, size: int | None = None) -> DataFrame:
+    """photos with block, blocks and large: identities with more than `together` photos are large, and have them dealt into blocks of about `size` (else so many)."""
     most = together or TOGETHER
     large = photos.groupBy("identity").agg(F.count("*").alias("n")).filter(F.col("n") > most)
-    large = large.select(F.col("identity").alias("of"), F.ceil(F.col("n") / most).cast("int").alias("blocks"))
-    df = photos.join(large, F.col("identity") == F.col("of"), "left").drop("of").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    large = large.select(F.col("identity").alias("of"), F.ceil(F.col("n") / (size or most)).cast("int").alias("blocks"))
+    df = photos.join(large, F.col("identity") == F.col("of"), "left").withColumn("large", F.col("of").isNotNull()).drop("of").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     return df.withColumn("block", F.pmod(F.xxhash64("photo"), F.col("blocks")).cast("int"))
 
 
@@ -225,8 +225,8 @@ def _found(least: float, links: bool):
 
 
 def _large(at: DataFrame) -> DataFrame:
-    """Both sides of each pair of blocks of the identities that have several."""
-    large = at.filter("blocks > 1")
+    """Both sides of each pair of blocks of the large identities."""
+    large = at.filter("large")
     a = large.withColumn("i", F.col("block")).withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).withColumn("side", F.lit(0))
     b = large.withColumn("j", F.col("block")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block")))).withColumn("side", F.lit(1))
     cols = ["identity", "i", "j", "side", "photo", "embedding"]
@@ -239,15 +239,15 @@ def near_identical(photos: DataFrame, least: float = 0.98, together: int | None
     Pairs of small identities are made by a join; those of large ones are products of blocks, of which only the pairs found are returned.
     """
     at = _in_blocks(photos.select("identity", "photo", "embedding"), together)
-    few = genuine_pairs(at.filter("blocks = 1"), 1 << 30).filter(F.col("similarity") > least)
+    few = genuine_pairs(at.filter("not large"), 1 << 30).filter(F.col("similarity") > least)
     kinds = {f.name: f.dataType.simpleString() for f in photos.schema}
     return few.unionByName(_large(at).groupBy("identity", "i", "j").applyInArrow(_found(least, False), PAIRS.format(**kinds)))
 
 
-def near_links(photos: DataFrame, least: float = 0.98, together: int = 64) -> DataFrame:
+def near_links(photos: DataFrame, least: float = 0.98, together: int = 64, size: int | None = None) -> DataFrame:
     """identity, photo, links, first: photos that have others of their identity above `least`, with their number and the least of them. No pair of a large identity is written."""
-    at = _in_blocks(photos.select("identity", "photo", "embedding"), together)
-    few = genuine_pairs(at.filter("blocks = 1"), 1 << 30).filter(F.col("similarity") > least)
+    at = _in_blocks(photos.select("identity", "photo", "embedding"), together, size or BLOCK)
+    few = genuine_pairs(at.filter("not large"), 1 << 30).filter(F.col("similarity") > least)
     ends = F.explode(F.array(F.struct(F.col("a").alias("photo"), F.col("b").alias("first")), F.struct(F.col("b").alias("photo"), F.col("a").alias("first"))))
     few = few.select("identity", ends.alias("e")).select("identity", "e.photo", F.lit(1).cast("long").alias("links"), "e.first")
     kinds = {f.name: f.dataType.simpleString() for f in photos.schema}

@@ -129,7 +129,7 @@ def test_a_large_identity_is_spread(spark, together):
     for (w, i, j), x in want.items():
         if x > 0.9:
             links[w, i].append(j), links[w, j].append(i)
-    assert {(r.identity, r.photo): (r.links, r["first"]) for r in faces.near_links(photos, 0.9, together).collect()} == {k: (len(v), min(v)) for k, v in links.items()}
+    assert {(r.identity, r.photo): (r.links, r["first"]) for r in faces.near_links(photos, 0.9, together, 90).collect()} == {k: (len(v), min(v)) for k, v in links.items()}
     near = {(r.identity, r.a, r.b) for r in faces.near_identical(photos, 0.9, together).collect()}
     assert near == {k for k, s in want.items() if s > 0.9} and near
 

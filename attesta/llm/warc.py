@@ -5,6 +5,13 @@ if its header decodes and a record's version line follows, and own the records t
 their range, reading past its end where a record does. So an archive is read by as many tasks as
 it has ranges, without an index.
 
+Archives of other writers are read too: records of every type (warcinfo, request, metadata, ...: the
+payload is the block, or what follows its HTTP headers), header names in any case, folded header
+lines, lines that end without CR, chunked bodies, records without a payload digest (it is computed;
+null for a revisit). A member that does not decode to its end, a record that cannot be parsed and a
+payload that differs from its SHA-1 are rows whose `error` says so; reading goes on after them.
+Bytes between members that begin no record are passed over. Digests by other functions are not checked.
+
 Equal payloads are one response and revisits of it: of the rows with one digest, those with the
 largest page id are responses. Digests meet their largest id in a partial aggregation, so that a
 payload held by a third of all rows is no hot group, and rows meet the leaders in an equi-join
@@ -34,7 +41,7 @@ from pyspark.sql import functions as F
 from attesta.llm.tables import read, shared_dir, written
 
 MAGIC = b"\x1f\x8b\x08"
-VERSION = b"WARC/1."
+VERSION = b"WARC/"
 READ = 1 << 20
 
 
@@ -69,12 +76,17 @@ def leaders(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return rows.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("leader")), F.col("leader")).alias("refers_to"))
 
 
+def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system and the path of an address in one of the forms that Hadoop writes."""
+    return pa.fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", re.sub("^s3[an]://", "s3://", uri)))
+
+
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Writes archives under folder; returns their (path, bytes, records), a written table."""
     kind = "path string, bytes bigint, records bigint"
 
     def run(batches):
-        fs, root = pa.fs.FileSystem.from_uri(folder)
+        fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
         name, out, size, n = f"{uuid.uuid4().hex}.warc.gz", None, 0, 0
         for batch in batches:
@@ -108,7 +120,8 @@ class Range:
         return True
 
     def skip(self, n: int) -> None:
-        self.at, self.buf = self.at + n, self.buf[n:]
+        if n:
+            self.at, self.buf = self.at + n, self.buf[n:]
 
 
 def _begins(data: bytes) -> bool:
@@ -120,73 +133,129 @@ def _begins(data: bytes) -> bool:
 
 
 def members(source, start: int, end: int, size: int):
-    """(offset, decoded bytes) of the records that start in start..end-1."""
-    r, sure = Range(source, start, size), start == 0
+    """(offset, decoded bytes, None) of the records that start in start..end-1; (offset, None, error) where one does not decode."""
+    r = Range(source, start, size)
     while r.at < end:
-        if not sure:
-            found = r.buf.find(MAGIC)
-            if found < 0:
-                r.skip(max(0, len(r.buf) - 2))
-                if not r.more():
-                    return
-                continue
-            r.skip(found)
-            while len(r.buf) < 4096 and r.more():
-                pass
-            if r.at >= end:
+        found = r.buf.find(MAGIC)
+        if found < 0:
+            r.skip(max(0, len(r.buf) - 2))
+            if not r.more():
                 return
-            if not _begins(r.buf[:4096]):
-                r.skip(1)
-                continue
-        if not r.buf and not r.more():
+            continue
+        r.skip(found)
+        while len(r.buf) < 4096 and r.more():
+            pass
+        if r.at >= end:
             return
+        if not _begins(r.buf[:4096]):
+            r.skip(1)
+            continue
         unpack, out, fed = zlib.decompressobj(31), [], 0
-        while not unpack.eof:
-            if fed == len(r.buf) and not r.more():
-                raise ValueError(f"archive ends within the record at {r.at}")
-            out.append(unpack.decompress(r.buf[fed:]))
-            fed = len(r.buf)
-        yield r.at, b"".join(out)
+        try:
+            while not unpack.eof:
+                if fed == len(r.buf) and not r.more():
+                    raise EOFError("the archive ends within the record")
+                out.append(unpack.decompress(r.buf[fed:]))
+                fed = len(r.buf)
+        except (zlib.error, EOFError) as e:
+            yield r.at, None, str(e)
+            r.skip(1)
+            continue
+        yield r.at, b"".join(out), None
         r.skip(len(r.buf) - len(unpack.unused_data))
-        sure = True
 
 
-def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """WARC headers, HTTP headers and payload of a record."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    return fields, dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:]), payload
+HEAD_END = re.compile(rb"\r?\n\r?\n")
+
 
+def _headers(data: bytes) -> tuple[str, dict[str, str], bytes]:
+    """First line, fields by lower-case name (the first of each; folded lines joined) and what follows the blank line."""
+    end = HEAD_END.search(data)
+    head, rest = (data[: end.start()], data[end.end() :]) if end else (data, b"")
+    first, *lines = re.split(r"\r?\n", re.sub(r"\r?\n[ \t]+", " ", head.decode("utf-8", "replace")))
+    fields: dict[str, str] = {}
+    for line in lines:
+        name, colon, value = line.partition(":")
+        if colon:
+            fields.setdefault(name.strip().lower(), value.strip())
+    return first, fields, rest
 
-SCHEMA = "path string, offset bigint, page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+
+def _unchunked(body: bytes) -> bytes:
+    """The body of a message sent in chunks; one that is cut short, or is not in chunks, raises."""
+    out, at = [], 0
+    while True:
+        end = body.index(b"\n", at)
+        size = int(body[at:end].split(b";")[0], 16)
+        if size == 0:
+            return b"".join(out)
+        if end + 1 + size > len(body):
+            raise ValueError("a chunk is cut short")
+        out.append(body[end + 1 : end + 1 + size])
+        at = body.index(b"\n", end + 1 + size) + 1
+
+
+def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
+    """WARC fields, HTTP fields (both by lower-case name) and the payload as it is stored."""
+    _, fields, rest = _headers(data)
+    length = int(fields["content-length"])
+    if length > len(rest):
+        raise ValueError("the block is shorter than its Content-Length")
+    block = rest[:length]
+    if not fields.get("content-type", "").lower().startswith("application/http"):
+        return fields, {}, block
+    _, http, payload = _headers(block)
+    return fields, http, payload
+
+
+def _page(name: str | None) -> int | None:
+    found = re.fullmatch(r"<urn:page:(-?\d{1,18})>", name or "")
+    return int(found[1]) if found else None
+
+
+def row(data: bytes) -> tuple:
+    """What scan() returns of one record, after its place."""
+    fields, http, payload = parse(data)
+    kind, digest, error = fields.get("warc-type", "").lower() or None, fields.get("warc-payload-digest"), None
+    if kind == "revisit":
+        known = http.get("content-length", "")
+        payload, size = None, int(known) if re.fullmatch(r"\d{1,18}", known) else None
+    else:
+        # archives digest a chunked body as it was sent or put together
+        plain = _unchunked(payload) if http.get("transfer-encoding", "").lower() == "chunked" else payload
+        if digest is None:
+            digest = "sha1:" + base32_sha1(plain)
+        elif digest[:5].lower() == "sha1:" and digest[5:].upper() not in {base32_sha1(payload), base32_sha1(plain)}:
+            error = "the payload does not match its digest"
+        payload, size = plain, len(plain)
+    if digest is not None and digest[:5].lower() == "sha1:":
+        digest = digest[5:].upper()
+    return (_page(fields.get("warc-record-id")), fields.get("warc-target-uri"), payload, size, digest, kind, _page(fields.get("warc-refers-to")), fields.get("warc-record-id"), error)
+
+
+SCHEMA = "path string, offset bigint, page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_id string, error string"
 
 
 def scan(archives: DataFrame, split_bytes: int = 4 << 20, most_tasks: int = 100_000) -> DataFrame:
-    """One row for each record of archives (path, bytes); a task for each range, up to most_tasks."""
+    """One row for each record of archives (path, bytes), with error where it is damaged; a task for each range, up to most_tasks."""
     ranges = archives.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.col("bytes") - 1), F.lit(split_bytes).cast("long"))).alias("start"))
     # a number of partitions that the planner keeps: rows of ranges are small, the bytes behind them are not
     n_ranges = archives.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / F.lit(split_bytes))), F.lit(0))).first()[0]
     ranges = ranges.repartition(max(1, min(n_ranges, most_tasks)))
 
-    def page(name):
-        return int(name[10:-1]) if name and name.startswith("<urn:page:") else None
-
     def run(batches):
         for batch in batches:
             for path, size, start in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                fs, at = pa.fs.FileSystem.from_uri(path)
+                fs, at = file_system(path)
                 rows, held = [], 0
                 with fs.open_input_file(at) as source:
-                    for offset, data in members(source, start, min(size, start + split_bytes), size):
-                        fields, http, payload = parse(data)
-                        revisit = fields["WARC-Type"] == "revisit"
-                        digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if not revisit and base32_sha1(payload) != digest:
-                            raise ValueError(f"{path} at {offset}: the payload does not match its digest")
-                        rows.append((path, offset, page(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), None if revisit else payload, int(http["Content-Length"]), digest, fields["WARC-Type"], page(fields.get("WARC-Refers-To"))))
-                        held += len(data)
+                    for offset, data, error in members(source, start, min(size, start + split_bytes), size):
+                        try:
+                            got = row(data) if error is None else (None,) * 8 + (error,)
+                        except (KeyError, ValueError) as e:
+                            got = (None,) * 8 + (f"not a record: {e}",)
+                        rows.append((path, offset, *got))
+                        held += len(data or b"")
                         if held > READ:
                             yield _batch(rows)
                             rows, held = [], 0
@@ -197,14 +266,16 @@ def scan(archives: DataFrame, split_bytes: int = 4 << 20, most_tasks: int = 100_
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def query(spark, sf_dir):
     pages = leaders(read(spark, sf_dir, "pages"))
     archives = write(pages, f"{shared_dir(spark)}/attesta-{uuid.uuid4().hex}/warc")
-    return scan(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # its own archives have no damaged records: one ends the job
+    digest = F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(" ", "path", F.col("offset").cast("string"), "error"))).otherwise(F.col("payload_digest"))
+    return scan(archives).select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 ORACLE = """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import collections
+import gzip
 import hashlib
 import math
 import random
@@ -287,6 +288,46 @@ def test_warc_round_trip(spark, none):
         assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == sorted(want, key=str)
 
 
+def _member(fields, block, eol="\r\n"):
+    head = eol.join(["WARC/1.0", *fields, f"content-length: {len(block)}"]) + eol * 2
+    return gzip.compress(head.encode() + block + b"\r\n\r\n")
+
+
+def test_warc_reader_takes_foreign_and_damaged_records(spark, tmp_path):
+    sha1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    http, chunks = "Content-Type: application/http; msgtype=response", b"4;x=1\r\nWiki\r\n5\r\npedia\r\n0\r\n\r\n"
+    chunked = b"HTTP/1.1 200 OK\r\nTRANSFER-encoding: Chunked\r\n\r\n" + chunks
+    whole = _member(["WARC-Type: response", http], b"HTTP/1.1 200 OK\r\n\r\n" + random.Random(3).randbytes(5000))
+    parts = [
+        (_member(["WARC-Type: warcinfo", "Content-Type: application/warc-fields"], b"software: x\r\n"), ("warcinfo", b"software: x\r\n", None)),
+        (_member(["WARC-Type: request", "Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\nHost: h\r\n\r\n"), ("request", b"", None)),
+        (_member(["warc-type: RESPONSE", "warc-target-uri: http://h/a", "content-type: application/http"], b"HTTP/1.1 200 OK\r\ncontent-length: 2\r\n\r\nhi"), ("response", b"hi", None)),
+        (_member(["WARC-Type: response", http, "WARC-Payload-Digest: " + sha1(b"Wikipedia")], chunked), ("response", b"Wikipedia", None)),
+        (_member(["WARC-Type: response", http, "WARC-Payload-Digest: " + sha1(chunks).lower()], chunked), ("response", b"Wikipedia", None)),
+        (_member(["WARC-Type: response", http, "WARC-Payload-Digest: md5:abc"], b"HTTP/1.1 200 OK\n\nx"), ("response", b"x", None)),
+        (_member(["WARC-Type: resource", "X-Folded: a", " b"], b"plain", eol="\n"), ("resource", b"plain", None)),
+        (_member(["WARC-Type: revisit", "WARC-Refers-To: <urn:uuid:1>", http], b"HTTP/1.1 304 Not Modified"), ("revisit", None, None)),
+        (_member(["WARC-Type: response", http, "WARC-Payload-Digest: " + sha1(b"other")], b"HTTP/1.1 200 OK\r\n\r\nhi"), ("response", b"hi", "digest")),
+        (_member(["WARC-Type: response", http], b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nffff\r\nshort"), (None, None, "chunk")),
+        (gzip.compress(b"WARC/1.0\r\nWARC-Type: metadata\r\n\r\n"), (None, None, "content-length")),
+        (gzip.compress(b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 9\r\n\r\nshort"), (None, None, "shorter")),
+        (whole[:200] + bytes(300) + whole[500:], (None, None, "")),
+        (b"\0" * 100 + _member(["WARC-Type: metadata"], b""), ("metadata", b"", None)),
+        (whole[:-200], (None, None, "ends within")),
+    ]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(p for p, _ in parts))
+    archives = spark.createDataFrame([(f"file:{path}", path.stat().st_size, 0)], "path string, bytes long, records long")
+    want = [w for _, w in parts]
+    for split in (1 << 20, 150):
+        got = warc.scan(archives, split).orderBy("offset").collect()
+        assert [(r.record_type, r.payload and bytes(r.payload) or r.payload) for r in got] == [w[:2] for w in want]
+        for r, (_, payload, error) in zip(got, want, strict=True):
+            assert (r.error is None) == (error is None) and (error or "") in (r.error or "")
+            assert r.payload_bytes == (None if payload is None else len(payload))
+        assert got[2].url == "http://h/a" and got[2].payload_digest == sha1(b"hi")[5:] and got[5].payload_digest == "md5:abc" and got[7].payload_digest is None
+
+
 def test_warc_reader_has_a_task_for_each_range(spark, none):
     rows = [(i, None, "".join(chr(33 + (i * 7919 + k * k) % 90) for k in range(2_000_000 if i == 3 else 500))) for i in range(30)]
     pages = warc.leaders(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2))
@@ -365,16 +406,20 @@ def test_line_dedup(spark, none):
         lines = ["menu", prose(rng, 6)] + (["rare"] if i == 3 else []) + [""] + ([f"part {i % 4}"] if i % 2 else ["menu"])
         rows.append((i, "\n".join(lines), ["h", None][i % 2] if i < 58 else "tiny"))
     rows += [(100, None, "h"), (101, "", "h"), (0, rows[0][1], "h")]
-    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rows += [(200 + i, f"head\nown {i}", "four") for i in range(4)] + [(300, "alone\nalone\nonce", "single")]
+    rows += [(400, "\n".join(f"line {k}" for k in range(20_000)), "long"), (401, "line 7\nnew", "long")]
+    d = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, boilerplate string")
     pages, seen = collections.Counter(r[2] for r in rows), collections.Counter()
     for _, t, s in rows:
         seen.update((s, x) for x in set((t or "").split("\n")) if x.strip())
-    got = line_dedup.drop_boilerplate(d, ratio=0.2, min_pages=3)
+    got = line_dedup.drop_boilerplate(d, ratio=0.2)
     want = []
     for i, t, s in rows:
-        keep = None if t is None else "\n".join(x for x in t.split("\n") if not (x.strip() and seen[s, x] >= 3 and seen[s, x] > 0.2 * pages[s]))
+        keep = None if t is None else "\n".join(x for x in t.split("\n") if not (x.strip() and seen[s, x] > 1 and seen[s, x] > 0.2 * pages[s]))
         want.append((i, keep))
-    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    got = got.collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str) and {r.boilerplate for r in got} == {"x"}
+    assert {r.text for r in got if r.source == "four"} == {f"own {i}" for i in range(4)}
     assert line_dedup.drop_boilerplate(none).collect() == []
 
 

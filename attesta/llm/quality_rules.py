@@ -10,10 +10,13 @@ statistic and bin, of a fixed size, so that the learner never sees a row.
 The labelled rows are a bounded sample (`max_labelled`, by hash of the id). The rules then run
 over every document.
 
-Cases: a null or empty text has 0 words, and fails the base rule. Unlabelled rows take no part in
+Cases: a null or empty text has 0 words, and fails the base rule. Texts are taken whole. Null ids
+meet no label, and are judged like all others. Unlabelled rows and null labels take no part in
 learning; without labelled rows of both kinds the list is empty and the base rule alone decides.
-Several labels of one id count as one low-quality label if any of them is. Repeated rows give
-equal results; other columns are not looked at.
+Several labels of one id count as one low-quality label if any of them is. Of equal gains the first
+statistic by name, the lower threshold and "above" win. Repeated rows give equal results. An empty
+table gives an empty result. The table's other columns stay as they are; one whose name is that of
+a count or a verdict, in any case of letters, gives way to it.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.tables import SPACE, read, written
+from attesta.llm.tables import SPACE, fresh, read, written
 
 #: Statistics that rules may test, each of the columns that statistics() makes.
 FEATURES = {
@@ -40,6 +43,10 @@ FEATURES = {
 }
 
 
+#: Columns that statistics(), _features() and apply() make.
+COUNTS = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_twice", "n_distinct", "base_failed", "rule", "kept", *FEATURES}
+
+
 @dataclass(frozen=True)
 class Literal:
     feature: str
@@ -69,7 +76,10 @@ def statistics(docs: DataFrame, text_col="text") -> DataFrame:
     into one number; in sorted order equal windows are neighbours, and their words are compared.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("_text", text).withColumn("_words", F.array_remove(F.split("_text", SPACE), ""))
+    # the text alone beside the other columns, which are one struct: no name of theirs can clash
+    others = [c for c in docs.columns if c != text_col and c.lower() not in COUNTS]
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in others], F.lit(0).alias(fresh(docs, "one"))).alias("_others"), text.alias("_text"))
+    out = out.withColumn("_words", F.array_remove(F.split("_text", SPACE), ""))
     out = out.withColumn("n_words", F.size("_words").cast("long"))
     out = out.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     # for n words and b bits for a start: the hash's upper bits, then the start
@@ -91,7 +101,7 @@ def statistics(docs: DataFrame, text_col="text") -> DataFrame:
     reach = F.transform(F.col("_found"), lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(F.col("_found"), i + 1) - p, F.lit(3).cast("long"))))
     count = lambda pattern: F.regexp_count(F.col("_text"), F.lit(pattern)).cast("long")
     out = out.select(
-        *[c for c in docs.columns if c != text_col],
+        *[F.col(f"_others.`{c}`").alias(c) for c in others],
         "n_words",
         (F.length("_text") - F.size(F.split("_text", SPACE)) + 1).cast("long").alias("word_chars"),
         count(r"[#*$%&|<>]").alias("n_symbols"),
@@ -113,7 +123,8 @@ def _features(stats: DataFrame) -> DataFrame:
 def learn(stats: DataFrame, bad_col="bad", bins=32, max_rules=8, max_literals=3, min_precision=0.9, min_share=0.005) -> list[Rule]:
     """A decision list of rules for bad rows. stats: a table with the columns FEATURES, bad_col and _fold (0, 1 grow; 2 prunes)."""
     names = list(FEATURES)
-    row = stats.agg(F.sum(F.col(bad_col).cast("int")).alias("bad"), F.count("*").alias("n"), *[F.percentile_approx(c, [i / bins for i in range(bins + 1)], 1000).alias(c) for c in names]).first()
+    # exact quantiles of up to 100,000 rows, so that the partitions have no say in the rules
+    row = stats.agg(F.sum(F.col(bad_col).cast("int")).alias("bad"), F.count("*").alias("n"), *[F.percentile_approx(c, [i / bins for i in range(bins + 1)], 100_000).alias(c) for c in names]).first()
     if not row["bad"] or row["bad"] == row["n"]:
         return []
     # thresholds lie halfway between the values that stand at neighbouring quantiles

@@ -443,6 +443,69 @@ def test_statistics(spark, docs, rows):
     assert sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got), key=str) == want
 
 
+def test_statistics_beside_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "a b c\nA!", "t", 5, "kept", 2.0), (None, None, None, None, None, None)], "doc_id long, text string, _text string, N_WORDS int, _others string, words double")
+    got = {r.doc_id: r for r in quality_rules.apply(d, [quality_rules.Rule((quality_rules.Literal("words", False, 3.0),))]).collect()}
+    assert (got[1]._text, got[1]._others, got[1].n_words, got[1].words, got[1].rule) == ("t", "kept", 4, 4.0, None)
+    assert got[None]._text is None and got[None].n_words == 0 and got[None].base_failed and not got[None].kept and got[None].rule == 1
+
+
+def plain_list(rows, bins, max_rules, max_literals, min_precision, min_share):
+    """Sequential covering over all rows (values by feature, bad, fold), literal by literal, without counts by bin."""
+    names = sorted(quality_rules.FEATURES)
+    cuts = {}
+    for c in names:
+        v = sorted(r[0][c] for r in rows)
+        at = sorted({v[max(0, math.ceil(i / bins * len(v)) - 1)] for i in range(bins + 1)})
+        cuts[c] = [(a + b) / 2 for a, b in zip(at, at[1:])]
+    holds = lambda r, lit: (r[0][lit[0]] > lit[2]) == lit[1]
+    left, rules, all_bad = list(rows), [], sum(r[1] for r in rows)
+    while len(rules) < max_rules:
+        covered, literals = [r for r in left if r[2] < 2], []
+        while len(literals) < max_literals:
+            bad, best = sum(r[1] for r in covered), None
+            if not bad or bad == len(covered):
+                break
+            for c in names:
+                for cut in cuts[c]:
+                    for above in (True, False):
+                        got = [r[1] for r in covered if holds(r, (c, above, cut))]
+                        gain = sum(got) * (math.log2(sum(got) / len(got)) - math.log2(bad / len(covered))) if sum(got) else 0
+                        if gain > 1e-9 and (best is None or gain > best[0]):
+                            best = (gain, (c, above, cut))
+            if best is None:
+                break
+            literals.append(best[1])
+            covered = [r for r in covered if holds(r, best[1])]
+        if not literals:
+            break
+        tried = []
+        for i in range(len(literals)):
+            got = [r[1] for r in left if r[2] == 2 and all(holds(r, x) for x in literals[: i + 1])]
+            tried.append(((2 * sum(got) - len(got)) / max(1, len(got)), -i, sum(got), len(got)))
+        _, i, p, n = max(tried)
+        if p < max(2, min_share * all_bad / 3) or p < min_precision * n:
+            break
+        rules.append(tuple(literals[: 1 - i]))
+        left = [r for r in left if not all(holds(r, x) for x in rules[-1])]
+    return rules
+
+
+def test_learner_equals_plain_sequential_covering(spark):
+    """Bad rows of two kinds, each a conjunction of two statistics: the list has rules of several literals, the plain learner's."""
+    rng = random.Random(12)
+    names, rows = list(quality_rules.FEATURES), []
+    for i in range(1500):
+        v = {c: round(rng.random(), 3) for c in names}
+        bad = (v["symbol_share"] > 0.6 and v["upper_share"] > 0.5) or (v["mark_share"] <= 0.3 and v["words"] > 0.7)
+        rows.append((v, bad, i % 3))
+    table = written(spark.createDataFrame([(*[v[c] for c in names], bad, fold) for v, bad, fold in rows], ", ".join(f"{c} double" for c in names) + ", bad boolean, _fold int"), "learn")
+    got = quality_rules.learn(table, bins=16, max_rules=4)
+    want = plain_list(rows, 16, 4, 3, 0.9, 0.005)
+    assert [tuple((x.feature, x.above, x.threshold) for x in r.literals) for r in got] == want
+    assert len(want) >= 2 and max(map(len, want)) >= 2
+
+
 def test_decision_list(spark, none):
     rng = random.Random(7)
     rows, labels = [], []
@@ -476,6 +539,27 @@ def test_surrogates(spark, none):
     assert surrogates.replace_entities(none, "k").collect() == []
 
 
+def test_surrogates_of_numbers_addresses_and_plain_names(spark):
+    texts = [
+        "Dr. Smith saw John Miller and Prof Anna Weiss; Prof. Dr. Anna Weiss, Ms Miller.", "DE89 3704 0044 0532 0130 00 = DE89370400440532013000", "DE89 3704 0044 0532 0130 01 THAT WORD",
+        "ssn 123-45-6789.", "fe80::1ff:fe23:4567:890a 2001:DB8:0:0:8:800:200C:417A", "+49 30 901820 or +4930901820", "at 12:30:45 std::add 1::", "Johnny Miller of John met no one", "+1 988-555-2485 2024",
+    ]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in surrogates.replace_entities(d, "k").orderBy("doc_id").collect()]
+    m = re.fullmatch(r"Dr\. (\w+) saw (\w+) (\w+) and Prof (\w+) (\w+); Prof\. Dr\. (\w+) (\w+), Ms (\w+)\.", got[0])
+    assert m and not {"Smith", "John", "Miller", "Anna", "Weiss"} & set(m.groups())
+    assert m[3] == m[8] and (m[4], m[5]) == (m[6], m[7]) and m[2] in surrogates.NAMES["m", "latin"] and m[4] in surrogates.NAMES["f", "latin"]
+    spaced, plain = got[1].split(" = ")
+    assert re.fullmatch(r"DE\d\d(?: \d{4}){4} \d\d", spaced) and spaced.replace(" ", "") == plain != texts[1].split(" = ")[1]
+    assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    assert got[2] == texts[2] and got[6] == texts[6] and got[7] == texts[7]
+    assert re.fullmatch(r"ssn \d{3}-\d\d-\d{4}\.", got[3]) and got[3] != texts[3]
+    assert re.fullmatch(r"[a-f]{2}\d\d::\d[a-f]{2}:[a-f]{2}\d\d:\d{4}:\d{3}[a-f] \d{4}:[A-F]{2}\d:\d:\d:\d:\d{3}:\d{3}[A-F]:\d{3}[A-F]", got[4]) and got[4] != texts[4]
+    a, b = got[5].split(" or ")
+    assert re.fullmatch(r"\+49 \d\d \d{6}", a) and a.replace(" ", "") == b and a != texts[5].split(" or ")[0]
+    assert re.fullmatch(r"\+1 \d{3}-\d{3}-\d{4} 2024", got[8])
+
+
 def test_surrogates_stay_distinct(spark):
     texts = [f"Mr A{chr(97 + i // 26)}{chr(97 + i % 26)} Bo" for i in range(120)]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

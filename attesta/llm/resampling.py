@@ -1,19 +1,22 @@
-"""Quality classifier by importance resampling of hashed n-gram generative models.
-
-A text is a set of hashed features: its words (A-Z in lower case), its pairs of neighbouring words,
-and runs of three word shapes (letters, case, digits, marks, and whether a word repeats the one
-before). All models have the raw text's rates for their base: the part of all documents that has a
-feature. The raw model is a mixture of three components: text like the target (labelled good and
-not toxic), low quality, and toxic. With n of a component's labelled documents in a bucket where
-the raw rate lets E be expected, the component's ratio to the base is (n + a) / (E + a) where that
-is beyond chance (`sigmas` deviations) and at least `least`, and 1 elsewhere, so that a feature
-that labels hardly know says nothing. Only features that a text has count. The target model is the
-target component.
-
-A document's importance weight is log p_target(x) - log p_raw(x). Weights perturbed by Gumbel noise, of which the k
-greatest are taken, are a sample without replacement by importance. k is the number of documents
-whose weight reaches a cut, which a fifth of the labelled rows, kept out of the models, set: there
-the share of target rows at or above it exceeds that of the others by most. The k-th greatest value is found by counting in ever finer
+"""Quality classifier by importance resampling: a ratio of hashed n-gram models of target and raw text.
+
+A text is a set of hashed features: its words (A-Z in lower case) and its runs of three word shapes
+(letters, case, digits, marks, and whether a word repeats the one before). The raw model has the
+part of all documents that has a feature, for its rate. The target model is learned from labelled
+target rows (good and not toxic): its rate is the raw one times a ratio whose prior is 1 with
+probability `spike` and else a gamma distribution of mean 1 and shape `shape`. With n target rows in
+a bucket where the raw rate lets E be expected, the ratio is its mean after these counts: 1 where
+they are what chance gives, about (n + shape) / (E + shape) where they are not. So a feature that
+labels hardly know says little, and one that target text should have had, but has not, speaks
+against a text.
+
+A text's weight is log p_target(x) - log p_raw(x) for a passage of PASSAGE features of its kind:
+the mean of its features' log ratios times PASSAGE, so that long and short texts are comparable.
+Weights perturbed by Gumbel noise, of which the k greatest are taken, are a sample without
+replacement by importance. k is the number of documents whose weight reaches a cut, which the
+labelled rows set: there the share of target rows at or above it exceeds that of the others by
+most. Labelled rows fall into five folds, and each is weighed by the target model of the other
+four, so that no weight comes from a row's own label. The k-th greatest value is found by counting in ever finer
 bins, of ids and row numbers where values tie, so that the sort is of few rows.
 
 The raw counts cover every document. The labelled rows are a bounded sample (`max_labelled`, by
@@ -22,8 +25,8 @@ hash of the id); their weights, a number for each at most, come to the driver.
 Cases: null, empty and blank texts have no features and are rejected. Rows with null id are
 unlabelled. Several labels of an id count as toxic if any is, as good if all are; labels with null
 id, or with neither value, are left out. Without labelled target rows, or without others, everything with
-words is kept; if these are missing in the fifth alone, all labelled rows set the cut. Noise is a hash of id and seed: reruns agree. Repeated rows get equal weights. Texts are
-taken whole. An empty table gives an empty result. Other columns are left alone, whatever their
+words is kept. Noise is a hash of id and seed: reruns agree. Repeated rows get equal weights. Texts
+are taken whole. An empty table gives an empty result. Other columns are left alone, whatever their
 names are.
 """
 
@@ -41,9 +44,12 @@ from pyspark.sql.types import IntegralType
 from attesta.llm.tables import fresh, numbered, read, written
 from attesta.llm.words import Hashes, mix
 
-#: Buckets: a quarter for words, half for pairs of words, a quarter for runs of shapes.
+#: Buckets: half for words, half for runs of shapes.
 BUCKETS = 1 << 18
-CLASSES = ("target", "low", "toxic")
+#: Features of the passage that a weight is for, and folds of the labelled rows.
+PASSAGE, FOLDS = 1000, 5
+
+
 class Kinds(dict):
     """Code point -> kind of character: an upper-case letter A, another letter a, a digit 9, itself else."""
 
@@ -72,88 +78,81 @@ class Words(Hashes):
 
 
 def features(text: str | None, known: Words) -> np.ndarray:
-    """Distinct buckets of a text: words, pairs of words (the first with none before it), runs of shapes."""
+    """Distinct buckets of a text: words, and runs of three shapes (the first ones with none before them)."""
     words = text.encode().split() if text else []
     if not words:
         return np.empty(0, np.int64)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    part = np.uint64(BUCKETS // 4)
-    word = mix(h >> np.uint64(24))
-    before = np.concatenate([np.zeros(1, np.uint64), word[:-1]])
+    half = np.uint64(BUCKETS // 2)
     s = h & np.uint64(0xFFFFFF)
     s[1:] += np.where(h[1:] == h[:-1], np.uint64(1 << 30), np.uint64(0))
     s = np.concatenate([np.zeros(2, np.uint64), s])
-    grams = mix(mix(mix(s[:-2]) + s[1:-1]) + s[2:])
-    return np.unique(np.concatenate([word % part, mix(before * np.uint64(3) + word) % (part + part) + part, grams % part + np.uint64(3) * part])).astype(np.int64)
+    runs = mix(mix(mix(s[:-2]) + s[1:-1]) + s[2:])
+    return np.unique(np.concatenate([mix(h >> np.uint64(24)) % half, runs % half + half])).astype(np.int64)
 
 
 def _sums(docs: DataFrame) -> np.ndarray:
-    """For all documents and each class, documents by bucket and, last, documents with any feature; docs: text, and a 0/1 column for each class.
+    """For all documents and for the target ones of each fold, documents by bucket and, last, documents with any feature.
 
-    What comes to the driver is a row for each bucket.
+    docs: text, fold (null for rows that are not labelled target ones). What comes to the driver is a row for each bucket.
     """
-    kinds = ("raw", *CLASSES)
+    names = ["raw", *[f"fold_{k}" for k in range(FOLDS)]]
 
     def run(batches):
-        known, sums = Words(), np.zeros((len(kinds), BUCKETS + 1), np.int64)
+        known, sums = Words(), np.zeros((1 + FOLDS, BUCKETS + 1), np.int64)
         for batch in batches:
-            on = [np.asarray(batch.column(1 + i).to_numpy(zero_copy_only=False), bool) for i in range(len(CLASSES))]
-            for k, text in enumerate(batch.column(0)):
+            for text, fold in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 f = features(text.as_py(), known)
                 if len(f):
                     f = np.append(f, BUCKETS)
                     sums[0][f] += 1
-                    for i, flags in enumerate(on):
-                        if flags[k]:
-                            sums[1 + i][f] += 1
+                    if fold is not None:
+                        sums[1 + fold][f] += 1
         some = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(s[some]) for s in sums]], ["bucket", *kinds])
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(s[some]) for s in sums]], ["bucket", *names])
 
-    out = np.zeros((len(kinds), BUCKETS + 1))
-    got = docs.select("text", *CLASSES).mapInArrow(run, ", ".join(["bucket bigint", *[f"{c} bigint" for c in kinds]]))
-    for r in got.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in kinds]).collect():
-        out[:, r[0]] = r[1:]
+    out = np.zeros((1 + FOLDS, BUCKETS + 1))
+    got = docs.select("text", "fold").mapInArrow(run, ", ".join(f"{c} bigint" for c in ["bucket", *names]))
+    got = got.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    out[:, got["bucket"].to_numpy()] = [got[c].to_numpy() for c in names]
     return out
 
 
 def labelled_sample(labels: DataFrame, max_labelled: int, seed=5) -> DataFrame:
-    """doc_id and one column for each of CLASSES, of about max_labelled ids at most, taken by hash."""
+    """doc_id, target (good and not toxic?) and fold, of about max_labelled ids at most, taken by hash."""
     labels = labels.filter("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     share = min(1.0, max_labelled / max(1, labels.count()))
     few = labels.filter(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 20)) < int(share * (1 << 20)))
     toxic, good = F.coalesce(F.col("toxic") == 1, F.lit(False)), F.coalesce(F.col("quality") == 1, F.lit(False))
-    return few.select("doc_id", (good & ~toxic).alias("target"), (~good & ~toxic).alias("low"), toxic.alias("toxic"))
+    fold = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(FOLDS)).cast("int")
+    return few.select("doc_id", (good & ~toxic).alias("target"), fold.alias("fold"))
 
 
-class Model:
-    """Log ratios of the mixture's components to the raw rates by bucket, and logs of their shares.
+def ratio(n: np.ndarray, expected: np.ndarray, spike: float, shape: float) -> np.ndarray:
+    """log of the mean, after n were counted where `expected` were, of a ratio that is 1 with probability spike, else gamma."""
+    rising = np.concatenate([[0.0], np.cumsum(np.log(shape + np.arange(int(n.max(initial=0)))))])
+    # log likelihoods of n, without the terms that they share
+    gamma = rising[n.astype(np.intp)] + shape * np.log(shape / (shape + expected)) - n * np.log(shape + expected)
+    is_one = 1 / (1 + (1 - spike) / spike * np.exp(np.minimum(gamma + expected, 700)))
+    return np.log(is_one + (1 - is_one) * (n + shape) / (expected + shape))
 
-    raw, by_class: documents by bucket, of the corpus and of each class; rows, n_docs: documents of each class, and of the corpus.
-    A feature of no labelled row has the base's rate in every component.
-    """
 
-    def __init__(self, raw: np.ndarray, by_class: np.ndarray, rows, n_docs: float | None = None, a: float = 0.3, sigmas: float = 5.0, least: float = 3.0):
-        rows = np.asarray(rows, np.float64)
-        n_docs = n_docs or max(1.0, rows.sum() * raw.sum() / max(1.0, by_class.sum()))
-        seen = by_class.sum(axis=0) > 0
-        ratios = []
-        for n, of_class in zip(by_class, rows):
-            expected = of_class * raw / n_docs
-            r = np.log((n + a) / (expected + a))
-            ratios.append(np.where((np.abs(n - expected) > sigmas * np.sqrt(expected + 1)) & (np.abs(r) > np.log(least)) & seen, r, 0.0))
-        self.ratios = np.stack(ratios).astype(np.float32)
-        shares = rows + 0.5
-        self.logs = np.log(shares / shares.sum())
+class Model:
+    """Log ratios of target models' rates to the raw model's, by bucket: of all folds' rows, and of all but one fold's.
 
-    def weight(self, f: np.ndarray) -> float:
-        """log p_target - log p_raw."""
-        parts = self.ratios[:, f].sum(axis=1, dtype=np.float64)
-        return float(parts[0] - np.logaddexp.reduce(self.logs + parts))
+    raw, folds: documents by bucket, of the corpus and of the labelled target rows of each fold; n_raw, n_folds: their numbers.
+    """
 
+    def __init__(self, raw: np.ndarray, folds: np.ndarray, n_raw: float, n_folds: np.ndarray, spike: float = 0.9, shape: float = 1.0):
+        rates = raw / max(1.0, n_raw)
+        of = lambda n, rows: ratio(n, rates * rows, spike, shape).astype(np.float32)
+        n, rows = folds.sum(axis=0), n_folds.sum()
+        self.ratios, self.without = of(n, rows), [of(n - folds[k], rows - n_folds[k]) for k in range(len(folds))]
 
-def with_held(few: DataFrame, seed=11) -> DataFrame:
-    """few (doc_id, ...) with held: is the row, one of five by hash, kept out of the models?"""
-    return few.withColumn("held", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(5)) == 0)
+    def weight(self, f: np.ndarray, fold: int | None = None) -> float:
+        """log p_target - log p_raw of a passage of a text with features f, which is not learned from if it is of a fold."""
+        ratios = self.ratios if fold is None else self.without[fold]
+        return float(ratios[f].mean(dtype=np.float64) * PASSAGE)
 
 
 def cut_of(weights: np.ndarray, target: np.ndarray) -> float:
@@ -166,34 +165,32 @@ def cut_of(weights: np.ndarray, target: np.ndarray) -> float:
 
 
 def _cut(scored: DataFrame, few: DataFrame) -> float:
-    """cut_of the held rows of few, or of all its rows, by their weights in scored (id, weight)."""
+    """cut_of the rows of few by their weights in scored (id, weight)."""
     # few has at most max_labelled ids; of rows with one id the least weight counts
-    got = scored.filter("words").join(F.broadcast(few.withColumnRenamed("doc_id", "id")), "id").groupBy("id").agg(F.min("weight").alias("weight"), F.first("target").alias("target"), F.first("held").alias("held")).toPandas()
-    weights, target, held = got["weight"].to_numpy(float), got["target"].to_numpy(bool), got["held"].to_numpy(bool)
-    if not target[held].any() or target[held].all():
-        held = np.ones(len(got), bool)
-    return cut_of(weights[held], target[held])
+    got = scored.filter("words").join(F.broadcast(few.withColumnRenamed("doc_id", "id")), "id").groupBy("id").agg(F.min("weight").alias("weight"), F.first("target").alias("target")).toPandas()
+    return cut_of(got["weight"].to_numpy(float), got["target"].to_numpy(bool))
 
 
 def fit(docs: DataFrame, few: DataFrame) -> Model:
-    """docs: doc_id, text; few: doc_id and a column for each of CLASSES."""
-    # at most max_labelled rows of an id and three flags
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id", "left").select("text", *[F.coalesce(c, F.lit(False)).alias(c) for c in CLASSES])
-    sums = _sums(rows)
-    return Model(sums[0, :-1], sums[1:, :-1], sums[1:, -1], sums[0, -1])
+    """docs: doc_id, text; few: doc_id, target, fold."""
+    # at most max_labelled rows of an id and a number
+    learned = few.filter("target").select("doc_id", "fold")
+    sums = _sums(docs.select("doc_id", "text").join(F.broadcast(learned), "doc_id", "left").select("text", "fold"))
+    return Model(sums[0, :-1], sums[1:, :-1], sums[0, -1], sums[1:, -1])
 
 
 def weigh(docs: DataFrame, model: Model) -> DataFrame:
-    """row, id, words (has it any?), weight of docs (row, id, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # two numbers for each bucket
+    """row, id, words (has it any?), weight of docs (row, id, text, fold)."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # FOLDS + 1 numbers for each bucket
 
     def run(batches):
         known = Words()
         for batch in batches:
             f = [features(t.as_py(), known) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) > 0 for x in f]), pa.array([sent.value.weight(x) if len(x) else None for x in f], pa.float64())], ["row", "id", "words", "weight"])
+            weights = [sent.value.weight(x, fold) if len(x) else None for x, fold in zip(f, batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) > 0 for x in f]), pa.array(weights, pa.float64())], ["row", "id", "words", "weight"])
 
-    docs = docs.select("row", "id", "text")
+    docs = docs.select("row", "id", "text", "fold")
     return docs.mapInArrow(run, f"row bigint, id {docs.schema['id'].dataType.simpleString()}, words boolean, weight double")
 
 
@@ -227,9 +224,10 @@ def top_k(scored: DataFrame, k: int, bins: int = 1024, few: int = 1000) -> DataF
 def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, seed=7, row_col=None) -> DataFrame:
     """row, id, weight, kept of docs (doc_id, text)."""
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    few = with_held(labelled_sample(labels, max_labelled))
-    model = fit(docs, few.filter("not held").drop("held"))
-    rows = docs.select(row.alias("row"), F.col("doc_id").alias("id"), "text")
+    few = labelled_sample(labels, max_labelled)
+    model = fit(docs, few)
+    # at most max_labelled rows of an id and a number
+    rows = docs.select(row.alias("row"), F.col("doc_id").alias("id"), "text").join(F.broadcast(few.select(F.col("doc_id").alias("id"), "fold")), "id", "left")
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id")), 12) + 0.5) / float(1 << 52)
     scored = written(weigh(rows, model).withColumn("value", F.col("weight") - F.log(-F.log(u))), "weights")
     some = scored.filter("words")

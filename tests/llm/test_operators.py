@@ -652,15 +652,49 @@ def test_mix_does_not_follow_the_splits(spark, splits, tmp_path):
     assert seen[0] == seen[1]
 
 
-def test_unlabelled_vocabulary_says_nothing():
-    rng = np.random.default_rng(2)
-    half = resampling.BUCKETS // 2
-    by_class = np.zeros((3, resampling.BUCKETS))
-    for c, n in enumerate((400_000, 60_000, 50_000)):
-        np.add.at(by_class[c], rng.integers(0, half, n), 1)
-    raw = by_class.sum(axis=0) * 5
-    raw[half:] = 40
-    m = resampling.Model(raw, by_class, [800, 120, 80])
-    assert (m.ratios[:, half:] == 0).all() and (m.ratios[:, :half] != 0).any()
-    assert m.weight(rng.integers(half, resampling.BUCKETS, 5000)) == pytest.approx(0)
-    assert np.isfinite(resampling.Model(raw * 0, by_class * 0, [0, 0, 0]).ratios).all()
+def test_resampling_weights_by_plain_counts(spark):
+    rng = random.Random(12)
+    vocabulary = [random.Random(i).choice(["ba", "Ko", "li!", "9x", "Zu-u", "Élan"]) + "abcdefghij"[i % 10] * (i % 4) for i in range(60)]
+    rows = [(i, " ".join(rng.choice(vocabulary[: 20 + i % 41]) for _ in range(rng.randint(0, 60)))) for i in range(400)] + [(None, "ba ba Ko"), (3, "ba  9x\tba"), (500, None), (501, "one " * 5000)]
+    labels = [(i, [1, 0, None][i % 3], [0, None, 0, 1][i % 4]) for i in range(0, 350)] + [(1, 0, 0), (2, 1, 1), (None, 1, 0), (7, None, None)]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    few = resampling.labelled_sample(labels, 20_000).collect()
+    by_id = collections.defaultdict(list)
+    for r in labels.filter("doc_id is not null and (quality is not null or toxic is not null)").collect():
+        by_id[r.doc_id].append(r)
+    good = {i for i, of in by_id.items() if all(r.toxic != 1 for r in of) and min((r.quality for r in of if r.quality is not None), default=0) == 1}
+    assert {r.doc_id for r in few} == set(by_id) and {r.doc_id for r in few if r.target} == good
+
+    def plain(text):
+        words = (text or "").split()
+        kinds = [re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isnumeric() else c for c in w)) for w in words]
+        marked = ["", "", *[(k, i > 0 and words[i].lower() == words[i - 1].lower() and k == kinds[i - 1]) for i, k in enumerate(kinds)]]
+        lower = ["".join(c.lower() if c < "\x80" else c for c in w) for w in words]
+        return {("word", w) for w in lower} | {("run", *marked[i : i + 3]) for i in range(len(words))}
+
+    def mean_ratio(n, e):
+        one = 0.9 * math.exp(-e) * e**n
+        other = 0.1 * math.factorial(n) / (1 + e) ** (n + 1) * e**n  # a gamma of shape 1 makes the count geometric
+        return math.log((one + other * (n + 1) / (e + 1)) / (one + other))
+
+    sets, folds = [plain(t) for _, t in rows], {r.doc_id: r.fold for r in few}
+    raw, n_raw, want = collections.Counter(f for s in sets for f in s), sum(map(bool, sets)), collections.Counter()
+    for fold in (None, *range(5)):
+        learned = [s for (i, _), s in zip(rows, sets) if s and i in good and folds[i] != fold]
+        target = collections.Counter(f for s in learned for f in s)
+        for (i, _), s in zip(rows, sets):
+            if folds.get(i) == fold:
+                logs = [mean_ratio(target[f], raw[f] * len(learned) / n_raw) for f in s]
+                want[i, round(1000 * sum(logs) / len(logs), 2) if logs else None] += 1
+    got = resampling.classify(docs, labels).collect()
+    assert collections.Counter((r.id, None if r.weight is None else round(r.weight, 2)) for r in got) == want
+    assert all(r.weight is not None for r in got if r.kept)
+
+
+def test_resampling_without_labels_or_others(spark):
+    docs = written(spark.createDataFrame([(1, "a b"), (2, None), (2, "c")], "doc_id long, text string"), "docs")
+    for labels in ([], [(1, 1, 0)], [(1, 0, 0), (2, None, 1)]):
+        got = resampling.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+        assert sorted((r.id, r.kept) for r in got) == [(1, True), (2, False), (2, True)]
+    assert (resampling.Model(np.zeros(4), np.zeros((5, 4)), 0, np.zeros(5)).ratios == 0).all()

@@ -193,6 +193,79 @@ def test_media_shots_and_slow_frames():
     assert (np.cumsum(h.slow(frames[0][len(h.text) : -2])) + 128 == dark[0]).all()
 
 
+def _written_by_java(spark, image: np.ndarray, quality: float) -> tuple[bytes, np.ndarray]:
+    """image (rows, columns, 1 or 3 planes) as a JPEG of Java's writer, and its samples as Java's reader decodes them."""
+    jvm = spark._jvm
+    height, width, n = image.shape
+    held = jvm.java.awt.image.BufferedImage(width, height, 10 if n == 1 else 1)
+    for y in range(height):
+        for x in range(width):
+            if n == 1:
+                held.getRaster().setSample(x, y, 0, int(image[y, x, 0]))
+            else:
+                held.setRGB(x, y, int(image[y, x, 0]) << 16 | int(image[y, x, 1]) << 8 | int(image[y, x, 2]))
+    out = jvm.java.io.ByteArrayOutputStream()
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    how = writer.getDefaultWriteParam()
+    how.setCompressionMode(2)
+    how.setCompressionQuality(quality)
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(held, None, None), how)
+    stream.flush()
+    data = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data)))
+    read = [[[back.getRaster().getSample(x, y, b) for b in range(n)] for x in range(width)] for y in range(height)]
+    return data, np.array(read)
+
+
+def _without_tables(jpeg: bytes) -> bytes:
+    """jpeg without its code tables, which are the standard ones."""
+    at, out = 2, jpeg[:2]
+    while jpeg[at + 1] != 0xDA:
+        end = at + 2 + int.from_bytes(jpeg[at + 2 : at + 4], "big")
+        out, at = out + (b"" if jpeg[at + 1] == 0xC4 else jpeg[at:end]), end
+    return out + jpeg[at:]
+
+
+def test_media_frames_of_another_writer(spark):
+    y, x = np.mgrid[0:37, 0:45]
+    gray = (128 + 90 * np.sin(x / 5.0) * np.cos(y / 7.0)).astype(np.uint8)[:, :, None]
+    data, want = _written_by_java(spark, gray, 0.9)
+    for jpeg in (data, _without_tables(data)):
+        (plane,) = media.decode_jpeg(jpeg)
+        assert plane.shape == (37, 45) and np.abs(plane - want[:, :, 0]).max() <= 2
+    colour = np.stack([x * 5, y * 6, 255 - x * 3], axis=2).astype(np.uint8)
+    data, want = _written_by_java(spark, colour, 0.95)
+    luma, blue, red = (p.astype(float) for p in media.decode_jpeg(data))
+    assert np.abs(luma - want @ [0.299, 0.587, 0.114]).max() <= 4
+    assert np.abs(luma + 1.402 * (red - 128) - want[:, :, 0]).mean() <= 6 and np.abs(luma + 1.772 * (blue - 128) - want[:, :, 2]).mean() <= 6
+
+    dark, light = (_written_by_java(spark, (colour // 4 + add).astype(np.uint8), 0.8)[0] for add in (0, 190))
+    film = media.write_avi([dark] * 12 + [b""] + [light] * 9)
+    cut = film[: len(film) // 2]
+    progressive = dark.replace(b"\xff\xc0", b"\xff\xc2", 1)
+    files = [(1, film, "a"), (2, None, "b"), (3, b"", "c"), (4, b"RIFF....AVI ", None), (5, cut, "e"), (6, media.write_avi([progressive]), "f"), (7, media.write_avi([dark[:300]]), "g"), (8, media.write_avi([]), "h"), (9, film, "a")]
+    got = {r.id: r for r in media.clips(spark.createDataFrame(files, "id long, media binary, other string").withColumn("Shots", F.lit(1))).collect()}
+    assert [(s.start_s, s.end_s, s.frames) for s in got[1].shots] == [(0, 13 / 25, 13), (13 / 25, 22 / 25, 9)]
+    assert got[9].shots == got[1].shots and len(got[1].payload) == 22 * 37 * 45 and got[1].error is None and got[1].other == "a"
+    assert all(got[k].error and got[k].payload is None and got[k].shots is None for k in (2, 3, 4, 5, 6, 7))
+    assert got[8].shots == [] and got[8].payload == b"" and got[8].error is None
+
+
+def test_media_restarts():
+    """Two blocks to a restart, of a frame whose blocks are constant: differences start anew."""
+    codes = {0: "0000", 4: "0100"}
+    bits = ["".join(codes[4] + d + "0" for d in ("1000", "1000")), codes[4] + "0111" + "0" + codes[0] + "0"]
+    scans = [int((b + "1" * (-len(b) % 8)), 2).to_bytes((len(b) + 7) // 8, "big") for b in bits]
+    head = media.HEAD.replace(media._segment(0xC0, bytes([8, 0, 192, 0, 192, 1, 1, 0x11, 0])), media._segment(0xC0, bytes([8, 0, 8, 0, 32, 1, 1, 0x11, 0])) + media._segment(0xDD, bytes([0, 2])))
+    jpeg = head + scans[0] + b"\xff\xd0" + scans[1] + media.EOI
+    (image,) = media.decode_frames([jpeg], {})
+    assert image.reshape(8, 32)[0, ::8].tolist() == [136, 144, 120, 120]
+    (wrong,) = media.decode_frames([head + scans[0] + media.EOI], {})
+    assert isinstance(wrong, ValueError)
+
+
 # 4
 def test_mixing(spark, docs, rows, none):
     got = mixing.mix(docs, block_words=16).rows.collect()

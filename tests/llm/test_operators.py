@@ -253,6 +253,30 @@ def test_media_frames_of_another_writer(spark):
     assert got[8].shots == [] and got[8].payload == b"" and got[8].error is None
 
 
+def test_media_shots_by_plain_differences():
+    rng = np.random.default_rng(8)
+    files = []
+    for n in (1, 2, 40, 3, 90):
+        level, of = 60, []
+        for _ in range(n):
+            level = int(rng.integers(0, 200)) if rng.random() < 0.1 else level
+            of.append(np.clip(rng.normal(level, 25, 576), 0, 255).astype(np.uint8))
+        files.append(of)
+    want = []
+    for of in files:
+        hists = [[sum(1 for v in image.tolist() if v // 16 == b) / 576 for b in range(16)] for image in of]
+        diff = [0.0, *(sum(abs(v - w) for v, w in zip(h, before)) / 2 for before, h in zip(hists, hists[1:]))]
+        first = [0]
+        for i in range(1, len(of)):
+            around = [diff[j] for j in range(max(1, i - 8), min(len(of), i + 9)) if j != i] or [0.0]
+            mean = sum(around) / len(around)
+            if diff[i] > max(0.05, mean + 2.5 * math.sqrt(sum((v - mean) ** 2 for v in around) / len(around))):
+                first.append(i)
+        want.append(first)
+    assert media.shots([i for of in files for i in of], np.array([len(of) for of in files])) == want
+    assert sum(map(len, want)) > 10
+
+
 def test_media_restarts():
     """Two blocks to a restart, of a frame whose blocks are constant: differences start anew."""
     codes = {0: "0000", 4: "0100"}

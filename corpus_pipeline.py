@@ -77,7 +77,7 @@ STAGES = [
     ("byte-level BPE", encode),
 ]
 
-#: The classifier and the tokenizer are not SQL; tests compare run() with a plain version.
+#: The classifier and the tokenizer are not SQL; tests compare stages with plain versions, and run() with the stages.
 ORACLE_SQL = None
 
 

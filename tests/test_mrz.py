@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +85,43 @@ def test_build_round_trip(spark):
     built = mrz.with_built_lines(df, *[F.col(c) for c in "nbseiag"])
     r = mrz.parsed(built, AS_OF).first()
     assert r.mrz_checks_ok and (r.mrz_nuip, r.mrz_surnames, r.mrz_given_names, r.mrz_birth_date) == ("1234567", "DE LA CRUZ", "ANA", dt.date(1990, 2, 3))
+
+
+def plain_repair(lines):
+    """The search as it is told: one character, by line, place and CONFUSIONS, until all four digits close."""
+    value = {c: i for i, c in enumerate(mrz.DIGITS)} | {"<": 0}
+    spans = (((0, 5, 14),), ((1, 0, 6),), ((1, 8, 14),), ((0, 5, 30), (1, 0, 7), (1, 8, 15), (1, 18, 29)))
+
+    def closes(x):
+        return all(str(sum(value[c] * mrz.WEIGHTS[i % 3] for i, c in enumerate("".join(x[k][a:b] for k, a, b in s))) % 10) == x[k][p] for s, (k, p) in zip(spans, ((0, 14), (1, 6), (1, 14), (1, 29)), strict=True))
+
+    if closes(lines):
+        return None
+    for k in range(2):
+        for i, c in enumerate(lines[k]):
+            for wrong, right in mrz.CONFUSIONS:
+                tried = list(lines)
+                tried[k] = lines[k][:i] + right + lines[k][i + 1 :]
+                if c == wrong and closes(tried):
+                    return "".join(tried)
+    return None
+
+
+def test_repairs_of_a_batch():
+    """All rows of a batch at once, as the plain search repairs each of them."""
+    rng, rows = random.Random(5), []
+    for _ in range(400):
+        lines = list("I<UTOD231458907<<<<<<<<<<<<<<<" + "7408122F1204159UTO<<<<<<<<<<<6")
+        for _ in range(rng.choice((0, 1, 1, 2))):
+            lines[rng.randrange(60)] = rng.choice("OQDISBZG01582654<")
+        rows.append("".join(lines))
+    codes = np.array([list(r.encode()) for r in rows], dtype=np.uint8)
+    changed = mrz.single_repairs(codes)
+    got = [bytes(c).decode() if x else None for c, x in zip(codes, changed, strict=True)]
+    want = [plain_repair([r[:30], r[30:]]) for r in rows]
+    assert got == want and sum(w is not None for w in want) > 20
+
+
+def test_empty_batches_and_unread_rows(spark):
+    df = spark.createDataFrame([("short",), (None,)], "mrz_text string").repartition(4)
+    assert [(r.upper, r.repaired) for r in mrz.read_zone(df).collect()] == [(None, False)] * 2

@@ -1,12 +1,12 @@
 """Fields of a card's front from the words' boxes: rows, printed labels, values below them, rescue by order.
 
-words: capture_id, word_id, text, conf, left, top, width, height. All steps group by capture_id, so
-one exchange on it serves them; a capture has some hundred words at most.
+words: capture_id, word_id, text, conf, left, top, width, height. A capture has some hundred words at most;
+they stand in its row as an array, and every step is made in that row: no exchange, join or window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.text import label_key
@@ -32,82 +32,95 @@ def clean_words(words: DataFrame) -> DataFrame:
     return words.withColumn("text", F.trim("text")).filter((F.col("text") != "") & (F.col("conf") >= 0)).withColumn("middle", (F.col("top") + F.floor(F.col("height") / 2)).cast("int")).withColumn("right", F.col("left") + F.col("width"))
 
 
-def with_rows(words: DataFrame) -> DataFrame:
-    """words with row (numbered from the top) and row_middle (the upper median of the row's middles).
+WORD = ("word_id", "text", "conf", "left", "top", "width", "height")
+
+
+def _mean(conf: Column) -> Column:
+    return F.round(F.aggregate(conf, F.lit(0.0), lambda a, x: a + x) / F.size(conf) / 100, 6)
+
+
+def with_lines(captures: DataFrame) -> DataFrame:
+    """captures (words: array of WORD) with _lines: array of (row, row_middle, text, confidence, words, keys, label_text), from the top; a line's words from the left.
 
     A word joins the row whose first word's middle is within the tolerance. Words come sorted by
-    middle, so only the last row can take one: a fold over the capture's sorted words.
+    middle, so only the last row can take one: a fold over the capture's sorted words finds where rows
+    start. row_middle is the upper median of the row's middles.
     """
-    fields = ["middle", "left", "word_id", "text", "conf", "top", "width", "height", "right"]
-    grouped = words.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("w"))
-    start = F.struct(F.lit(None).cast("int").alias("anchor"), F.lit(-1).alias("row"), F.array().cast("array<int>").alias("rows"))
+    middle = lambda w: (w["top"] + F.floor(w["height"] / 2)).cast("int")
+    word = lambda w: F.struct(middle(w).alias("middle"), w["left"].alias("left"), w["word_id"].alias("word_id"), F.trim(w["text"]).alias("text"), w["conf"].cast("double").alias("conf"), (w["left"] + w["width"]).alias("right"), (w["top"] + w["height"]).alias("bottom"))
+    df = captures.withColumn("_words", F.array_sort(F.transform(F.filter("words", lambda w: (F.trim(w["text"]) != "") & (w["conf"] >= 0)), word)))
+    start = F.struct(F.lit(None).cast("int").alias("anchor"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc, w):
         new = acc["anchor"].isNull() | (w["middle"] - acc["anchor"] > ROW_TOLERANCE)
-        row = acc["row"] + new.cast("int")
-        return F.struct(F.when(new, w["middle"]).otherwise(acc["anchor"]).alias("anchor"), row.alias("row"), F.concat(acc["rows"], F.array(row)).alias("rows"))
-
-    folded = grouped.withColumn("rows", F.aggregate("w", start, step, lambda acc: acc["rows"]))
-    out = folded.select(KEY, F.inline(F.arrays_zip("w", "rows"))).select(KEY, "w.*", F.col("rows").alias("row"))
-    return out.withColumn("_m", F.sort_array(F.collect_list("middle").over(Window.partitionBy(KEY, "row")))).withColumn("row_middle", F.element_at("_m", (F.floor(F.size("_m") / 2) + 1).cast("int"))).drop("_m")
-
-
-def find_labels(rows: DataFrame, page_width: int) -> DataFrame:
-    """KEY, name, row, left, label_right, bottom, limit, ids of the first place of each printed label."""
-    w = Window.partitionBy(KEY, "row").orderBy("left", "word_id")
-    df = rows.withColumn("n", label_key(F.col("text"))).withColumn("place", F.row_number().over(w))
-    ahead = lambda c, i: F.lead(c, i).over(w) if i else F.col(c)
-    df = df.select("*", *[ahead("n", i).alias(f"n{i}") for i in range(5)], *[ahead("right", i).alias(f"r{i}") for i in range(5)], *[(ahead("top", i) + ahead("height", i)).alias(f"b{i}") for i in range(5)], *[ahead("word_id", i).alias(f"i{i}") for i in range(5)], F.collect_list("left").over(Window.partitionBy(KEY, "row")).alias("lefts"))
-    hits = []
-    for label, name in LABELS:
-        k = len(label.split())
-        same = F.concat_ws(" ", *[F.col(f"n{i}") for i in range(k)]) == label
-        bottom = F.greatest(*[F.col(f"b{i}") for i in range(k)]) if k > 1 else F.col("b0")
-        hits.append(F.when(same & F.col(f"n{k - 1}").isNotNull(), F.struct(F.lit(name).alias("name"), F.col(f"r{k - 1}").alias("label_right"), bottom.alias("bottom"), F.array(*[F.col(f"i{i}") for i in range(k)]).alias("ids"))))
-    found = df.select(KEY, "row", "place", "left", "lefts", F.inline(F.array_compact(F.array(*hits))))
-    first = found.groupBy(KEY, "name").agg(F.min_by(F.struct("row", "left", "lefts", "label_right", "bottom", "ids"), F.struct("row", "place")).alias("f")).select(KEY, "name", "f.*")
-    after = F.array_min(F.filter("lefts", lambda x: x > F.col("label_right") + 20))
-    return first.withColumn("limit", F.coalesce(after - 10, F.lit(page_width))).drop("lefts")
-
-
-def _field(group: DataFrame, *keys: str) -> DataFrame:
-    words = F.array_sort(F.collect_list(F.struct("w_left", "word_id", "text")))
-    return group.groupBy(*keys).agg(F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("value"), F.round(F.avg("conf") / 100, 6).alias("confidence"))
-
-
-def labelled_fields(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """KEY, field, value, confidence, source: a range join within the capture, then the nearest row with a word."""
-    w = rows.select(KEY, F.col("row").alias("w_row"), "row_middle", "word_id", "text", "conf", F.col("left").alias("w_left"), F.col("right").alias("w_right"))
-    both = labels.join(w, KEY)
-    below = both.filter((F.col("name") != "nuip") & (F.col("w_row") != F.col("row")) & (F.col("row_middle") > F.col("bottom")) & (F.col("row_middle") < F.col("bottom") + VALUE_GAP) & (F.col("w_left") >= F.col("left") - 15) & (F.col("w_right") <= F.col("limit") + 15) & ~F.array_contains("ids", F.col("word_id")))
-    below = below.withColumn("nearest", F.min(F.struct("row_middle", "w_row")).over(Window.partitionBy(KEY, "name"))).filter(F.col("w_row") == F.col("nearest.w_row"))
-    beside = both.filter((F.col("name") == "nuip") & (F.col("w_row") == F.col("row")) & (F.col("w_left") > F.col("label_right"))).withColumn("nearest", F.struct("row_middle", "w_row"))
-    return _field(below.unionByName(beside), KEY, "name").select(KEY, F.col("name").alias("field"), "value", "confidence", F.lit("label").alias("source"))
-
-
-def rescued_fields(rows: DataFrame, have: DataFrame) -> DataFrame:
-    """Fields by vertical order, for the gaps alone: the n-th dated row is the n-th date even if that was found."""
-    r = _field(rows.withColumn("w_left", F.col("left")), KEY, "row", "row_middle").withColumnRenamed("value", "text")
-    capital = rows.groupBy(KEY, "row").agg(F.every(F.col("text").rlike(r"^\p{Lu}+$")).alias("capital"))
-    r = r.join(capital, [KEY, "row"]).withColumn("dated", F.col("text").rlike(DATED)).withColumn("nuip", F.nullif(F.regexp_extract("text", NUIP, 0), F.lit("")))
-    order = Window.partitionBy(KEY).orderBy("row_middle", "row")
-    of_kind = lambda on: F.sum(on.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    r = r.withColumn("nth_date", of_kind(F.col("dated"))).withColumn("nth_nuip", of_kind(F.col("nuip").isNotNull()))
-    r = r.withColumn("height", F.min(F.when((F.col("nth_nuip") == 1) & F.col("nuip").isNotNull(), F.col("row_middle"))).over(Window.partitionBy(KEY)))
-    r = r.withColumn("below", F.col("capital") & (F.col("row_middle") > F.col("height"))).withColumn("nth_name", of_kind(F.coalesce("below", F.lit(False))))
-    pick = lambda on, name, value: F.when(on, F.struct(F.lit(name).alias("field"), value.alias("value")))
-    items = [pick(F.col("dated") & (F.col("nth_date") == i + 1), name, F.col("text")) for i, name in enumerate(DATES)]
-    items += [pick(F.col("nuip").isNotNull() & (F.col("nth_nuip") == 1), "nuip", F.col("nuip"))]
-    items += [pick(F.col("below") & (F.col("nth_name") == i + 1), name, F.col("text")) for i, name in enumerate(("surnames", "given_names"))]
-    out = r.select(KEY, "confidence", F.inline(F.array_compact(F.array(*items)))).select(KEY, "field", "value", "confidence", F.lit("order").alias("source"))
-    return out.join(have.select(KEY, "field"), [KEY, "field"], "left_anti")
+        return F.struct(F.when(new, w["middle"]).otherwise(acc["anchor"]).alias("anchor"), (acc["at"] + 1).alias("at"), F.when(new, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"]).alias("starts"))
+
+    df = df.withColumn("_starts", F.aggregate("_words", start, step, lambda acc: acc["starts"]))
+    df = df.withColumn("_rows", F.transform("_starts", lambda s, i: F.slice("_words", s + 1, F.coalesce(F.get("_starts", i + 1), F.size("_words")) - s)))
+    # columns of their own, as each is read more than once
+    placed = lambda w: F.struct(w["left"].alias("left"), w["word_id"].alias("word_id"), w["text"].alias("text"), w["conf"].alias("conf"), w["right"].alias("right"), w["bottom"].alias("bottom"), label_key(w["text"]).alias("key"))
+    df = df.withColumn("_rows", F.transform("_rows", lambda r: F.struct(F.get(r, F.floor(F.size(r) / 2).cast("int"))["middle"].alias("row_middle"), F.array_sort(F.transform(r, placed)).alias("words"))))
+    line = lambda r, i: F.struct(i.alias("row"), r["row_middle"].alias("row_middle"), F.array_join(r["words"]["text"], " ").alias("text"), _mean(r["words"]["conf"]).alias("confidence"), r["words"].alias("words"), r["words"]["key"].alias("keys"), F.array_join(r["words"]["key"], " ").alias("label_text"))
+    return df.withColumn("_lines", F.transform("_rows", line)).drop("_words", "_starts", "_rows")
+
+
+def with_labels(df: DataFrame, page_width: int) -> DataFrame:
+    """with_lines() with _labels: (name, row, left, label_right, bottom, ids, limit) of the first place of each printed label."""
+    printed = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(name).alias("name"), F.lit(len(label.split())).alias("k")) for label, name in LABELS])
+
+    def first(of):
+        runs = lambda line: F.transform(line["keys"], lambda x, i: F.when(i + of["k"] <= F.size(line["keys"]), F.array_join(F.slice(line["keys"], i + 1, of["k"]), " ")))
+        # a line that holds the label holds its text
+        near = F.filter("_lines", lambda line: line["label_text"].contains(of["label"]))
+        at = F.transform(near, lambda line: F.struct(line["row"].alias("row"), F.array_position(runs(line), of["label"]).cast("int").alias("place")))
+        return F.get(F.filter(at, lambda x: x["place"] > 0), F.lit(0))
+
+    df = df.withColumn("_labels", F.filter(F.transform(printed, lambda of: F.struct(of["name"].alias("name"), of["k"].alias("k"), first(of).alias("at"))), lambda x: x["at"].isNotNull()))
+    words = lambda x: F.get("_lines", x["at"]["row"])["words"]
+    df = df.withColumn("_labels", F.transform("_labels", lambda x: F.struct(x["name"].alias("name"), x["at"]["row"].alias("row"), F.slice(words(x), x["at"]["place"], x["k"]).alias("own"), words(x)["left"].alias("lefts"))))
+    right = lambda x: F.element_at(x["own"], -1)["right"]
+    found = lambda x: F.struct(x["name"].alias("name"), x["row"].alias("row"), F.get(x["own"], F.lit(0))["left"].alias("left"), right(x).alias("label_right"), F.array_max(x["own"]["bottom"]).alias("bottom"), x["own"]["word_id"].alias("ids"), F.coalesce(F.array_min(F.filter(x["lefts"], lambda a: a > right(x) + 20)) - 10, F.lit(page_width)).alias("limit"))
+    return df.withColumn("_labels", F.transform("_labels", found))
+
+
+def _labelled(x) -> Column:
+    """Words of a label's value: beside it for the number, else of the nearest row below with a word in its column."""
+    beside = F.filter(F.get("_lines", x["row"])["words"], lambda w: w["left"] > x["label_right"])
+    rows = F.filter("_lines", lambda r: (r["row"] != x["row"]) & (r["row_middle"] > x["bottom"]) & (r["row_middle"] < x["bottom"] + VALUE_GAP))
+    below = F.transform(rows, lambda r: F.filter(r["words"], lambda w: (w["left"] >= x["left"] - 15) & (w["right"] <= x["limit"] + 15) & ~F.array_contains(x["ids"], w["word_id"])))
+    return F.when(x["name"] == "nuip", beside).otherwise(F.get(F.filter(below, lambda ws: F.size(ws) > 0), F.lit(0)))
+
+
+def _rescued() -> list[Column]:
+    """Fields by vertical order: the n-th dated row is the n-th date even if that was found by its label."""
+    item = lambda row, name, value: F.when(row.isNotNull(), F.struct(F.lit(name).alias("field"), value.alias("value"), row["confidence"].alias("confidence"), F.lit("order").alias("source")))
+    number = F.col("_number")
+    items = [item(row, name, row["text"]) for name, row in ((name, F.get("_dated", F.lit(i))) for i, name in enumerate(DATES))]
+    items.append(item(number, "nuip", F.regexp_extract(number["text"], NUIP, 0)))
+    return items + [item(row, name, row["text"]) for name, row in ((name, F.get("_capital", F.lit(i))) for i, name in enumerate(("surnames", "given_names")))]
+
+
+def read_sets(captures: DataFrame, page_width: int = 1012) -> DataFrame:
+    """captures (words: array of WORD; the other columns stay) with fields, an array of (field, value, confidence, source), instead of words."""
+    df = with_labels(with_lines(captures), page_width)
+    df = df.withColumn("_have", F.transform("_labels", lambda x: F.struct(x["name"].alias("field"), _labelled(x).alias("words"))))
+    value = lambda x: F.struct(x["field"].alias("field"), F.array_join(x["words"]["text"], " ").alias("value"), _mean(x["words"]["conf"]).alias("confidence"), F.lit("label").alias("source"))
+    df = df.withColumn("_have", F.transform(F.filter("_have", lambda x: F.size(x["words"]) > 0), value))
+    df = df.withColumns({"_dated": F.filter("_lines", lambda r: r["text"].rlike(DATED)), "_number": F.get(F.filter("_lines", lambda r: r["text"].rlike(NUIP)), F.lit(0))})
+    df = df.withColumn("_capital", F.filter("_lines", lambda r: (r["row_middle"] > F.col("_number")["row_middle"]) & F.forall(r["words"], lambda w: w["text"].rlike(r"^\p{Lu}+$"))))
+    df = df.withColumn("_order", F.array_compact(F.array(*_rescued())))
+    df = df.withColumn("fields", F.concat("_have", F.filter("_order", lambda x: ~F.exists("_have", lambda h: h["field"] == x["field"]))))
+    return df.drop("words", "_lines", "_labels", "_have", "_dated", "_number", "_capital", "_order")
 
 
 def read_front(words: DataFrame, page_width: int = 1012) -> DataFrame:
     """KEY, field, value, confidence, source of every capture."""
-    rows = with_rows(clean_words(words))
-    have = labelled_fields(rows, find_labels(rows, page_width))
-    return have.unionByName(rescued_fields(rows, have).select(*have.columns))
+    return field_rows(read_sets(words.groupBy(KEY).agg(F.collect_list(F.struct(*WORD)).alias("words")), page_width))
+
+
+def field_rows(sets: DataFrame) -> DataFrame:
+    # outer, and empty ones left out afterwards: Spark would put a filter for them below the reading, and read twice
+    return sets.select(KEY, F.inline_outer("fields")).filter("field is not null")
 
 
 CHECKS = ("nuip", "surnames", "given_names", "birth_date", "issue", "expiry_date", "sex", "birth_place")
@@ -117,3 +130,12 @@ def against_truth(fields: DataFrame, truth: DataFrame) -> DataFrame:
     """truth (KEY, field, expected) with found and correct; names compare without accents, the rest as printed."""
     df = truth.join(fields, [KEY, "field"], "left")
     return df.withColumn("found", F.col("value").isNotNull()).withColumn("correct", F.coalesce(label_key(F.col("value")) == label_key(F.col("expected")), F.lit(False)))
+
+
+def against_truth_sets(sets: DataFrame) -> DataFrame:
+    """against_truth() of read_sets() with truth, an array of (field, expected): a row for each of these, made in the capture's own row."""
+    got = lambda t: F.get(F.filter("fields", lambda f: f["field"] == t["field"]), F.lit(0))
+    # both columns are read once for each entry of truth, so they stand in columns of their own
+    met = sets.withColumn("_met", F.when(F.size("fields") >= 0, F.transform("truth", lambda t: F.struct(t["field"].alias("field"), t["expected"].alias("expected"), got(t).alias("f")))))
+    df = met.select(KEY, F.inline_outer("_met")).filter("field is not null").select(KEY, "field", "expected", "f.value", "f.confidence", "f.source")
+    return df.withColumn("found", F.col("value").isNotNull()).withColumn("correct", F.coalesce(label_key(F.col("value")) == label_key(F.col("expected")), F.lit(False)))

@@ -59,6 +59,46 @@ def digit_over(*spans) -> Column:
     return (out - zeros) % 10
 
 
+#: Digits of a line that one number holds.
+_CHUNK = 15
+
+
+def with_numbers(df: DataFrame, **lines: tuple[Column, int]) -> DataFrame:
+    """df with each line of _values (its length beside it) as a column, and its digits as numbers <name>_0, <name>_1, ...; null where a character is no digit."""
+    df = df.withColumns({name: line for name, (line, _) in lines.items()})
+    part = lambda name, i: F.substring(name, i * _CHUNK + 1, _CHUNK)
+    return df.withColumns({f"{name}_{i}": F.when(~part(name, i).rlike("[^0-9]"), part(name, i).try_cast("long")) for name, (_, n) in lines.items() for i in range(-(-n // _CHUNK))})
+
+
+def digit_of(*spans) -> Column:
+    """digit_over() spans (name of a line of with_numbers(), its length, start, end), check digits as numbers, or a skipped length.
+
+    A digit is a division and a remainder of a number, where a substring of its own costs a hundred times as much; lines with other characters go that way.
+    """
+    terms, plain, at = [], [], 0
+    for span in spans:
+        if isinstance(span, int):
+            at += span
+            plain.append(span)
+        elif isinstance(span, Column):
+            terms.append(span * WEIGHTS[at % 3])
+            plain.append((span.cast("string"), 0, 1))
+            at += 1
+        else:
+            name, length, start, end = span
+            plain.append((F.col(name), start, end))
+            for place in range(start, end):
+                i, here = divmod(place, _CHUNK)
+                shift = min(_CHUNK, length - i * _CHUNK) - 1 - here
+                number = F.col(f"{name}_{i}")
+                terms.append((F.call_function("div", number, F.lit(10**shift)) if shift else number) % 10 * WEIGHTS[at % 3])
+                at += 1
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return F.coalesce((out % 10).cast("int"), digit_over(*plain))
+
+
 def check_digit(payload: Column, length: int) -> Column:
     """Check digit of a payload of known length, of the zone's alphabet."""
     return digit_over((_values(payload), 0, length))
@@ -113,14 +153,14 @@ def date_of(raw: Column, as_of, past: bool) -> Column:
 
 
 def with_values(df: DataFrame, upper="upper", middle="middle") -> DataFrame:
-    """df with _uv and _mv, the lines as checks() sums them: columns, so that no term works them out anew."""
-    return df.withColumn("_uv", _values(F.col(upper))).withColumn("_mv", _values(F.col(middle)))
+    """df with _uv and _mv, the lines as checks() sums them, and their numbers: columns, so that no term works them out anew."""
+    return with_numbers(df, _uv=(_values(F.col(upper)), 30), _mv=(_values(F.col(middle)), 30))
 
 
 def _found(upper: Column, middle: Column) -> tuple[tuple[Column, Column], ...]:
     """(printed, computed) of each of CHECKS, of a row of with_values()."""
-    u, m = F.col("_uv"), F.col("_mv")
-    return ((_span(upper, 14, 15), digit_over((u, 5, 14))), (_span(middle, 6, 7), digit_over((m, 0, 6))), (_span(middle, 14, 15), digit_over((m, 8, 14))), (_span(middle, 29, 30), digit_over((u, 5, 30), (m, 0, 7), (m, 8, 15), (m, 18, 29))))
+    u, m = (lambda *span: ("_uv", 30, *span)), (lambda *span: ("_mv", 30, *span))
+    return ((_span(upper, 14, 15), digit_of(u(5, 14))), (_span(middle, 6, 7), digit_of(m(0, 6))), (_span(middle, 14, 15), digit_of(m(8, 14))), (_span(middle, 29, 30), digit_of(u(5, 30), m(0, 7), m(8, 15), m(18, 29))))
 
 
 def checks(upper: Column, middle: Column) -> Column:
@@ -137,7 +177,7 @@ def parsed(df: DataFrame, as_of, upper="upper", middle="middle", lower="lower")
     given = F.when(at > 0, F.substring(low, at + 2, F.lit(30))).when(low.isNotNull(), "")
     plain = lambda x: F.trim(F.replace(x, F.lit("<"), F.lit(" ")))
     bare = lambda x: F.replace(x, F.lit("<"), F.lit(""))
-    df = with_values(df, upper, middle).withColumn("mrz_checks", F.when(u.isNotNull(), checks(u, m))).drop("_uv", "_mv")
+    df = with_values(df, upper, middle).withColumn("mrz_checks", F.when(u.isNotNull(), checks(u, m))).drop("_uv", "_uv_0", "_uv_1", "_mv", "_mv_0", "_mv_1")
     return df.withColumns({
         "mrz_document_type": bare(_span(u, 0, 2)), "mrz_country": _span(u, 2, 5), "mrz_document_number": bare(_span(u, 5, 14)),
         "mrz_birth_date": date_of(_span(m, 0, 6), as_of, True), "mrz_sex": _span(m, 7, 8), "mrz_expiry_date": date_of(_span(m, 8, 14), as_of, False),
@@ -155,10 +195,10 @@ def with_built_lines(df: DataFrame, document_number: Column, birth: Column, sex:
     field = lambda x, n: F.rpad(F.upper(x if isinstance(x, Column) else F.lit(x)), n, "<")
     kept = df.columns
     df = df.withColumns({"_n": field(document_number, 9), "_b": _printed_day(birth), "_e": _printed_day(expiry), "_o": field(nuip, 11), "_sex": F.upper(sex), "_low": field(F.concat(F.replace(F.upper(surnames), F.lit(" "), F.lit("<")), F.lit("<<"), F.replace(F.upper(given), F.lit(" "), F.lit("<"))), 30)})
-    df = df.withColumns({"_nv": _values(F.col("_n")), "_ov": _values(F.col("_o"))})
-    digit = lambda c, n: digit_over((F.col(c), 0, n)).cast("string")
-    df = df.withColumns({"_nd": digit("_nv", 9), "_bd": digit("_b", 6), "_ed": digit("_e", 6)})
-    composite = digit_over((F.col("_nv"), 0, 9), (F.col("_nd"), 0, 1), 15, (F.col("_b"), 0, 6), (F.col("_bd"), 0, 1), (F.col("_e"), 0, 6), (F.col("_ed"), 0, 1), (F.col("_ov"), 0, 11))
+    df = with_numbers(df, _nv=(_values(F.col("_n")), 9), _ov=(_values(F.col("_o")), 11), _bv=(F.col("_b"), 6), _ev=(F.col("_e"), 6))
+    n, b, e = ("_nv", 9, 0, 9), ("_bv", 6, 0, 6), ("_ev", 6, 0, 6)
+    df = df.withColumns({"_nd": digit_of(n), "_bd": digit_of(b), "_ed": digit_of(e)})
+    composite = digit_of(n, F.col("_nd"), 15, b, F.col("_bd"), e, F.col("_ed"), ("_ov", 11, 0, 11))
     upper = F.concat(field(document_type, 2), field(country, 3), "_n", "_nd", F.lit("<" * 15))
     middle = F.concat("_b", "_bd", "_sex", "_e", "_ed", field(nationality, 3), "_o", composite.cast("string"))
     return df.select(*kept, upper.alias("upper"), middle.alias("middle"), F.col("_low").alias("lower"))

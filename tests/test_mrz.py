@@ -125,3 +125,11 @@ def test_repairs_of_a_batch():
 def test_empty_batches_and_unread_rows(spark):
     df = spark.createDataFrame([("short",), (None,)], "mrz_text string").repartition(4)
     assert [(r.upper, r.repaired) for r in mrz.read_zone(df).collect()] == [(None, False)] * 2
+
+
+def test_digits_of_numbers_are_those_of_characters(spark):
+    """Lines of digits are summed as numbers; signs, blanks and other characters as they were before."""
+    lines = ["012345678901234567890123456789", "9" * 30, "+23456789012345-23456789012345", " 1" * 15, "12345678901234é678901234567890", None]
+    df = mrz.with_numbers(spark.createDataFrame([(x,) for x in lines], "x string"), v=(F.col("x"), 30))
+    got = df.select(mrz.digit_of(("v", 30, 0, 7), 2, ("v", 30, 3, 30)).alias("a"), mrz.digit_over((F.col("v"), 0, 7), 2, (F.col("v"), 3, 30)).alias("b"), (F.col("v_0").isNull() & F.col("x").isNotNull()).alias("odd")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and [r["odd"] for r in got] == [False, False, True, True, True, False]

@@ -67,6 +67,19 @@ def full_records(tables: dict[str, DataFrame]) -> DataFrame:
     return tables["verificaciones"].join(s, KEY, "left").join(g, KEY, "left")
 
 
+def full_sets(runs: DataFrame) -> DataFrame:
+    """full_records() of runs as audit.audited_sets() leaves them, with creado_en: the record is made in the run's own row, no exchange."""
+    from attesta.operators.signals import adverse
+
+    s = lambda x: F.struct(x["signal_id"].alias("signal_id"), x["valor"].alias("valor"), adverse(x).alias("adversa"), F.array_contains("unsaid", x["signal_id"]).alias("omitida"))
+    g = lambda x: F.struct(x["orden"].alias("orden"), x["signal_id"].alias("signal_id"), x["status"].alias("status"))
+    some = lambda c: F.when(F.size(c) > 0, c)
+    return runs.select(
+        KEY, "creado_en", "outcome", "decision", "citations_valid", "citations_total", "faithful", "complete", F.col("creado_en").cast("date").alias("creado_dia"),
+        some(F.array_sort(F.transform("signals", s))).alias("senales"), some(F.array_sort(F.transform("audited", g))).alias("fundamentos"),
+    )
+
+
 def summary(head: DataFrame) -> DataFrame:
     """One row of counts, never rates."""
     decided = F.col("outcome") == "decided"

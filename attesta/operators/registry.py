@@ -46,6 +46,16 @@ def store(tables: dict[str, DataFrame], name: str, path: str, buckets: int = 64)
         df.repartition(buckets, KEY).write.bucketBy(buckets, KEY).sortBy(KEY).option("path", f"{path}/{t}").mode("overwrite").saveAsTable(f"{name}_{t}")
 
 
+def store_sets(runs: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+    """store() of tables_of_sets(runs). Runs are audited once, into a table of their own; the three tables are made of it, bucket by bucket, without an exchange.
+
+    runs are dealt out by verification into as many partitions as there are buckets.
+    """
+    runs.write.bucketBy(buckets, KEY).sortBy(KEY).option("path", f"{path}/runs").mode("overwrite").saveAsTable(f"{name}_runs")
+    for t, df in tables_of_sets(runs.sparkSession.table(f"{name}_runs")).items():
+        df.write.bucketBy(buckets, KEY).sortBy(KEY).option("path", f"{path}/{t}").mode("overwrite").saveAsTable(f"{name}_{t}")
+
+
 def stored(spark, name: str) -> dict[str, DataFrame]:
     """The tables of store(). Joins by verification and signal use their buckets too, as rows of one verification lie in one bucket."""
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")

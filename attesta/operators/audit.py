@@ -26,6 +26,21 @@ def audit_citations(groundings: DataFrame, signals: DataFrame, key: str = KEY, l
     return df.withColumn("status", status).drop("tipo", "disponible")
 
 
+def audit_gathered(groundings: DataFrame, measured: DataFrame, signals: Column, key: str = KEY, latin_only: bool = True) -> DataFrame:
+    """audit_citations() against signals that are made of a row of `measured` (a row for each key) as an array of signal_sets().
+
+    Groundings go to their verification's row, and signals are made there: no row for each signal is made or dealt out.
+    """
+    held = groundings.groupBy(key).agg(F.collect_list(F.struct(*[c for c in groundings.columns if c != key])).alias("_held"))
+    # after the join, as arrays of signals are far longer than what they are made of; a verification that was not measured has none
+    df = held.join(measured.withColumn("_there", F.lit(True)), key, "left").select(key, "_held", F.when(F.col("_there"), signals).alias("_signals"))
+    df = df.withColumn("_ids", F.coalesce(F.transform("_signals", lambda s: s["signal_id"]), F.array().cast("array<string>")))
+    found = lambda g: F.get("_signals", F.array_position("_ids", g["signal_id"]).cast("int") - 1)
+    df = df.select(key, F.inline_outer(F.transform("_held", lambda g: F.struct(g.alias("g"), found(g).alias("s")))))
+    status = citation_status(F.col("s.tipo"), F.col("s.disponible"), F.col("s.valor"), F.col("g.cited_value"), latin_only)
+    return df.select(key, "g.*", F.col("s.valor").alias("actual_value"), status.alias("status"))
+
+
 def citation_status(kind: Column, available: Column, actual: Column, cited: Column, latin_only: bool = True) -> Column:
     """What an audit says of a cited value; kind is null where there is no such signal."""
     absent = F.coalesce(text.loose(cited, latin_only) == UNAVAILABLE.lower(), F.lit(False))

@@ -133,6 +133,12 @@ def contradictions(signals: DataFrame, key: str = KEY) -> DataFrame:
     return bad.groupBy(key).agg(F.array_sort(F.collect_list(F.substring("signal_id", 7, 100))).alias("fields"))
 
 
+def contradiction_sets(df: DataFrame, key: str = KEY) -> DataFrame:
+    """contradictions() of rows of prepared(), each found in its own row."""
+    fields = F.array_compact(F.array(*[F.when(F.col(f"cross_{c}") == "mismatch", F.lit(c)) for c in sorted(CROSS_FIELDS)]))
+    return df.filter(" or ".join(f"cross_{c} = 'mismatch'" for c in CROSS_FIELDS)).select(key, fields.alias("fields"))
+
+
 def hardness(checks: DataFrame) -> DataFrame:
     """Mismatches, and whether a check digit covers the field."""
     return checks.filter("status = 'mismatch'").withColumn("covered", F.col("field").isin(*COVERED_FIELDS))

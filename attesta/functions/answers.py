@@ -53,12 +53,15 @@ def parsed_decision(text: Column, d: Column) -> Column:
     return F.struct(F.when(violation.isNull(), d).alias("decision"), violation.alias("violation"))
 
 
+def outcome_of_status(status: Column) -> Column:
+    """How an attempt ended whose status tells; null where its text does."""
+    return F.when(status.isin(401, 403), "bad_credential").when(status == 429, "out_of_quota").when(status != 200, "unavailable")
+
+
 def outcome(status: Column, text: Column, violation: Column) -> Column:
     """How an attempt ended."""
-    return (
-        F.when(status.isin(401, 403), "bad_credential").when(status == 429, "out_of_quota").when(status != 200, "unavailable").when(text.isNull() | F.coalesce(violation == "not_json", F.lit(False)), "malformed")
-        .when(violation.isNotNull(), "contract_violation").otherwise("decided")
-    )
+    read = F.when(text.isNull() | F.coalesce(violation == "not_json", F.lit(False)), "malformed").when(violation.isNotNull(), "contract_violation").otherwise("decided")
+    return F.coalesce(outcome_of_status(status), read)
 
 
 def effective_decision(decision: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +38,14 @@ def label_key(text: Column, latin_only: bool = True) -> Column:
     return F.trim(F.regexp_replace(F.lower(strip_accents(text, latin_only)), "[^a-z0-9 ]", ""))
 
 
+_BARE = str.maketrans(_MARKED, _PLAIN)
+
+
+def plain_label_key(text: str) -> str:
+    """label_key() of a string."""
+    return re.sub("[^a-z0-9 ]", "", text.translate(_BARE).lower()).strip(" ")
+
+
 def name_key(text: Column, latin_only: bool = True) -> Column:
     """No accents, upper-case letters and single blanks: how names compare."""
     return F.upper(F.trim(F.regexp_replace(F.regexp_replace(strip_accents(text, latin_only), "[^A-Za-z ]", " "), " +", " ")))

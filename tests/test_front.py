@@ -32,7 +32,7 @@ def test_words_out_of_order(spark):
     assert got == {("surnames", "OSSA ROJAS", 0.85, "label"), ("nuip", "1.234.567.890", 0.7, "label"), ("birth_date", "14 ENE 1998", 0.9, "order"), ("given_names", "TARDE", 0.9, "order")}
 
 
-@pytest.mark.parametrize("name", ["jn10_ag9_front_scores", "ag9_condition_by_field", "wn1_wn4_jn9_front_fields"])
+@pytest.mark.parametrize("name", ["jn10_ag9_front_scores", "ag9_condition_by_field", "wn1_wn4_jn9_front_fields", "ag10_confidence"])
 def test_fronts_are_read_without_the_zone(spark, sf, name):
     """Before, every zone was built, read and stored for what stands on the front, and words were read by expressions interpreted word after word."""
     before = dict(flows._stages)

@@ -133,3 +133,12 @@ def test_digits_of_numbers_are_those_of_characters(spark):
     df = mrz.with_numbers(spark.createDataFrame([(x,) for x in lines], "x string"), v=(F.col("x"), 30))
     got = df.select(mrz.digit_of(("v", 30, 0, 7), 2, ("v", 30, 3, 30)).alias("a"), mrz.digit_over((F.col("v"), 0, 7), 2, (F.col("v"), 3, 30)).alias("b"), (F.col("v_0").isNull() & F.col("x").isNotNull()).alias("odd")).collect()
     assert [r["a"] for r in got] == [r["b"] for r in got] and [r["odd"] for r in got] == [False, False, True, True, True, False]
+
+
+def test_century_of_a_leap_day_and_shape(spark):
+    """29 February of 1900 was none, of 2000 was; what is no six digits is no date, whatever it sorts by."""
+    df = spark.createDataFrame([("000229",), ("040229",), ("500229",), ("520229",), ("060101",), ("060102",), ("99O101",), ("991301",), (" 60101",), (None,)], "r string")
+    days = [dt.date(2000, 2, 29), dt.date(2004, 2, 29), None, dt.date(1952, 2, 29), dt.date(2006, 1, 1), dt.date(1906, 1, 2), None, None, None, None]
+    assert [r[0] for r in df.select(mrz.date_of(F.col("r"), dt.date(2006, 1, 1), True)).collect()] == days
+    future = [dt.date(2000, 2, 29), dt.date(2004, 2, 29), None, dt.date(2052, 2, 29), dt.date(2006, 1, 1), dt.date(2006, 1, 2), None, None, None, None]
+    assert [r[0] for r in df.select(mrz.date_of(F.col("r"), dt.date(2006, 1, 1), False)).collect()] == future
